@@ -1,0 +1,53 @@
+"""Registry of the core queries and of the SQL that states the same results."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query under ``name`` together with its oracle, if SQL has one."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+@query(
+    "context_window_totals",
+    """
+    with f as (select 'world.' || year(o_orderdate) || '.' || o_orderstatus as context,
+                      o_totalprice as num, o_orderdate as vs, o_orderdate + interval 30 day as ve
+               from orders)
+    select context, count(*) as n, round(sum(num), 2) as total
+    from f
+    where (context = 'world.1998' or starts_with(context, 'world.1998.'))
+      and vs < timestamp '1999-01-01' and ve > timestamp '1998-01-01'
+    group by context
+    """,
+)
+def context_window_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    f = o.select(
+        F.concat(F.lit("world."), F.year("o_orderdate"), F.lit("."), "o_orderstatus").alias("context"),
+        F.col("o_totalprice").alias("num"),
+        F.col("o_orderdate").alias("vs"),
+        (F.col("o_orderdate") + F.expr("interval 30 days")).alias("ve"),
+    )
+    inside = (F.col("context") == "world.1998") | F.col("context").startswith("world.1998.")
+    overlap = (F.col("vs") < F.expr("timestamp_ntz'1999-01-01'")) & (F.col("ve") > F.expr("timestamp_ntz'1998-01-01'"))
+    return (
+        f.where(inside & overlap)
+        .groupBy("context")
+        .agg(F.count("*").alias("n"), F.round(F.sum("num"), 2).alias("total"))
+    )
