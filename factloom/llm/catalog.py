@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, exact_dedup, licenses, mixing, substring_dedup, work
+from factloom.llm import chat, exact_dedup, licenses, mixing, near_dedup, substring_dedup, work
 
 QUERIES = {}
 ORACLES = {}
@@ -82,3 +82,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
     return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+@query(
+    "op9_near_dedup",
+)
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"), shingle=2)
