@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, exact_dedup, licenses, mixing, near_dedup, substring_dedup, work
+from factloom.llm import chat, exact_dedup, language_id, licenses, mixing, near_dedup, quality, samples, substring_dedup, work
 
 QUERIES = {}
 ORACLES = {}
@@ -89,3 +89,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"), shingle=2)
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train(docs))
+    return found.select("doc_id", (samples.remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (samples.remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
