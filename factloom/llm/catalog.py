@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, exact_dedup, language_id, licenses, mixing, near_dedup, quality, samples, substring_dedup, work
+from factloom.llm import chat, decontamination, exact_dedup, language_id, licenses, mixing, near_dedup, quality, samples, substring_dedup, token_counts, work
 
 QUERIES = {}
 ORACLES = {}
@@ -103,3 +103,13 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (samples.remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_tokens(table(spark, sf_dir, "documents"))
