@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.work import Workspace, partitions
+from factloom.llm.work import Workspace, partitions, spare_name
 
 
 class CuckooIndex:
@@ -208,21 +208,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; of repeated rows one stays."""
-    found = exact_dedup(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__stay_id"), F.col("text_sha256").alias("__stay_sha"), F.col("n_rows").alias("__stay_rows")
-    )
-    marked = docs.mapInArrow(_with_sha(docs.columns.index(text_col)), docs.select("*", F.lit("").alias("__sha")).schema)
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("__stay_id")) & (F.col("__sha") == F.col("__stay_sha"))
-    stay = marked.join(found, on)
-    once = stay.where("__stay_rows = 1")
-    again = stay.where("__stay_rows > 1").dropDuplicates([id_col, "__sha"])
+    sha, own, want, times = (spare_name(c, docs.columns) for c in ("sha", "stay_id", "stay_sha", "stay_rows"))
+    found = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(want), F.col("n_rows").alias(times))
+    marked = docs.mapInArrow(_with_sha(docs.columns.index(text_col), sha), docs.select("*", F.lit("").alias(sha)).schema)
+    stay = marked.join(found, F.col(id_col).cast("long").eqNullSafe(F.col(own)) & (F.col(sha) == F.col(want)))
+    once = stay.where(F.col(times) == 1)
+    again = stay.where(F.col(times) > 1).dropDuplicates([id_col, sha])
     return once.unionByName(again).select(*docs.columns)
 
 
-def _with_sha(at: int):
+def _with_sha(at: int, name: str):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sha = [hashlib.sha256((t.as_py() or b"").lower()).hexdigest() for t in b.column(at).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sha, pa.string())], names=[*b.schema.names, "__sha"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sha, pa.string())], names=[*b.schema.names, name])
 
     return add

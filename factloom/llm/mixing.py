@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm.work import Workspace
+from factloom.llm.work import Workspace, spare_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 8
@@ -100,3 +100,23 @@ def mix(docs: DataFrame, rate: float = RATE, temper: Mapping[str, float] = TEMPE
     raked = ws.table(rake(cells, temper, rounds), "raked")
     p = calibrated(raked, rate).select(*keys, "p")
     return rows.join(p, keys).select("doc_id", *keys, "tokens", F.round("p", 6).alias("p"), (chance("doc_id", seed) < F.round("p", 6)).alias("kept"))
+
+
+def sample(docs: DataFrame, rate: float = RATE, temper: Mapping[str, float] = TEMPER, rounds: int = ROUNDS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are drawn, with their columns and topic, tokens and p (named apart if they clash).
+
+    The same draws as ``mix`` marks as kept; only the cells' chances are joined.
+    """
+    ws = Workspace(docs.sparkSession, "mixing")
+    keys = ["source", "lang", "topic"]
+    rows = ws.table(measured(docs, id_col, text_col).drop("doc_id"), "measured")
+    cells = ws.table(rows.groupBy(*keys).agg(F.sum("tokens").cast("double").alias("w0")), "cells")
+    p = calibrated(ws.table(rake(cells, temper, rounds), "raked"), rate)
+    mine = {c: spare_name(f"mix_{c}", docs.columns) for c in [*keys, "p"]}
+    tokens = spare_name("tokens", docs.columns)
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    count = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    out = docs.withColumn(tokens, count).withColumns({mine["source"]: key("source"), mine["lang"]: key("lang"), mine["topic"]: topic_of(F.col(tokens))})
+    out = out.join(p.select(*(F.col(c).alias(mine[c]) for c in keys), F.round("p", 6).alias(mine["p"])), [mine[c] for c in keys])
+    out = out.where(chance(id_col, seed) < F.col(mine["p"]))
+    return out.select(*docs.columns, F.col(mine["topic"]).alias(spare_name("topic", docs.columns)), tokens, F.col(mine["p"]).alias(spare_name("p", docs.columns)))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.graph import components
 from factloom.llm.words import LOWER, SPACES, U, gram_hashes, mix, slices, spans, word_hashes
-from factloom.llm.work import Workspace, partitions
+from factloom.llm.work import Workspace, partitions, spare_name
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -300,5 +300,6 @@ def _full(n: int):
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: those of each component's smallest id."""
-    gone = near_classes(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone_id"), "left_anti")
+    gone_id = spare_name("gone_id", docs.columns)
+    gone = near_classes(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
