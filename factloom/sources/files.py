@@ -95,7 +95,7 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(found, columns=["s", "p", "o", "is_ref"])
 
     t = whole.mapInPandas(rows, "s string, p string, o string, is_ref boolean")
-    return _triple_facts(t.select("s", "p", F.when("is_ref", V.ref(F.col("o"))).otherwise(V.text(F.col("o"))).alias("o")))
+    return _triple_facts(t.select("s", "p", F.when(F.col("is_ref"), V.ref(F.col("o"))).otherwise(V.text(F.col("o"))).alias("o")))
 
 
 READERS = {"json": read_json, "jsonl": read_jsonl, "nt": read_ntriples, "ttl": read_turtle}
