@@ -268,7 +268,8 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     sizes = clusters.groupBy("label").agg(F.count("*").alias("n"))
     members = clusters.join(sizes, "label").select(F.col("node").alias("cid"), "label", "n")
     # A class is read from one of the rows with its smallest id that have its set.
-    texts = slim.join(members, F.col("doc_id") == F.col("cid")).select("cid", "label", "n", "text").mapInArrow(_full(shingle), "cid long, label long, n long, digest binary, item binary")
+    # Both sides are dealt by id at every size: the members are no table of a bounded size to broadcast.
+    texts = slim.join(members.hint("merge"), F.col("doc_id") == F.col("cid")).select("cid", "label", "n", "text").mapInArrow(_full(shingle), "cid long, label long, n long, digest binary, item binary")
     own = classes.select(F.col("cid").alias("own_cid"), F.col("digest").alias("own_digest"))
     sets = texts.join(own, (F.col("cid") == F.col("own_cid")) & (F.col("digest") == F.col("own_digest")), "left_semi").dropDuplicates(["cid", "digest"]) if _repeats(sketches) else texts
     links = ws.table(_dealt(sets, "label", "n", "item").mapInArrow(_compare(_linked(percent)), "a long, b long"), "links")
