@@ -11,23 +11,28 @@ from factloom.llm.work import Workspace
 def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b); the label is the smallest node reachable.
 
-    Each round takes the smallest label among the neighbours and then the
-    label's own label, so the reach doubles; each round's labels are a written
-    table, and the rounds end when no label changes.
+    Each round points every node at its smallest neighbour, follows the
+    pointer once more, and replaces the ends of all edges by what they point
+    at.  Equal edges fall together and edges within one node vanish, so a
+    group shrinks by half at least each round; the smallest node of a
+    component always points at itself, so it is what remains.  Each round's
+    tables are written; the rounds end when no edge is left.
     """
-    both = ws.table(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{name}-edges")
-    labels = ws.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-0")
-    turn = 0
-    while True:
+    now = ws.table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges-0")
+    labels, turn = None, 0
+    while labels is None or not now.isEmpty():
         turn += 1
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("was"), F.least("label", "l").alias("label"))
-        ends = labels.select(F.col("node").alias("label"), F.col("label").alias("end"))
-        jumped = step.join(ends, "label", "left").select("node", "was", F.least("label", F.coalesce("end", "label")).alias("label"))
-        jumped = ws.table(jumped, f"{name}-{turn}")
-        done = jumped.where("was <> label").isEmpty()
-        ws.drop(f"{name}-{turn - 1}")
-        labels = jumped.select("node", "label")
-        if done:
-            ws.drop(f"{name}-edges")
-            return labels
+        near = now.select("a", "b").union(now.select("b", "a")).groupBy("a").agg(F.min("b").alias("m"))
+        first = ws.table(near.select(F.col("a").alias("node"), F.least("a", "m").alias("to")), f"{name}-near-{turn}")
+        ends = first.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        points = ws.table(first.join(ends, "to").select("node", F.col("end").alias("to")), f"{name}-points-{turn}")
+        if labels is None:
+            labels = points.withColumnRenamed("to", "label")
+        else:
+            then = points.select(F.col("node").alias("label"), F.col("to").alias("then"))
+            labels = ws.table(labels.join(then, "label", "left").select("node", F.coalesce("then", "label").alias("label")), f"{name}-labels-{turn}")
+        a, b = points.select(F.col("node").alias("a"), F.col("to").alias("x")), points.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        moved = now.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        now = ws.table(moved, f"{name}-edges-{turn}")
+        ws.drop(f"{name}-edges-{turn - 1}", f"{name}-near-{turn}")
+    return labels

@@ -193,6 +193,12 @@ def _compare(pairs: Pairs):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, blocks, items = None, [], [], []
         out: list[tuple[int, int]] = []
+        task: dict[int, int] = {}  # the task's own forest: what one group has tied, the next need not report
+
+        def root(x: int) -> int:
+            while (up := task.setdefault(x, x)) != x:
+                task[x] = x = task[up]
+            return x
 
         def close() -> None:
             if len(ids) < 2:
@@ -203,7 +209,11 @@ def _compare(pairs: Pairs):
             for k, hits in pairs([items[i] for i in order], np.array([blocks[i] for i in order])):
                 for h in hits.tolist():
                     forest.join(k, h)
-            out.extend((who[k], who[r]) for k in range(len(who)) if (r := forest.root(k)) != k)
+            for k in range(len(who)):
+                a, b = root(who[k]), root(who[forest.root(k)])
+                if a != b:
+                    task[max(a, b)] = min(a, b)
+                    out.append((max(a, b), min(a, b)))
 
         def batch() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
