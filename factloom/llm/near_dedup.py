@@ -142,13 +142,13 @@ class _Forest:
             self.up[max(x, y)] = min(x, y)
 
 
-Pairs = Callable[[list[bytes], np.ndarray], Iterator[tuple[int, np.ndarray]]]
+Pairs = Callable[[list[bytes]], Iterator[tuple[int, np.ndarray]]]
 
 
 def _alike(least: float) -> Pairs:
     """Pairs of sketches whose estimate reaches ``least``."""
 
-    def pairs(items: list[bytes], side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def pairs(items: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
         regs = np.frombuffer(b"".join(items), np.uint16).reshape(len(items), -1)
         for k in range(len(items) - 1):
             hit = np.flatnonzero(estimate(regs[k], regs[k + 1 :]) >= least) + k + 1
@@ -160,7 +160,7 @@ def _alike(least: float) -> Pairs:
 def _linked(percent: int) -> Pairs:
     """Pairs of full sets with 100 * intersection >= percent * union."""
 
-    def pairs(items: list[bytes], side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def pairs(items: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
         sets = [np.frombuffer(x, U) for x in items]
         size = np.array([len(s) for s in sets], np.int64)
         if len(sets) == 2:
@@ -204,16 +204,28 @@ def _compare(pairs: Pairs):
             if len(ids) < 2:
                 return
             order = np.argsort(np.array(ids, np.int64), kind="stable")
-            who = [ids[k] for k in order]
-            forest = _Forest(len(who))
-            for k, hits in pairs([items[i] for i in order], np.array([blocks[i] for i in order])):
+            who, block = [ids[k] for k in order], [blocks[k] for k in order]
+            forest, cross = _Forest(len(who)), []
+            for k, hits in pairs([items[i] for i in order]):
                 for h in hits.tolist():
-                    forest.join(k, h)
-            for k in range(len(who)):
-                a, b = root(who[k]), root(who[forest.root(k)])
-                if a != b:
-                    task[max(a, b)] = min(a, b)
-                    out.append((max(a, b), min(a, b)))
+                    if block[k] == block[h]:
+                        forest.join(k, h)
+                    else:
+                        cross.append((k, h))
+            if now[1] == now[2]:
+                told = [(who[k], who[forest.root(k)]) for k in range(len(who))]
+            else:
+                # Ties within either block are told by the block's own group; here only what ties the two.
+                told = []
+                for k, h in cross:
+                    if forest.root(k) != forest.root(h):
+                        forest.join(k, h)
+                        told.append((who[k], who[h]))
+            for x, y in told:
+                x, y = root(x), root(y)
+                if x != y:
+                    task[max(x, y)] = min(x, y)
+                    out.append((max(x, y), min(x, y)))
 
         def batch() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
