@@ -325,4 +325,4 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     """The rows of ``docs`` that stay, with their columns: those of each component's smallest id."""
     gone_id = spare_name("gone_id", docs.columns)
     gone = near_classes(docs, shingle, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(id_col) == F.col(gone_id), "left_anti")
