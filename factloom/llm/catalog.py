@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, decontamination, exact_dedup, language_id, licenses, mixing, near_dedup, quality, samples, substring_dedup, token_counts, work
+from factloom.llm import chat, decontamination, exact_dedup, language_id, licenses, mixing, near_dedup, oracles, quality, samples, substring_dedup, token_counts, work
 
 QUERIES = {}
 ORACLES = {}
 
-#: A-Z lower-cased and nothing else.
-ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ASCII_LOWER = oracles.ASCII_LOWER
 
 
 def query(name: str, sql: str | None = None):
@@ -67,12 +66,12 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(rows.unionByName(hostile)).drop("n_tokens", "loss_tokens")
 
 
-@query("op7_license_scan")
+@query("op7_license_scan", oracles.license_scan())
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-@query("op8_source_mixing")
+@query("op8_source_mixing", oracles.source_mixing())
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -84,9 +83,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
-@query(
-    "op9_near_dedup",
-)
+@query("op9_near_dedup")
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"), shingle=2)
 
