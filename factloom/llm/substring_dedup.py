@@ -6,7 +6,7 @@ earlier in the corpus (smaller id, or same document and smaller position).
 Any such run holds, where it stands first, a whole block of ``window // 2``
 words out of the non-overlapping blocks its document is cut into.  So:
 
-1. documents are packed, in the order of their ids, into chunks of a few MB
+1. documents are packed, in the order of their ids, into small chunks
    (one written table; a chunk's number orders its documents);
 2. every chunk sends its rolling block-sized windows, once each, and which of
    them are reference blocks, to buckets of the hash space.  A bucket answers
@@ -37,9 +37,9 @@ from factloom.llm.work import Workspace, partitions
 
 WINDOW = 20
 #: Text of one chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 #: Words whose anchors share one bucket.
-BUCKET_WORDS = 3_000_000
+BUCKET_WORDS = 1_000_000
 
 _CHUNKS = "chunk long, ids array<long>, sizes array<long>, data binary, n_words long"
 _LIMIT = (1 << 32) - 1
@@ -157,7 +157,6 @@ def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 _SENT = "bucket int, chunk long, n int, keys binary, more binary"
 _SENT_NAMES, _SENT_KINDS = ["bucket", "chunk", "n", "keys", "more"], [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 _ANSWER = "chunk long, bucket int, bits binary"
-_ANSWER_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
 
 
 def _send_anchors(block: int, buckets: int):
@@ -175,23 +174,36 @@ def _send_anchors(block: int, buckets: int):
     return send
 
 
-def _answer_anchors(t: pa.Table) -> pa.Table:
-    ns = t["n"].to_numpy()
-    keys = np.concatenate([unpack_sorted(x.as_py()) for x in t["keys"]])
-    both = [_flags(x.as_py(), 2 * n) for x, n in zip(t["more"], ns)]
+def _by_bucket(answer):
+    """Runs ``answer`` on each bucket's rows.  A partition holds a bucket or a few, as packed bytes; only one at a time is unpacked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, int, bytes, bytes]]] = {}
+        for b in batches:
+            for bucket, chunk, n, keys, more in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(bucket, []).append((chunk, n, keys, more))
+        while held:
+            bucket, rows = held.popitem()
+            chunks, ns, keys, more = zip(*rows)
+            out = answer(np.array(chunks, np.int64), np.array(ns, np.int64), keys, more)
+            ends = np.cumsum(ns)
+            told = [(c, bucket, _bits(out[e - n : e])) for c, n, e in zip(chunks, ns, ends.tolist()) if out[e - n : e].any()]
+            yield _table(told, ["chunk", "bucket", "bits"], [pa.int64(), pa.int32(), pa.binary()])
+
+    return run
+
+
+def _answer_anchors(chunks: np.ndarray, ns: np.ndarray, packed: tuple[bytes, ...], more: tuple[bytes, ...]) -> np.ndarray:
+    """Which entries are live."""
+    keys = np.concatenate([unpack_sorted(x) for x in packed])
+    both = [_flags(x, 2 * n) for x, n in zip(more, ns)]
     ref, often = np.concatenate([f[: len(f) // 2] for f in both]), np.concatenate([f[len(f) // 2 :] for f in both])
     order = np.argsort(keys, kind="stable")
     new = np.flatnonzero(_firsts(keys[order], keys[order]))
     live = (np.add.reduceat(1 + often[order].astype(np.int64), new) > 1) & np.logical_or.reduceat(ref[order], new)
     out = np.zeros(len(keys), bool)
     out[order] = np.repeat(live, np.diff(np.append(new, len(keys))))
-    return _answers(t, ns, out)
-
-
-def _answers(t: pa.Table, ns: np.ndarray, out: np.ndarray) -> pa.Table:
-    ends = np.cumsum(ns)
-    rows = [(c, k, _bits(out[e - n : e])) for c, k, n, e in zip(t["chunk"].to_pylist(), t["bucket"].to_pylist(), ns.tolist(), ends.tolist()) if out[e - n : e].any()]
-    return pa.Table.from_batches([_table(rows, _ANSWER_SCHEMA.names, _ANSWER_SCHEMA.types)])
+    return out
 
 
 def _send_windows(window: int, block: int, buckets: int):
@@ -214,15 +226,15 @@ def _send_windows(window: int, block: int, buckets: int):
     return send
 
 
-def _answer_windows(t: pa.Table) -> pa.Table:
-    ns = t["n"].to_numpy()
-    one = np.concatenate([np.frombuffer(x.as_py(), U) for x in t["keys"]])
-    two = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in t["more"]]).astype(U)
-    chunk = np.repeat(t["chunk"].to_numpy(), ns)
+def _answer_windows(chunks: np.ndarray, ns: np.ndarray, ones: tuple[bytes, ...], twos: tuple[bytes, ...]) -> np.ndarray:
+    """Which entries stand in an earlier chunk too."""
+    one = np.concatenate([np.frombuffer(x, U) for x in ones])
+    two = np.concatenate([np.frombuffer(x, "<u4") for x in twos]).astype(U)
+    chunk = np.repeat(chunks, ns)
     order = np.lexsort((chunk, two, one))
     later = np.zeros(len(one), bool)
     later[order] = ~_firsts(one[order], two[order])
-    return _answers(t, ns, later)
+    return later
 
 
 _OUT = "doc_id long, n_words long, removed array<struct<first:long,last:long>>, kept_text string"
@@ -303,10 +315,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
     sent = chunks.select("chunk", "sizes", "data").mapInArrow(_send_anchors(block, buckets), _SENT)
-    live = ws.table(sent.groupBy("bucket").applyInArrow(_answer_anchors, _ANSWER), "live")
+    live = ws.table(sent.repartition(buckets, "bucket").mapInArrow(_by_bucket(_answer_anchors), _ANSWER), "live")
     ws.free_shuffles()
     marked = chunks.select("chunk", "ids", "sizes", "data").join(gathered(live, "live"), "chunk", "left")
     sent = marked.drop("ids").mapInArrow(_send_windows(window, block, buckets), _SENT)
-    later = ws.table(sent.groupBy("bucket").applyInArrow(_answer_windows, _ANSWER), "later")
+    later = ws.table(sent.repartition(buckets, "bucket").mapInArrow(_by_bucket(_answer_windows), _ANSWER), "later")
     ws.free_shuffles()
     return marked.join(gathered(later, "later"), "chunk", "left").mapInArrow(_cut_out(window, block, buckets), _OUT)
