@@ -9,13 +9,12 @@ cut off: a slice always holds whole documents, one at least.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: Bytes that end a word of ``[^\x20\x09-\x0D]+``.
 SPACES = np.zeros(256, bool)
@@ -39,16 +38,18 @@ _BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xB564EF22EC7AECE5)
 
 
-@lru_cache(maxsize=8)
-def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASES[which]
-    up, down = np.full(size, base, U), np.full(size, pow(base, -1, 1 << 64), U)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(which, 1 << max(16, int(n).bit_length()))
+    """At least ``n`` powers of a base and of its inverse; one pair of arrays a base, as long as the longest text so far."""
+    have = _POWERS.get(which)
+    if have is None or len(have[0]) < n:
+        size, base = 1 << max(16, int(n - 1).bit_length()), _BASES[which]
+        up, down = np.full(size, base, U), np.full(size, pow(base, -1, 1 << 64), U)
+        up[0] = down[0] = 1
+        have = _POWERS[which] = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+    return have
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -18,8 +18,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, where the session leaves Spark's 64 MB.
+BATCH_BYTES, _SPARKS_OWN = "4m", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (a cluster's ``--py-files`` does the same)."""
+    """Ready the session for Python workers: they can import this package from where the driver has it
+    (a cluster's ``--py-files`` does the same), and batches of whole texts stay small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, _SPARKS_OWN) == _SPARKS_OWN:
+        spark.conf.set(key, BATCH_BYTES)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
