@@ -37,9 +37,11 @@ from factloom.llm.work import Workspace, partitions
 
 WINDOW = 20
 #: Text of one chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 20
-#: Words whose anchors share one bucket.
-BUCKET_WORDS = 1_000_000
+CHUNK_BYTES = 1 << 18
+#: Words whose anchors share one bucket, and buckets that share a task at most: one after the other.
+BUCKET_WORDS, BUCKETS_A_TASK = 1_000_000, 4
+#: Bits of an anchor's hash that travel.  Two anchors that differ only beyond them are both extended, and part there.
+KEY_BITS = 44
 
 _CHUNKS = "chunk long, ids array<long>, sizes array<long>, data binary, n_words long"
 _LIMIT = (1 << 32) - 1
@@ -111,7 +113,7 @@ class _Chunk:
         self.words = word_hashes(self.buf, self.starts, self.ends)
         self.block = block
         self.at = np.flatnonzero(whole_grams(self.first, block))
-        grams = gram_hashes(self.words, block)[self.at] >> U(16)
+        grams = gram_hashes(self.words, block)[self.at] >> U(64 - KEY_BITS)
         self.keys, self.of, self.times = np.unique(grams, return_inverse=True, return_counts=True)
 
     def reference(self) -> np.ndarray:
@@ -123,7 +125,7 @@ class _Chunk:
 
     def candidates(self, answers: list[dict], buckets: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts of full windows that hold a live anchor, their two hashes, and their order by hash."""
-        cuts = _cuts(self.keys >> U(16), buckets)
+        cuts = _cuts(self.keys >> U(KEY_BITS - 32), buckets)
         live = np.zeros(len(self.keys), bool)
         for a in answers:
             lo, hi = cuts[a["bucket"]], cuts[a["bucket"] + 1]
@@ -164,7 +166,7 @@ def _send_anchors(block: int, buckets: int):
         for b in batches:
             for row in b.to_pylist():
                 c = _Chunk(row["sizes"], row["data"], block)
-                ref, often, cuts = c.reference(), c.times > 1, _cuts(c.keys >> U(16), buckets)
+                ref, often, cuts = c.reference(), c.times > 1, _cuts(c.keys >> U(KEY_BITS - 32), buckets)
                 yield _table(
                     [(k, row["chunk"], hi - lo, pack_sorted(c.keys[lo:hi]), _bits(np.concatenate([ref[lo:hi], often[lo:hi]]))) for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if hi > lo],
                     _SENT_NAMES,
@@ -310,15 +312,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     ws.free_shuffles()
     words = chunks.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(n, -(-words // BUCKET_WORDS))
+    tasks = max(n, -(-buckets // BUCKETS_A_TASK))
 
     def gathered(answers: DataFrame, name: str) -> DataFrame:
         return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
     sent = chunks.select("chunk", "sizes", "data").mapInArrow(_send_anchors(block, buckets), _SENT)
-    live = ws.table(sent.repartition(buckets, "bucket").mapInArrow(_by_bucket(_answer_anchors), _ANSWER), "live")
+    live = ws.table(sent.repartition(tasks, "bucket").mapInArrow(_by_bucket(_answer_anchors), _ANSWER), "live")
     ws.free_shuffles()
     marked = chunks.select("chunk", "ids", "sizes", "data").join(gathered(live, "live"), "chunk", "left")
     sent = marked.drop("ids").mapInArrow(_send_windows(window, block, buckets), _SENT)
-    later = ws.table(sent.repartition(buckets, "bucket").mapInArrow(_by_bucket(_answer_windows), _ANSWER), "later")
+    later = ws.table(sent.repartition(tasks, "bucket").mapInArrow(_by_bucket(_answer_windows), _ANSWER), "later")
     ws.free_shuffles()
     return marked.join(gathered(later, "later"), "chunk", "left").mapInArrow(_cut_out(window, block, buckets), _OUT)
