@@ -86,10 +86,15 @@ def scan_event(triples: DataFrame, event_id: str) -> DataFrame:
 
 
 def statements(facts: DataFrame) -> DataFrame:
-    """(s, p, o, num, fact_id): subject-relation-object and subject-attribute-value, as pattern queries see facts."""
-    whole = F.transform("objects", lambda v: F.struct(F.col("relation").alias("p"), V.as_text(v).alias("o"), V.as_number(v).alias("num")))
-    extra = F.transform("attributes", lambda a: F.struct(a["key"].alias("p"), V.as_text(a["value"]).alias("o"), V.as_number(a["value"]).alias("num")))
-    return facts.select("fact_id", F.col("subject").alias("s"), F.explode(F.concat(whole, extra)).alias("t")).select("s", "t.p", "t.o", "t.num", "fact_id")
+    """(s, p, o, num, fact_id): subject-relation-object and subject-attribute-value, as pattern queries see facts.
+
+    Objects and attributes are exploded apart, so that a bound predicate is a
+    filter on the relation below the explode and reaches the scan.
+    """
+    whole = facts.select("fact_id", F.col("subject").alias("s"), F.col("relation").alias("p"), F.explode("objects").alias("v"))
+    extra = facts.where(F.size("attributes") > 0).select("fact_id", F.col("subject").alias("s"), F.explode("attributes").alias("a")).select("fact_id", "s", F.col("a.key").alias("p"), F.col("a.value").alias("v"))
+    v = F.col("v")
+    return whole.unionByName(extra).select("s", "p", V.as_text(v).alias("o"), V.as_number(v).alias("num"), "fact_id")
 
 
 def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
