@@ -70,12 +70,12 @@ _SETS = f"""{ORDERS}, m as (
 
 @query("open_set_sizes", f"with {_SETS} select kind, open_set, count(*) as n_facts from m group by 1, 2")
 def open_set_sizes(s, d):
-    return topology.sizes(topology.members(T.order_facts(s, d)))
+    return topology.sizes(topology.members(T.order_facts(s, d), versions=False))
 
 
 @query("minimal_open_set", f"with {_SETS}, z as (select open_set, count(*) as n from m group by 1), r as (select fact_id, open_set, n, row_number() over (partition by fact_id order by n, encode(open_set)) as k from m join z using (open_set)) select fact_id, open_set, n as n_facts from r where k = 1")
 def minimal_open_set(s, d):
-    return topology.minimal_open_set(topology.members(T.order_facts(s, d)))
+    return topology.minimal_open_set(topology.members(T.order_facts(s, d), versions=False))
 
 
 @query("restriction_sections", f"with {ORDERS} select fact_id from orders_f where context like 'world.1996%' and method = 'manual'")
@@ -87,7 +87,7 @@ def restriction_sections(s, d):
 @query("restriction_edges", f"""with {_SETS}, k as (select * from m where kind in ('context', 'temporal')), z as (select open_set, count(*) as n from k group by 1),
     p as (select a.open_set as source, b.open_set as target, count(*) as c from k a join k b using (fact_id) where a.open_set <> b.open_set group by 1, 2) select source, target from p join z on z.open_set = p.target where c = n""")
 def restriction_edges(s, d):
-    return topology.restriction_edges(topology.members(T.order_facts(s, d), ("context", "temporal")))
+    return topology.restriction_edges(topology.members(T.order_facts(s, d), ("context", "temporal"), versions=False))
 
 
 @query("intersection_closure")
@@ -98,7 +98,7 @@ def intersection_closure(s, d):
 
 @query("neighborhood_sets", f"with {PLACES} select 'neighborhood:' || obj0 as open_set, count(*) as n_facts from places_f group by 1")
 def neighborhood_sets(s, d):
-    return topology.sizes(topology.members(T.place_facts(s, d), ("neighborhood",))).select("open_set", "n_facts")
+    return topology.sizes(topology.members(T.place_facts(s, d), ("neighborhood",), versions=False)).select("open_set", "n_facts")
 
 
 _GLUE = f"""{DOCS}, g as (select fact_id, count(*) as n, min(lang) as lang, max(confidence) as confidence, count(distinct source) as ns, count(distinct lang) as nl, min(source) as source,

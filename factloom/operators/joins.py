@@ -34,11 +34,6 @@ def high_arity_join(left: DataFrame, right: DataFrame, left_pos: int, right_pos:
     return a.join(b, a["x"].eqNullSafe(b["y"])).select("left_id", "right_id")
 
 
-def windows(start: str, end: str, step: str) -> str:
-    """SQL that lists half-open windows of ``step`` between two timestamps."""
-    return f"select explode(sequence(timestamp_ntz'{start}', timestamp_ntz'{end}' - interval {step}, interval {step})) as w"
-
-
 def interval_windows(facts: DataFrame, origin: str, width_days: int) -> DataFrame:
     """Each fact once for every tumbling window its interval meets: (window_start, ...).
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.functions.staging import cut
+
 
 def describe(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
     """n, mean, population variance and deviation, exact percentiles by rank, extremes and a normal 95 % interval.
@@ -28,12 +31,19 @@ def describe(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def ranked(df: DataFrame, column: str, percents: tuple[int, ...] = (50, 95, 99), by: tuple[str, ...] = ()) -> DataFrame:
-    """Percentiles by rank, from running counts over distinct values."""
-    from pyspark.sql import Window as W
+    """Percentiles by rank, from running counts over distinct values.
 
+    The values are dealt by ranges and counted within each range; only the
+    ranges' totals are summed in one place, so neither one group nor the whole
+    table is ever sorted by a single task.
+    """
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("c"))
+    dealt = cut(counts.repartitionByRange(*by, column).withColumn("part", F.spark_partition_id()), "ranked")
     over = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    run = counts.withColumn("upto", F.sum("c").over(over.orderBy(column))).withColumn("n", F.sum("c").over(over))
+    totals = dealt.groupBy(*by, "part").agg(F.sum("c").alias("t"))
+    totals = totals.select(*by, "part", (F.sum("t").over(over.orderBy("part")) - F.col("t")).alias("before"), F.sum("t").over(over).alias("n"))
+    run = dealt.withColumn("upto", F.sum("c").over(W.partitionBy(*by, "part").orderBy(column)))
+    run = run.join(totals, [*by, "part"]).withColumn("upto", F.col("upto") + F.col("before"))
     aggs: list[Column] = []
     for p in percents:
         index = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p) / 100))

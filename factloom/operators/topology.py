@@ -11,9 +11,10 @@ from factloom.functions.staging import cut
 KINDS = ("event", "entity", "temporal", "context", "provenance", "neighborhood")
 
 
-def members(facts: DataFrame, kinds: tuple[str, ...] = ("event", "entity", "temporal", "context", "provenance")) -> DataFrame:
+def members(facts: DataFrame, kinds: tuple[str, ...] = ("event", "entity", "temporal", "context", "provenance"), versions: bool = True) -> DataFrame:
     """Open sets of every fact by one explode: its event, its entities, its year, its context with all
-    ancestors, its source and its method.  ``neighborhood`` adds the sets of facts that share a reference."""
+    ancestors, its source and its method.  ``neighborhood`` adds the sets of facts that share a reference.
+    With ``versions`` off every id has one row, and nothing has to be shuffled."""
 
     def sets(kind: str, names: Column) -> Column:
         return F.transform(names, lambda n: F.struct(F.concat(F.lit(kind + ":"), n).alias("open_set"), F.lit(kind).alias("kind")))
@@ -30,7 +31,8 @@ def members(facts: DataFrame, kinds: tuple[str, ...] = ("event", "entity", "temp
     unknown = set(kinds) - set(by_kind)
     if unknown:
         raise ValueError(f"unknown kinds of open sets: {sorted(unknown)}")
-    return facts.select("fact_id", F.explode(F.concat(*(by_kind[k] for k in kinds))).alias("o")).select("o.open_set", "o.kind", "fact_id").distinct()
+    rows = facts.select("fact_id", F.explode(F.concat(*(by_kind[k] for k in kinds))).alias("o")).select("o.open_set", "o.kind", "fact_id")
+    return rows.distinct() if versions else rows
 
 
 def sizes(open_sets: DataFrame) -> DataFrame:
