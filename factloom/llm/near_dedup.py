@@ -10,8 +10,8 @@
    of buckets with the same classes one stays.
 4. Within a bucket, pairs are compared by the collision-corrected estimate.
    What may reach the threshold, five deviations off, is tied into clusters.
-5. Within a cluster, all pairs are confirmed on full sets.  Clusters (and
-   buckets) beyond a block's size are dealt as pairs of blocks over many tasks.
+5. Within a cluster, pairs are confirmed on full sets.  Clusters (and buckets)
+   beyond a block's size are dealt as pairs of blocks over many tasks; see ``tied``.
 6. Confirmed links make components; the smallest id of each stays.
 
 Tasks return spanning links only, never all pairs of a group, and components
@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.graph import components
@@ -206,16 +206,19 @@ def _compare(pairs: Pairs):
             order = np.argsort(np.array(ids, np.int64), kind="stable")
             who, block = [ids[k] for k in order], [blocks[k] for k in order]
             forest, cross = _Forest(len(who)), []
+            for k in range(len(who) - 1):
+                if who[k] == who[k + 1]:
+                    forest.join(k, k + 1)
             for k, hits in pairs([items[i] for i in order]):
                 for h in hits.tolist():
-                    if block[k] == block[h]:
-                        forest.join(k, h)
-                    else:
+                    if block[k] != block[h]:
                         cross.append((k, h))
+                    elif block[k] >= 0:
+                        forest.join(k, h)
             if now[1] == now[2]:
                 told = [(who[k], who[forest.root(k)]) for k in range(len(who))]
             else:
-                # Ties within either block are told by the block's own group; here only what ties the two.
+                # Ties within a settled block are told by the block's own group; here only what ties the two.
                 told = []
                 for k, h in cross:
                     if forest.root(k) != forest.root(h):
@@ -248,14 +251,42 @@ def _compare(pairs: Pairs):
     return compare
 
 
-def _dealt(rows: DataFrame, group: str, size: str, item: str) -> DataFrame:
-    """``rows`` as (g, lo, hi, block, cid, item), once for each pair of blocks they take part in, grouped for ``_compare``."""
-    blocks = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
-    mine: Column = F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int")
-    rows = rows.withColumn("nb", blocks).withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select(F.col(group).alias("g"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", F.col(item).alias("item"))
-    n = partitions(rows.sparkSession)
-    return rows.repartition(n, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Rows (g, lo, hi, block, cid, item) as ``_compare`` wants them."""
+    rows = rows.select("g", "lo", "hi", "block", "cid", "item")
+    return rows.repartition(partitions(rows.sparkSession), "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
+
+
+def tied(rows: DataFrame, pairs: Pairs, ws: Workspace, name: str) -> DataFrame:
+    """(node, label) of all ties within the groups of ``rows`` (g, n, cid, item), n being the group's size.
+
+    A group of up to two blocks compares all.  A larger one first compares
+    each block with itself and with its first block, a sample of the group by
+    hash: in a group of copies this ties nearly all.  Whoever is not in the
+    group's main component then meets all of the group, so no tie between
+    different components is missed; ties within one need no looking for.
+    """
+    block = F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int")
+    rows = rows.withColumn("nb", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).withColumn("block", block)
+    every = F.sequence(F.lit(0), F.col("nb") - 1)
+    others = F.when((F.col("nb") <= 2) | (F.col("block") == 0), every).otherwise(F.array(F.lit(0), F.col("block")))
+    first = rows.withColumn("other", F.explode(others)).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    found = ws.table(_grouped(first).mapInArrow(_compare(pairs), "a long, b long"), f"{name}-ties")
+    labels = components(found, ws, f"{name}-first")
+    large = rows.where("nb > 2")
+    if large.select("g").limit(1).isEmpty():
+        return labels
+    ours = large.join(labels, F.col("cid") == F.col("node"), "left").select("g", "nb", "block", "cid", F.coalesce("label", "cid").alias("label"))
+    ours = ws.table(ours, f"{name}-large")
+    main = ours.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    apart = ours.join(main, "g").where("label <> main").select("g", "nb", "cid")
+    size = apart.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
+    # Whoever is apart, in parts (block -1, as their own ties are not told elsewhere), against every settled block.
+    one = apart.join(size, "g").select("g", "cid", (-1 - F.pmod(F.xxhash64("cid", F.lit(3)), F.col("parts"))).cast("int").alias("lo"), F.explode(every).alias("hi"), F.lit(-1).alias("block"))
+    two = ours.join(size, "g").select("g", "cid", F.explode(F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: -k)).alias("lo"), F.col("block").alias("hi"), "block")
+    meet = one.unionByName(two).join(large.select("g", "cid", "item"), ["g", "cid"])
+    more = ws.table(_grouped(meet).mapInArrow(_compare(pairs), "a long, b long"), f"{name}-more")
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), ws, f"{name}-all")
 
 
 def near_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,10 +312,9 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     ws.free_shuffles()
     entries = ws.table(bands.join(once, "bk"), "entries")
     ws.free_shuffles()
-    alike = _dealt(entries.join(classes.select("cid", "sig"), "cid"), "bk", "n", "sig")
+    sketched = entries.join(classes.select("cid", "sig"), "cid").select(F.col("bk").alias("g"), "n", "cid", F.col("sig").alias("item"))
     deviation = (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
-    maybe = ws.table(alike.mapInArrow(_compare(_alike(percent / 100 - SLACK * deviation)), "a long, b long"), "maybe")
-    clusters = components(maybe, ws, "clusters")
+    clusters = tied(sketched, _alike(percent / 100 - SLACK * deviation), ws, "clusters")
     ws.free_shuffles()
 
     sizes = clusters.groupBy("label").agg(F.count("*").alias("n"))
@@ -294,8 +324,8 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     texts = slim.join(members.hint("merge"), F.col("doc_id") == F.col("cid")).select("cid", "label", "n", "text").mapInArrow(_full(shingle), "cid long, label long, n long, digest binary, item binary")
     own = classes.select(F.col("cid").alias("own_cid"), F.col("digest").alias("own_digest"))
     sets = texts.join(own, (F.col("cid") == F.col("own_cid")) & (F.col("digest") == F.col("own_digest")), "left_semi").dropDuplicates(["cid", "digest"]) if _repeats(sketches) else texts
-    links = ws.table(_dealt(sets, "label", "n", "item").mapInArrow(_compare(_linked(percent)), "a long, b long"), "links")
-    linked = components(links, ws, "linked")
+    sets = ws.table(sets.select(F.col("label").alias("g"), "n", "cid", "item"), "sets")
+    linked = tied(sets, _linked(percent), ws, "links")
     ws.free_shuffles()
 
     of_class = classes.join(linked, F.col("cid") == F.col("node"), "left").select("digest", F.coalesce("label", "cid").alias("class_id"))
