@@ -44,6 +44,15 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1|", text)
 
 
+def quote(role: str) -> str:
+    """A role on one line: a line break ends the header, so one within a role is written as a backslash and n."""
+    return role.replace("\\", "\\\\").replace("\n", "\\n")
+
+
+def unquote(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role)
+
+
 @lru_cache(maxsize=2)
 def tokenizer(vocabulary: str = VOCABULARY):
     """The vocabulary as an encoder without special strings; one per Python worker."""
@@ -61,7 +70,7 @@ def assemble(turns: list[tuple[str, str]], vocabulary: str = VOCABULARY) -> tupl
     edges: list[tuple[int, int]] = []
     for role, text in turns:
         ids.append(START_ID)
-        ids += encode(escape(role) + "\n")
+        ids += encode(escape(quote(role)) + "\n")
         body = encode(escape(text))
         if role == "assistant":
             edges += [(len(ids), 1), (len(ids) + len(body), -1)]
@@ -85,19 +94,14 @@ def read_back(ids: np.ndarray, loss: np.ndarray, vocabulary: str = VOCABULARY) -
         stop = starts[k + 1] if k + 1 < len(starts) else len(ids)
         inner, tail = decode(ids[a + 1 : b].tolist()).decode(), decode(ids[b + 1 : stop].tolist()).decode()
         whole += [START, inner, END, tail]
-        # A role never holds an unescaped line break (see ``_role``), so the first one ends the header.
         role, _, text = inner.partition("\n")
-        turns.append((unescape(role), unescape(text)))
+        turns.append((unquote(unescape(role)), unescape(text)))
         under = ids[a + 1 : b][loss[a + 1 : b]]
         if len(under) or role == "assistant":
             masked.append(unescape(decode(under.tolist()).decode()))
     return "".join(whole), turns, masked
 
 
-def _role(role: str | None) -> str:
-    return "" if role is None else role.replace("\n", " ")
-
-
 _TURN = "conv_id long, turn long, role string, ids array<int>, loss array<boolean>, text_key string"
 
 
@@ -105,9 +109,8 @@ def format_turns(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Every row of (conv_id, turn, role, text) with the ids and the mask of its piece of the conversation.
 
     Pieces are made where the rows lie; a conversation's tokens are its pieces
-    in the order of turns.  Defined results: a null text or role is empty, a
-    line break in a role is a space, repeated rows are repeated pieces, an
-    empty input gives an empty result.
+    in the order of turns.  Defined results: a null text or role is empty,
+    repeated rows are repeated pieces, an empty input gives an empty result.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +118,12 @@ def format_turns(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 conv, turn, roles, texts = (c.to_pylist() for c in part.columns)
-                made = [assemble([(_role(r), t or "")], vocabulary) for r, t in zip(roles, texts)]
+                made = [assemble([(r or "", t or "")], vocabulary) for r, t in zip(roles, texts)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(conv, pa.int64()),
                         pa.array(turn, pa.int64()),
-                        pa.array([_role(r) for r in roles]),
+                        pa.array([r or "" for r in roles]),
                         pa.array([m[0] for m in made], pa.list_(pa.int32())),
                         pa.array([m[1] for m in made], pa.list_(pa.bool_())),
                         pa.array([hashlib.md5((t or "").encode()).hexdigest() for t in texts]),
