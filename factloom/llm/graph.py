@@ -23,7 +23,7 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     while labels is None or not now.isEmpty():
         turn += 1
         near = now.select("a", "b").union(now.select("b", "a")).groupBy("a").agg(F.min("b").alias("m"))
-        first = ws.table(near.select(F.col("a").alias("node"), F.least("a", "m").alias("to")), f"{name}-near-{turn}")
+        first = near.select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
         ends = first.select(F.col("node").alias("to"), F.col("to").alias("end"))
         points = ws.table(first.join(ends, "to").select("node", F.col("end").alias("to")), f"{name}-points-{turn}")
         if labels is None:
@@ -34,5 +34,5 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
         a, b = points.select(F.col("node").alias("a"), F.col("to").alias("x")), points.select(F.col("node").alias("b"), F.col("to").alias("y"))
         moved = now.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         now = ws.table(moved, f"{name}-edges-{turn}")
-        ws.drop(f"{name}-edges-{turn - 1}", f"{name}-near-{turn}")
+        ws.drop(f"{name}-edges-{turn - 1}")
     return labels

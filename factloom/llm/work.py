@@ -18,16 +18,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Bytes of an Arrow batch on its way to a Python worker, where the session leaves Spark's 64 MB.
-BATCH_BYTES, _SPARKS_OWN = "4m", "67108864b"
+#: Settings for rows that hold whole texts, each only where the session leaves Spark's own value: 4 MB of an
+#: Arrow batch instead of 64, and 256 rows of a batch of Parquet's reader instead of 4096.
+_SETTINGS = [
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"),
+    ("spark.sql.parquet.columnarReaderBatchSize", "4096", "256"),
+]
 
 
 def ship(spark: SparkSession) -> None:
     """Ready the session for Python workers: they can import this package from where the driver has it
     (a cluster's ``--py-files`` does the same), and batches of whole texts stay small."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, _SPARKS_OWN) == _SPARKS_OWN:
-        spark.conf.set(key, BATCH_BYTES)
+    for key, own, ours in _SETTINGS:
+        if spark.conf.get(key, own) == own:
+            spark.conf.set(key, ours)
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
