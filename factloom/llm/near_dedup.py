@@ -310,7 +310,7 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     once = shape.where("n > 1").groupBy("n", "x", "y").agg(F.min("bk").alias("bk")).select("bk", "n")
     once = ws.table(once, "buckets")
     ws.free_shuffles()
-    entries = ws.table(bands.join(once, "bk"), "entries")
+    entries = ws.table(bands.join(once.hint("merge"), "bk"), "entries")  # as many buckets as the data have; never a broadcast
     ws.free_shuffles()
     sketched = entries.join(classes.select("cid", "sig"), "cid").select(F.col("bk").alias("g"), "n", "cid", F.col("sig").alias("item"))
     deviation = (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
