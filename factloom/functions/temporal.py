@@ -42,10 +42,16 @@ def overlaps(start: Column, end: Column, lo: datetime | Column | None, hi: datet
     return ok
 
 
+def micros(t: Column) -> Column:
+    """Microseconds since 1970 of a timestamp without a zone, whatever the session's zone."""
+    day = F.date_diff(t.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    second = (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+    return ((day * 24 + F.hour(t)) * 60 + F.minute(t)) * 60_000_000 + second
+
+
 def overlap_seconds(start: Column, end: Column, lo: Column, hi: Column) -> Column:
     """Length of the strict overlap, null where there is none."""
     a, b = F.greatest(start, lo), F.least(F.coalesce(end, hi), hi)
-    micros = lambda t: F.unix_micros(t.cast("timestamp"))
     return F.when(a < b, (micros(b) - micros(a)) / F.lit(1e6))
 
 

@@ -95,3 +95,15 @@ def test_slots(spark):
     assert value(spark, V.canonical(V.integer(1)) == V.canonical(V.number(1.0)))
     assert not value(spark, V.canonical(V.integer(1)) == V.canonical(V.text("1")))
     assert value(spark, V.is_uuid(F.lit("123e4567-e89b-12d3-a456-426614174000")))
+
+
+def test_overlaps_do_not_depend_on_the_sessions_zone(spark):
+    c = lambda t: F.lit(t).cast("timestamp_ntz")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            # The night in which New York's clocks skip an hour.
+            assert value(spark, T.overlap_seconds(c("2024-03-10 00:00:00"), c(None), c("2024-03-10 00:30:00.25"), c("2024-03-10 04:00:00"))) == 12599.75
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
