@@ -5,10 +5,11 @@ every whole text.  A window's SimHash is looked up in a multi-index: the 64
 bits are cut into RADIUS + 1 blocks, and fingerprints within RADIUS agree in a
 block at least, so no fingerprint within the radius is missed.  A candidate is
 confirmed by the exact weighted Jaccard similarity of its word shingles with
-the item's, each shingle weighing as often as it occurs.
+the item's, each shingle weighing as often as it occurs.  A text of fewer words
+than the item is one window by itself, and is compared exactly right away.
 
 A window without any shingle of an item has similarity 0, so only windows that
-hold one are hashed; that loses nothing.  Documents are scanned where they
+hold enough of its shingles are hashed; that loses nothing.  Documents are scanned where they
 lie; items are sent to them in blocks of bounded size, however many there are.
 """
 
@@ -116,8 +117,8 @@ def _weighted(window: np.ndarray, item: tuple[np.ndarray, np.ndarray]) -> float:
     return float(less / (c.sum() + item[1].sum() - less))
 
 
-def scan_text(words: np.ndarray, grams: dict[int, np.ndarray], hit: dict[int, np.ndarray], items: Items, n: int, least: float) -> Iterator[tuple[int, int, float, int]]:
-    """(item, start, similarity, distance) of the best confirmed window of each item in one text."""
+def scan_text(words: np.ndarray, grams: dict[int, np.ndarray], hit: dict[int, np.ndarray], items: Items, n: int, least: float) -> Iterator[tuple[int, int, int, float, int]]:
+    """(item, start, words, similarity, distance) of the best confirmed window of each item in one text."""
     near: dict[int, list[int]] = {}
     for size, at in hit.items():
         g = grams[size]
@@ -131,6 +132,9 @@ def scan_text(words: np.ndarray, grams: dict[int, np.ndarray], hit: dict[int, np
         size = min(n, length)
         g, m = grams[size], length - size + 1
         if len(words) < length:
+            # The whole text is the one window; it cannot reach the threshold with fewer hits than that share of the item.
+            if len(at) >= least * m and (s := _weighted(g, items.sets[k])) >= least:
+                yield k, 0, len(words), s, int((simhash(_planes(g), np.array([0]), len(g))[0] != items.index[k].prints[0]).sum())
             continue
         # Windows that hold one of the item's shingles, and of those the ones whose hits could reach the threshold at all.
         own = np.zeros(len(g) + 1, np.int64)
@@ -146,14 +150,14 @@ def scan_text(words: np.ndarray, grams: dict[int, np.ndarray], hit: dict[int, np
         best = None
         for w in np.flatnonzero(items.index[k].within(bits)[:, 0]):
             s = _weighted(g[starts[w] : starts[w] + m], items.sets[k])
-            if s >= least and (best is None or s > best[1]):
-                best = (int(starts[w]), s, int((bits[w] != items.index[k].prints[0]).sum()))
+            if s >= least and (best is None or s > best[2]):
+                best = (int(starts[w]), length, s, int((bits[w] != items.index[k].prints[0]).sum()))
         if best:
             yield k, *best
 
 
-def _hits(texts: pa.Array, items: Items, n: int, least: float) -> Iterator[tuple[int, int, int, float, int]]:
-    """(row, item, start, similarity, distance) over a column of texts."""
+def _hits(texts: pa.Array, items: Items, n: int, least: float) -> Iterator[tuple[int, int, int, int, float, int]]:
+    """(row, item, start, words, similarity, distance) over a column of texts."""
     sizes = sorted({min(n, int(w)) for w in items.words})
     for lo, _, buf, bounds in slices(texts):
         buf = LOWER[buf]
@@ -170,8 +174,8 @@ def _hits(texts: pa.Array, items: Items, n: int, least: float) -> Iterator[tuple
             a, z = int(first[r]), int(first[r + 1])
             grams = {s: g[a : max(a, z - s + 1)] for s, g in every.items()}
             hit = {s: f[np.searchsorted(f, a) : np.searchsorted(f, z)] - a for s, f in found.items()}
-            for k, start, sim, dist in scan_text(words[a:z], grams, hit, items, n, least):
-                yield lo + r, k, start, sim, dist
+            for k, start, length, sim, dist in scan_text(words[a:z], grams, hit, items, n, least):
+                yield lo + r, k, start, length, sim, dist
 
 
 def item_blocks(benchmark: DataFrame, most: int = ITEM_WORDS, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
@@ -194,7 +198,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, least
     """The contaminated documents: one row per document and item with the best window.
 
     Defined results: null and empty texts, and items without words, match
-    nothing; an item of fewer than ``n`` words is one shingle; items are
+    nothing; an item of fewer than ``n`` words is one shingle; a text of fewer
+    words than the item is compared as a whole; items are
     reported one by one, also equal ones; the first of equally good windows
     counts; repeated rows of ``docs`` are each reported; an empty table on
     either side gives an empty result.  Other columns are not read.
@@ -209,7 +214,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, least
             for b in batches:
                 got = list(_hits(b.column(1), items, n, least)) if items.ids else []
                 ids = b.column(0).to_pylist()
-                cols = [[ids[g[0]] for g in got], [items.ids[g[1]] for g in got], [g[2] for g in got], [int(items.words[g[1]]) for g in got], [g[3] for g in got], [g[4] for g in got]]
+                cols = [[ids[g[0]] for g in got], [items.ids[g[1]] for g in got], *([g[c] for g in got] for c in range(2, 6))]
                 kinds = [pa.int64()] * 4 + [pa.float64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in _FOUND.split(", ")])
 

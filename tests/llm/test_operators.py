@@ -183,6 +183,30 @@ def test_decontamination(spark, docs, odd, none, rows):
     assert decontamination.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_texts_shorter_than_the_item_are_compared_as_a_whole(spark):
+    rng = random.Random(5)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    items = [[word() for _ in range(k)] for k in (3, 8, 9, 16, 39)]
+    items.append((items[4][:6] * 7)[:40])
+    texts = [v[a:z] for v in items for a in range(5) for z in range(len(v), max(0, len(v) - 12), -1)]
+    texts += [v[:k] + ["other"] + v[k + 1 : -1] for v in items for k in range(0, len(v), 3)]
+    grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+    want = {}
+    for i, w in enumerate(texts):
+        for k, v in enumerate(items):
+            for s in range(max(1, len(w) - len(v) + 1)):
+                x, c = grams(w[s : s + len(v)]), grams(v)
+                less = sum((x & c).values())
+                sim = less / max(1, sum(x.values()) + sum(c.values()) - less)
+                if sim >= 0.8 and sim > want.get((i, k), (0,))[0]:
+                    want[i, k] = (sim, s, min(len(w), len(v)))
+    frame = lambda rows, i: spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], f"{i} long, text string")
+    found, bench = frame(texts, "doc_id"), frame(items, "item_id")
+    assert {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.n_words) for r in decontamination.contamination(found, bench).collect()} == want
+    assert any(len(texts[i]) < len(items[k]) for i, k in want)
+    assert {r.doc_id for r in decontamination.drop_contaminated(found, bench).collect()} == set(range(len(texts))) - {i for i, _ in want}
+
+
 def test_multi_index_misses_nothing_within_the_radius():
     rng = np.random.default_rng(4)
     held = rng.integers(0, 2, (30, 64)).astype(bool)
