@@ -1,7 +1,8 @@
 """The corpus pipeline: STAGES applied to ``documents``, each stage written and read again.
 
 A stage takes (spark, docs, sf_dir) and returns the rows that stay.  All but
-the last return the columns they were given; the last adds topic, tokens and p.
+the last return the columns they were given; the last adds topic, tokens and p
+and repeats documents where p, the expected number of copies, is above 1.
 """
 
 from __future__ import annotations
@@ -39,9 +40,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn so that sources, languages and topics meet their target shares of tokens."""
+    """Documents are drawn, scarce ones repeatedly, so that sources, languages and topics meet their target shares of tokens."""
     ship(spark)
-    return mixing.sample(docs)
+    return mixing.fill(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

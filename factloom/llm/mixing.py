@@ -5,6 +5,10 @@ weights are raked: scaled to one marginal after the other, round after round,
 until all three hold.  A document is then kept with the probability its cell
 has been given, decided by a hash of its id, so that a rerun keeps the same.
 
+A chance ends at 1, so ``mix`` and ``sample`` cannot give a cell more tokens than
+it has, and miss the targets of scarce sources, languages and topics.  ``fill``
+meets them: it repeats documents, each as often as its cell's weight asks for.
+
 The cells' number is bounded by the distinct combinations, not by the
 documents; each scaling is a windowed sum over one dimension, and the chain of
 scalings refers to every step once, so the plan grows linearly.
@@ -79,6 +83,11 @@ def calibrated(cells: DataFrame, rate: float = RATE, steps: int = CALIBRATIONS)
     return cells.withColumn("p", F.when(F.col("w0") > 0, F.least(F.lit(1.0), F.col("ratio") * F.lit(factor))).otherwise(F.lit(float(rate))))
 
 
+def expected(cells: DataFrame, rate: float = RATE) -> DataFrame:
+    """Raked cells with ``e``, how often a document is to be drawn: w/w0 times ``rate``, also above 1, so that all margins hold."""
+    return cells.withColumn("e", F.when(F.col("w0") > 0, F.col("w") / F.col("w0") * rate).otherwise(F.lit(float(rate))))
+
+
 def chance(id_col: str, seed: int = 17) -> Column:
     """A number in [0, 1) that depends on the id alone."""
     text = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))
@@ -102,21 +111,42 @@ def mix(docs: DataFrame, rate: float = RATE, temper: Mapping[str, float] = TEMPE
     return rows.join(p, keys).select("doc_id", *keys, "tokens", F.round("p", 6).alias("p"), (chance("doc_id", seed) < F.round("p", 6)).alias("kept"))
 
 
-def sample(docs: DataFrame, rate: float = RATE, temper: Mapping[str, float] = TEMPER, rounds: int = ROUNDS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are drawn, with their columns and topic, tokens and p (named apart if they clash).
-
-    The same draws as ``mix`` marks as kept; only the cells' chances are joined.
-    """
+def _placed(docs: DataFrame, chances, name: str, temper: Mapping[str, float], rounds: int, id_col: str, text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the tokens, keys and ``name`` of each row's cell, and what these columns are called."""
     ws = Workspace(docs.sparkSession, "mixing")
     keys = ["source", "lang", "topic"]
     rows = ws.table(measured(docs, id_col, text_col).drop("doc_id"), "measured")
     cells = ws.table(rows.groupBy(*keys).agg(F.sum("tokens").cast("double").alias("w0")), "cells")
-    p = calibrated(ws.table(rake(cells, temper, rounds), "raked"), rate)
-    mine = {c: spare_name(f"mix_{c}", docs.columns) for c in [*keys, "p"]}
+    p = chances(ws.table(rake(cells, temper, rounds), "raked"))
+    mine = {c: spare_name(f"mix_{c}", docs.columns) for c in [*keys, name]}
     tokens = spare_name("tokens", docs.columns)
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     count = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     out = docs.withColumn(tokens, count).withColumns({mine["source"]: key("source"), mine["lang"]: key("lang"), mine["topic"]: topic_of(F.col(tokens))})
-    out = out.join(p.select(*(F.col(c).alias(mine[c]) for c in keys), F.round("p", 6).alias(mine["p"])), [mine[c] for c in keys])
+    out = out.join(p.select(*(F.col(c).alias(mine[c]) for c in keys), F.round(name, 6).alias(mine[name])), [mine[c] for c in keys])
+    return out, mine | {"tokens": tokens}
+
+
+def sample(docs: DataFrame, rate: float = RATE, temper: Mapping[str, float] = TEMPER, rounds: int = ROUNDS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are drawn, with their columns and topic, tokens and p (named apart if they clash).
+
+    The same draws as ``mix`` marks as kept; only the cells' chances are joined.
+    """
+    out, mine = _placed(docs, lambda cells: calibrated(cells, rate), "p", temper, rounds, id_col, text_col)
     out = out.where(chance(id_col, seed) < F.col(mine["p"]))
-    return out.select(*docs.columns, F.col(mine["topic"]).alias(spare_name("topic", docs.columns)), tokens, F.col(mine["p"]).alias(spare_name("p", docs.columns)))
+    return out.select(*docs.columns, F.col(mine["topic"]).alias(spare_name("topic", docs.columns)), mine["tokens"], F.col(mine["p"]).alias(spare_name("p", docs.columns)))
+
+
+def fill(docs: DataFrame, rate: float = RATE, temper: Mapping[str, float] = TEMPER, rounds: int = ROUNDS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, each as often as it is drawn, with their columns and topic, tokens and p (named apart if they clash).
+
+    ``p`` is how often a row is expected: the whole part of it is sure, the
+    rest is drawn by the hash of the id.  Above 1 documents repeat; rows
+    without tokens add to no share and come once at most.
+    """
+    out, mine = _placed(docs, lambda cells: expected(cells, rate), "e", temper, rounds, id_col, text_col)
+    e = F.when(F.col(mine["tokens"]) > 0, F.col(mine["e"])).otherwise(F.least(F.lit(1.0), F.col(mine["e"])))
+    copies = (F.floor(e) + (chance(id_col, seed) < e - F.floor(e)).cast("long")).cast("int")
+    copy = spare_name("copy", [*out.columns])
+    out = out.withColumn(mine["e"], e).where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
+    return out.select(*docs.columns, F.col(mine["topic"]).alias(spare_name("topic", docs.columns)), mine["tokens"], F.col(mine["e"]).alias(spare_name("p", docs.columns)))

@@ -364,6 +364,30 @@ def test_mixing(spark, odd, none):
     assert Counter(r.doc_id for r in s.collect()) == Counter(r.doc_id for r in got if r.kept)
 
 
+def test_filling_meets_the_margins_of_scarce_cells(spark):
+    import corpus_pipeline
+
+    sizes = [("web", "en", 500)] * 300 + [("web", "de", 100)] * 100 + [("wiki", "en", 100)] * 100 + [("wiki", "de", 500)] * 100 + [("web", "en", 10)] * 60 + [("wiki", "de", 10)] * 30
+    sizes *= 8
+    few = spark.createDataFrame([(i, "w " * n, lang, source) for i, (source, lang, n) in enumerate(sizes)], "doc_id long, text string, lang string, source string")
+    total, rate = sum(n for *_, n in sizes), mixing.RATE
+    drawn = corpus_pipeline.mix_sources(spark, few, "").collect()
+    assert abs(sum(r.tokens for r in drawn) / total - rate) < 0.04 * rate
+    topic = lambda n: "note" if n < 50 else "article" if n < 400 else "longform"
+    for dim, key in (("source", lambda x: x[0]), ("lang", lambda x: x[1]), ("topic", lambda x: topic(x[2]))):
+        own, now = Counter(), Counter()
+        for x in sizes:
+            own[key(x)] += x[2]
+        for r in drawn:
+            now[r[dim]] += r.tokens
+        norm = sum((x / total) ** mixing.TEMPER[dim] for x in own.values())
+        for k in own:
+            assert abs(now[k] / sum(now.values()) / ((own[k] / total) ** mixing.TEMPER[dim] / norm) - 1) < 0.1
+    copies = Counter(r.doc_id for r in drawn)
+    p = {r.doc_id: r.p for r in drawn}
+    assert max(copies.values()) > 1 and all(n in (int(p[i]), int(p[i]) + 1) for i, n in copies.items())
+
+
 def test_raking_meets_all_margins(spark):
     rng = random.Random(1)
     cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", float(rng.randint(1, 1000))) for a in range(5) for b in range(3) for c in range(3)], "source string, lang string, topic string, w0 double")
