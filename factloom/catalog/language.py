@@ -39,7 +39,7 @@ def _lang(name: str, text: str, ctes: str, sql: str, tables) -> None:
 _O, _L, _P = {"facts": T.order_facts}, {"facts": T.lineitem_facts}, {"facts": T.place_facts}
 _lang("lang_select", "SELECT ?f, ?f.subject, ?f.status AS status FROM facts ?f WHERE ?f.arg1 > 350000 AND ?f.status != 'F'", ORDERS, "select fact_id as f, subject as f_subject, status from orders_f where num1 > 350000 and status <> 'F'", _O)
 _lang("lang_predicates", "SELECT ?f FROM facts ?f CONTEXT(?f, 'world.1996') TEMPORAL(?f, '1996-02-01', '1996-03-01') PROVENANCE(?f, '5-LOW')", ORDERS, "select fact_id as f from orders_f where starts_with(context, 'world.1996.') and vs < timestamp '1996-03-01' and ve > timestamp '1996-02-01' and source = '5-LOW'", _O)
-_lang("lang_neighborhood", "SELECT ?f FROM facts ?f NEIGHBORHOOD(?f, 'nation/4') LIMIT 1000", PLACES, "select fact_id as f from places_f where subject = 'nation/4' or obj0 = 'nation/4'", _P)
+_lang("lang_neighborhood", "SELECT ?f FROM facts ?f NEIGHBORHOOD(?f, 'nation/4')", PLACES, "select fact_id as f from places_f where subject = 'nation/4' or obj0 = 'nation/4'", _P)
 _lang("lang_group", "SELECT ?f.status AS status, COUNT(*) AS n, MAX(?f.arg1) AS top FROM facts ?f WHERE ?f.confidence >= 0.5 GROUP BY ?f.status HAVING n > 10", ORDERS, "select status, count(*) as n, max(num1) as top from orders_f where confidence >= 0.5 group by status having count(*) > 10", _O)
 _lang("lang_union", "SELECT ?f.subject AS x FROM facts ?f WHERE ?f.arg0 = 'region/1' UNION SELECT ?f.arg0 AS x FROM facts ?f WHERE ?f.subject = 'nation/1'", PLACES, "select subject as x from places_f where obj0 = 'region/1' union select obj0 from places_f where subject = 'nation/1'", _P)
 _lang("lang_distinct", "SELECT DISTINCT ?f.arg4 AS flag, ?f.context AS ctx FROM facts ?f", LINES, "select distinct obj4 as flag, context as ctx from lines_f", _L)

@@ -42,6 +42,12 @@ def test_query_equals_sql(name, spark, sf_dir, duck):
     assert got == expected
 
 
+def test_neighborhood_is_not_capped(spark, tmp_path):
+    for table, key, nation, n in (("customer", "c_custkey", "c_nationkey", 1200), ("supplier", "s_suppkey", "s_nationkey", 5), ("nation", "n_nationkey", "n_regionkey", 5)):
+        spark.range(n).selectExpr(f"id as {key}", f"{'4' if n > 5 else 'id'} as {nation}").write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert QUERIES["lang_neighborhood"](spark, str(tmp_path)).count() == 1202
+
+
 def test_nothing_is_registered_without_reason():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"intersection_closure"}
