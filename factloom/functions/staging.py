@@ -13,6 +13,23 @@ def shared_dir(spark: SparkSession) -> str:
     return (base or "/tmp/factloom-shared").rstrip("/")
 
 
+class Levels:
+    """The levels of a traversal, each written on its own and all read by one scan: a plan as small at any level as at the first."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.n = spark, 0
+        self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+    def add(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/level-{self.n}"
+        df.write.parquet(path)
+        self.n, self.schema = self.n + 1, df.schema
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.base)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written and read again: an iteration's plan starts from a scan, not from all iterations before it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.staging import cut
+from factloom.functions.staging import Levels, cut
 
-#: Levels after which an unbounded traversal gives up loudly.
+#: Levels after which a search for one node gives up loudly.
 MAX_DEPTH = 100
 #: Levels that are chained in one plan before it is cut.
 CHAIN = 2
@@ -68,36 +70,39 @@ def paths(edges: DataFrame, source: str, target: str | None, length: int) -> Dat
     return out.select("path", (F.size("path") - 1).alias("hops"))
 
 
-def chain(derivations: DataFrame, start: DataFrame, limit: int = MAX_DEPTH) -> DataFrame:
+def chain(derivations: DataFrame, start: DataFrame, limit: int | None = None) -> DataFrame:
     """(start, step, node): first parents followed until there is none, or a node comes again.
 
-    ``derivations`` is (child, parent, pos), ``start`` has column ``start``.
+    ``derivations`` is (child, parent, pos), ``start`` has column ``start``.  Nothing is left
+    out: a chain of more than ``limit`` steps raises, where one is given.
     """
     first = derivations.groupBy("child").agg(F.min_by("parent", "pos").alias("parent"))
-    now = start.select("start", F.col("start").alias("node"), F.lit(0).alias("step"), F.array("start").alias("seen"))
-    out = cut(now, "chain")
-    now = out
-    for step in range(1, limit + 1):
+    levels = Levels(start.sparkSession, "chain")
+    now = levels.add(start.select("start", F.col("start").alias("node"), F.lit(0).alias("step"), F.array("start").alias("seen")))
+    for step in count(1):
         now = now.join(first, now["node"] == first["child"]).where("not array_contains(seen, parent)").select("start", F.col("parent").alias("node"), F.lit(step).alias("step"), F.concat("seen", F.array("parent")).alias("seen"))
-        now = cut(now, "chain")
+        now = levels.add(now)
         if now.isEmpty():
-            break
-        out = out.union(now)
-    return out.select("start", "step", "node")
+            return levels.all().select("start", "step", "node")
+        if limit is not None and step > limit:
+            raise ValueError(f"a chain goes on after {limit} steps")
 
 
-def lineage(derivations: DataFrame, start: DataFrame, limit: int = MAX_DEPTH) -> DataFrame:
-    """(start, node, depth): all ancestors with their least depth; cycles end by what has been seen."""
+def lineage(derivations: DataFrame, start: DataFrame, limit: int | None = None) -> DataFrame:
+    """(start, node, depth): all ancestors with their least depth; cycles end by what has been seen.
+
+    Nothing is left out: ancestors beyond ``limit`` levels raise, where one is given.
+    """
     e = derivations.select("child", "parent").distinct()
-    seen = cut(start.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "lineage")
-    front = seen
-    for level in range(1, limit + 1):
+    levels = Levels(start.sparkSession, "lineage")
+    front = levels.add(start.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
+    for level in count(1):
         step = front.join(e, front["node"] == e["child"]).select("start", F.col("parent").alias("node")).distinct()
-        front = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(level)), "lineage")
+        front = levels.add(step.join(levels.all().select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(level)))
         if front.isEmpty():
-            break
-        seen = seen.union(front)
-    return seen
+            return levels.all()
+        if limit is not None and level > limit:
+            raise ValueError(f"ancestors go on after {limit} levels")
 
 
 def reaches(edges: DataFrame, source: str, target: str, limit: int = MAX_DEPTH) -> bool:

@@ -163,6 +163,18 @@ def test_lineage_and_chain_survive_cycles(spark):
     assert {r.node: r.depth for r in graph.lineage(d, start).collect()} == {"x": 0, "y": 1, "z": 1, "w": 2}
 
 
+def test_deep_derivations_are_followed_to_their_end(spark):
+    n = 104
+    d = spark.createDataFrame([(f"n{k}", f"n{k + 1}", 0) for k in range(n)], "child string, parent string, pos int").coalesce(1).cache()
+    start = spark.createDataFrame([("n0",)], "start string")
+    assert [(r.step, r.node) for r in graph.chain(d, start).orderBy("step").collect()] == [(k, f"n{k}") for k in range(n + 1)]
+    assert {r.node: r.depth for r in graph.lineage(d, start).collect()} == {f"n{k}": k for k in range(n + 1)}
+    for follow in (graph.chain, graph.lineage):
+        with pytest.raises(ValueError):
+            follow(d, start, limit=3)
+        assert follow(d.where("child >= 'n101'"), start.select(F.lit("n101").alias("start")), limit=3).count() == 4
+
+
 def test_high_arity(table):
     f = table(fact("a", relation="r", objects=["@x", 1, "t"]), fact("b", relation="r", objects=["@x"]), fact("c", relation="r"))
     assert ids(joins.high_arity_lookup(f, "r", {0: "x", 1: 1})) == ["a"]
