@@ -92,8 +92,8 @@ def restriction_edges(s, d):
 
 @query("intersection_closure")
 def intersection_closure(s, d):
-    few = T.place_facts(s, d).where(F.col("subject").startswith("nation/"))
-    return topology.intersection_closure(topology.members(few, ("entity", "context"))).select("open_set", F.size("points").alias("n"))
+    closed = topology.closed_members(topology.members(T.place_facts(s, d), ("entity", "context")))
+    return closed.groupBy("open_set").agg(F.count("*").cast("int").alias("n"))
 
 
 @query("neighborhood_sets", f"with {PLACES} select 'neighborhood:' || obj0 as open_set, count(*) as n_facts from places_f group by 1")

@@ -48,6 +48,20 @@ def test_neighborhood_is_not_capped(spark, tmp_path):
     assert QUERIES["lang_neighborhood"](spark, str(tmp_path)).count() == 1202
 
 
+def test_intersection_closure_covers_the_whole_table(spark, sf_dir, duck):
+    sets = {}
+    for kind, key, above, k, up in (("customer", "c_custkey", "nation", 0, "c_nationkey"), ("supplier", "s_suppkey", "nation", 0, "s_nationkey"), ("nation", "n_nationkey", "region", 0, "n_regionkey")):
+        for i, j in duck.sql(f"select {key}, {up} from {kind}").fetchall():
+            for name in (f"{kind}/{i}", f"{above}/{j}", "world"):
+                sets.setdefault(name, set()).add(f"{kind}/{i}")
+    closed = {frozenset(x) for x in sets.values()}
+    while more := {a & b for a in closed if len(a) > 1 for b in closed if len(b) > 1} - closed - {frozenset()}:
+        closed |= more
+    got = QUERIES["intersection_closure"](spark, sf_dir).collect()
+    assert sorted(r.n for r in got) == sorted(map(len, closed))
+    assert len({r.open_set for r in got}) == len(got)
+
+
 def test_nothing_is_registered_without_reason():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"intersection_closure"}
