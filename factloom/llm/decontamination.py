@@ -1,16 +1,21 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-For each benchmark item, windows of the item's own number of words slide over
-every whole text.  A window's SimHash is looked up in a multi-index: the 64
-bits are cut into RADIUS + 1 blocks, and fingerprints within RADIUS agree in a
-block at least, so no fingerprint within the radius is missed.  A candidate is
-confirmed by the exact weighted Jaccard similarity of its word shingles with
-the item's, each shingle weighing as often as it occurs.  A text of fewer words
-than the item is one window by itself, and is compared exactly right away.
-
-A window without any shingle of an item has similarity 0, so only windows that
-hold enough of its shingles are hashed; that loses nothing.  Documents are scanned where they
-lie; items are sent to them in blocks of bounded size, however many there are.
+For each number of words that benchmark items have, windows of that size slide
+over every whole text.  A window's SimHash is looked up in one multi-index over
+the fingerprints of all items of the size: the 64 bits are cut into RADIUS + 1
+blocks, and fingerprints within RADIUS agree in a block at least, so no item
+within the radius is missed.  What the index proposes is confirmed by the exact
+weighted Jaccard similarity of the word shingles, each weighing as often as it
+occurs.  A text of fewer words than the item is one window by itself.
+
+A window without a shingle of any item has similarity 0 with all of them and is
+not hashed.  Where shingles do not repeat, similarity 0.8 leaves two
+fingerprints 9.7 of 64 bits apart with a deviation of 2.9, so RADIUS loses one
+in 1e8; where they do repeat, in the window or in the item, fingerprints say
+less, and the pair is confirmed whatever its distance.
+
+Documents are scanned where they lie; items are sent to them in blocks of
+bounded size, however many there are.
 """
 
 from __future__ import annotations
@@ -27,10 +32,11 @@ from factloom.llm.words import LOWER, NOT_ALNUM, U, gram_hashes, mix, slices, sp
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: At similarity 0.8, fingerprints differ in 9.7 of 64 bits with a deviation of 2.9.
-RADIUS = 23
-#: Words of the items that one pass over the documents looks for.
-ITEM_WORDS = 2_000_000
+RADIUS = 28
+#: Words of the items that one pass over the documents looks for: some 30 bytes each in every Python worker.
+ITEM_WORDS = 1_000_000
+#: Shingles of a text whose running sums are held at once.
+REGION = 1 << 14
 
 _EDGES = np.linspace(0, 64, RADIUS + 2).astype(int)
 
@@ -42,15 +48,34 @@ def _shingles(words: np.ndarray, n: int) -> np.ndarray:
     return mix(gram_hashes(words, len(words)) + U(len(words))) if len(words) else np.zeros(0, U)
 
 
-def _planes(shingles: np.ndarray) -> np.ndarray:
-    """Running sums of +1 and -1 by bit: row k is the sum over the first k shingles."""
-    bits = np.unpackbits(mix(shingles).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
-    return np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-
-
-def simhash(planes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of the windows of ``size`` shingles that begin at ``starts``, as rows of 64 bits."""
-    return (planes[starts + size] - planes[starts]) > 0
+def simhash(shingles: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of the windows of ``size`` shingles that begin at ``starts``, ascending, as rows of 64 bits."""
+    out = np.zeros((len(starts), 64), bool)
+    lo = 0
+    while lo < len(starts):
+        hi = int(np.searchsorted(starts, starts[lo] + max(1, REGION - size), "left"))
+        part = shingles[starts[lo] : starts[hi - 1] + size]
+        bits = np.unpackbits(mix(part).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+        sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+        at = starts[lo:hi] - starts[lo]
+        out[lo:hi] = sums[at + size] > sums[at]
+        lo = hi
+    return out
+
+
+def repeating(shingles: np.ndarray, size: int) -> np.ndarray:
+    """For every window of ``size`` shingles whether one of them occurs twice in it."""
+    order = np.argsort(shingles, kind="stable")
+    before = np.full(len(shingles), -1, np.int64)
+    same = np.flatnonzero(shingles[order][1:] == shingles[order][:-1])
+    before[order[same + 1]] = order[same]
+    # The largest place of an earlier twin in the window, by windows of 1, 2, 4 .. places.
+    span = 1
+    while span * 2 <= size:
+        before = np.maximum(before[:-span], before[span:])
+        span *= 2
+    starts = np.arange(len(shingles) - size + 1)
+    return np.maximum(before[starts], before[starts + size - span]) >= starts
 
 
 class MultiIndex:
@@ -80,18 +105,19 @@ class MultiIndex:
 
 @dataclass
 class Items:
-    """One block of the benchmark: each item's id, number of words, shingles with counts, and where to look them up."""
+    """One block of the benchmark: items with their shingles and counts, and where to look them up."""
 
     ids: list[int]
     words: np.ndarray
     sets: list[tuple[np.ndarray, np.ndarray]]
-    index: list[MultiIndex]
     keys: np.ndarray  # distinct shingles of all items, ascending
-    owners: list[np.ndarray]  # items of each key
+    owners: np.ndarray  # items of each key, key after key
+    first: np.ndarray  # where a key's owners begin, and the end
+    groups: dict[int, tuple[np.ndarray, MultiIndex, np.ndarray]]  # by number of words: items, their fingerprints, whether shingles repeat
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]], n: int = SHINGLE) -> Items:
-        ids, size, sets, index = [], [], [], []
+        ids, size, sets, prints = [], [], [], []
         for i, text in rows:
             for _, _, buf, bounds in slices(pa.array([text], pa.string())):
                 buf = LOWER[buf]
@@ -102,12 +128,23 @@ class Items:
                 ids.append(i)
                 size.append(len(words))
                 sets.append(np.unique(s, return_counts=True))
-                index.append(MultiIndex(simhash(_planes(s), np.array([0]), len(s))))
+                prints.append(simhash(s, np.array([0]), len(s))[0])
         keys = np.concatenate([u for u, _ in sets]) if sets else np.zeros(0, U)
-        of = np.repeat(np.arange(len(sets)), [len(u) for u, _ in sets])
-        distinct, where = np.unique(keys, return_inverse=True)
-        order = np.argsort(where, kind="stable")
-        return cls(ids, np.array(size, np.int64), sets, index, distinct, np.split(of[order], np.cumsum(np.bincount(where, minlength=len(distinct)))[:-1]) if len(distinct) else [])
+        of = np.repeat(np.arange(len(sets), dtype=np.int32), [len(u) for u, _ in sets])
+        order = np.argsort(keys, kind="stable")
+        distinct, counts = np.unique(keys, return_counts=True)
+        length, groups = np.array(size, np.int64), {}
+        for words in set(size):
+            own = np.flatnonzero(length == words)
+            groups[words] = own, MultiIndex(np.array([prints[k] for k in own])), np.array([(sets[k][1] > 1).any() for k in own])
+        return cls(ids, length, sets, distinct, of[order], np.concatenate([[0], np.cumsum(counts)]), groups)
+
+    def of_keys(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The owners of each of ``keys`` (all known), and which key each is of."""
+        at = np.searchsorted(self.keys, keys)
+        lo, n = self.first[at], self.first[at + 1] - self.first[at]
+        which = np.repeat(np.arange(len(keys)), n)
+        return self.owners[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]], which
 
 
 def _weighted(window: np.ndarray, item: tuple[np.ndarray, np.ndarray]) -> float:
@@ -117,43 +154,41 @@ def _weighted(window: np.ndarray, item: tuple[np.ndarray, np.ndarray]) -> float:
     return float(less / (c.sum() + item[1].sum() - less))
 
 
-def scan_text(words: np.ndarray, grams: dict[int, np.ndarray], hit: dict[int, np.ndarray], items: Items, n: int, least: float) -> Iterator[tuple[int, int, int, float, int]]:
+def scan_text(n_words: int, grams: dict[int, np.ndarray], hit: dict[int, np.ndarray], items: Items, n: int, least: float) -> Iterator[tuple[int, int, int, float, int]]:
     """(item, start, words, similarity, distance) of the best confirmed window of each item in one text."""
-    near: dict[int, list[int]] = {}
     for size, at in hit.items():
-        g = grams[size]
-        for p in at.tolist():
-            for k in items.owners[int(np.searchsorted(items.keys, g[p]))].tolist():
-                if min(n, int(items.words[k])) == size:
-                    near.setdefault(k, []).append(p)
-    planes: dict[int, np.ndarray] = {}
-    for k, at in near.items():
-        length = int(items.words[k])
-        size = min(n, length)
-        g, m = grams[size], length - size + 1
-        if len(words) < length:
-            # The whole text is the one window; it cannot reach the threshold with fewer hits than that share of the item.
-            if len(at) >= least * m and (s := _weighted(g, items.sets[k])) >= least:
-                yield k, 0, len(words), s, int((simhash(_planes(g), np.array([0]), len(g))[0] != items.index[k].prints[0]).sum())
+        if not len(at):
             continue
-        # Windows that hold one of the item's shingles, and of those the ones whose hits could reach the threshold at all.
-        own = np.zeros(len(g) + 1, np.int64)
-        own[np.array(at) + 1] = 1
-        sums = np.cumsum(own)
-        reach = np.unique(np.concatenate([np.arange(max(0, p - m + 1), min(p, len(g) - m) + 1) for p in at]))
-        starts = reach[sums[reach + m] - sums[reach] >= least * m]
-        if not len(starts):
-            continue
-        if size not in planes:
-            planes[size] = _planes(g)
-        bits = simhash(planes[size], starts, m)
-        best = None
-        for w in np.flatnonzero(items.index[k].within(bits)[:, 0]):
-            s = _weighted(g[starts[w] : starts[w] + m], items.sets[k])
-            if s >= least and (best is None or s > best[2]):
-                best = (int(starts[w]), length, s, int((bits[w] != items.index[k].prints[0]).sum()))
-        if best:
-            yield k, *best
+        g = grams[size]
+        owner, which = items.of_keys(g[at])
+        fits = np.minimum(items.words[owner], n) == size
+        owner, place = owner[fits], at[which[fits]]
+        for length in np.unique(items.words[owner]).tolist():
+            ours = items.words[owner] == length
+            own, places = owner[ours], place[ours]
+            m = min(length - size + 1, len(g))  # a text of fewer words than the item is one window by itself
+            marks = np.zeros(len(g) + 1, np.int64)
+            marks[places + 1] = 1
+            sums = np.cumsum(marks)
+            starts = np.flatnonzero(sums[m:] > sums[: len(sums) - m])
+            group, index, twice = items.groups[length]
+            bits = simhash(g, starts, m)
+            near = index.within(bits) | repeating(g, m)[starts][:, None] | twice[None, :]
+            for j in np.flatnonzero(near.any(axis=0)).tolist():
+                k = int(group[j])
+                mine = np.zeros(len(g) + 1, np.int64)
+                mine[places[own == k] + 1] = 1
+                held = np.cumsum(mine)
+                w = np.flatnonzero(near[:, j])
+                # No similarity beyond the share of the item's places that can be matched.
+                w = w[held[starts[w] + m] - held[starts[w]] >= least * (length - size + 1)]
+                best = None
+                for x in w.tolist():
+                    s = _weighted(g[starts[x] : starts[x] + m], items.sets[k])
+                    if s >= least and (best is None or s > best[1]):
+                        best = (x, s)
+                if best:
+                    yield k, int(starts[best[0]]), min(length, n_words), best[1], int((bits[best[0]] != index.prints[j]).sum())
 
 
 def _hits(texts: pa.Array, items: Items, n: int, least: float) -> Iterator[tuple[int, int, int, int, float, int]]:
@@ -174,7 +209,7 @@ def _hits(texts: pa.Array, items: Items, n: int, least: float) -> Iterator[tuple
             a, z = int(first[r]), int(first[r + 1])
             grams = {s: g[a : max(a, z - s + 1)] for s, g in every.items()}
             hit = {s: f[np.searchsorted(f, a) : np.searchsorted(f, z)] - a for s, f in found.items()}
-            for k, start, length, sim, dist in scan_text(words[a:z], grams, hit, items, n, least):
+            for k, start, length, sim, dist in scan_text(z - a, grams, hit, items, n, least):
                 yield lo + r, k, start, length, sim, dist
 
 

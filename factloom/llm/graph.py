@@ -18,8 +18,8 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     component always points at itself, so it is what remains.  Each round's
     tables are written; the rounds end when no edge is left.
     """
-    n = edges.count()
-    now = ws.table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges-0", n)
+    now = ws.table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges-0", edges.count())
+    n = now.count()
     labels, turn = None, 0
     while labels is None or n:
         turn += 1

@@ -13,17 +13,22 @@ words out of the non-overlapping blocks its document is cut into.  So:
    each chunk with one bit per hash: an anchor is live if it is a reference
    block somewhere and stands at two places at least;
 3. live anchors are extended: only full windows around them are candidates.
-   They meet by a 96-bit hash, and the chunk that comes first owns them;
+   They meet by 128 bits, out of two independent hashes of every word, as
+   exact copies meet by their digest; the chunk that comes first owns them;
 4. the rest is removed, and what overlaps joins to maximal repeats.
 
 What travels is sorted hashes, delta-coded, and bits back; a passage that
-stands in a third of all documents is one entry per chunk.  Every position of
-every document is looked up; nothing is capped.
+stands in a third of all documents is one entry per chunk.  A row holds the
+keys that a chunk has for one bucket, as steps from the bucket's lower bound,
+so a key costs some four bytes however many buckets there are; chunks and
+buckets both grow with the root of the input, so rows do not get emptier than
+that.  Every position of every document is looked up; nothing is capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.words import SPACES, U, gram_hashes, spans, whole_grams, word_hashes
-from factloom.llm.work import Workspace, partitions
+from factloom.llm.work import Workspace, estimated_bytes, partitions
 
 WINDOW = 20
-#: Text of one chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 18
-#: Words whose anchors share one bucket, and buckets that share a task at most: one after the other.
-BUCKET_WORDS, BUCKETS_A_TASK = 1_000_000, 4
+#: Text of one chunk, and words whose anchors share one bucket, of inputs up to ``SCALE`` bytes; both grow with the
+#: root of what is beyond, up to ``GROWTH`` times.  A longer document is a chunk of its own; a bucket is some 40 bytes
+#: a word in the one task that answers it.
+CHUNK_BYTES, BUCKET_WORDS = 1 << 18, 4_000_000
+SCALE, GROWTH = 32 << 30, 16
 #: Bits of an anchor's hash that travel.  Two anchors that differ only beyond them are both extended, and part there.
 KEY_BITS = 44
 
@@ -47,9 +53,19 @@ _CHUNKS = "chunk long, ids array<long>, sizes array<long>, data binary, n_words
 _LIMIT = (1 << 32) - 1
 
 
-def pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending numbers as 4-byte steps; a step of ``_LIMIT`` alone adds to the next one."""
-    steps = np.diff(keys, prepend=U(0))
+def growth(size: int) -> float:
+    """By how much chunks and buckets grow for an input of ``size`` bytes."""
+    return min(GROWTH, max(1.0, (size / SCALE) ** 0.5))
+
+
+def lower_bound(bucket: int, buckets: int) -> int:
+    """The smallest anchor hash of a bucket."""
+    return -(-(bucket << 32) // buckets) << (KEY_BITS - 32)
+
+
+def pack_sorted(keys: np.ndarray, low: int = 0) -> bytes:
+    """Ascending numbers from ``low`` on as 4-byte steps; a step of ``_LIMIT`` alone adds to the next one."""
+    steps = np.diff(keys, prepend=U(low))
     if len(steps) and steps.max() >= _LIMIT:
         fill = (steps // U(_LIMIT)).astype(np.int64)
         out = np.full(len(steps) + int(fill.sum()), _LIMIT, "<u4")
@@ -58,9 +74,9 @@ def pack_sorted(keys: np.ndarray) -> bytes:
     return steps.astype("<u4").tobytes()
 
 
-def unpack_sorted(data: bytes) -> np.ndarray:
+def unpack_sorted(data: bytes, low: int = 0) -> np.ndarray:
     steps = np.frombuffer(data, "<u4")
-    return np.cumsum(steps, dtype=U)[steps != _LIMIT]
+    return np.cumsum(steps, dtype=U)[steps != _LIMIT] + U(low)
 
 
 def _bits(x: np.ndarray) -> bytes:
@@ -76,7 +92,7 @@ def _cuts(high: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted((high * U(buckets)) >> U(32), np.arange(buckets + 1, dtype=U))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     made, part = 0, TaskContext.get().partitionId()
     ids, texts, size = [], [], 0
     squeeze = zstandard.ZstdCompressor(level=3)
@@ -94,7 +110,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary())):
             text = t.as_py() or b""
-            if ids and size + len(text) > CHUNK_BYTES:
+            if ids and size + len(text) > chunk_bytes:
                 yield flush()
             ids.append(i)
             texts.append(text)
@@ -140,7 +156,8 @@ class _Chunk:
             return none, none.astype(U), none.astype(U), none
         last = np.minimum(np.arange(len(whole)) + reach, len(sums) - 1)
         starts = np.flatnonzero(whole & (sums[last] > sums[: len(whole)]))
-        one, two = gram_hashes(self.words, window, 1)[starts], gram_hashes(self.words, window, 2)[starts] >> U(32)
+        one = gram_hashes(self.words, window)[starts]
+        two = gram_hashes(word_hashes(self.buf, self.starts, self.ends, 1), window, 1)[starts]
         return starts, one, two, np.lexsort((two, one))
 
 
@@ -151,6 +168,13 @@ def _firsts(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return new
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row after the other: chunks are large, batches need not be held twice."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield {name: b.column(i)[k].as_py() for i, name in enumerate(b.schema.names)}
+
+
 def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
@@ -163,15 +187,15 @@ _ANSWER = "chunk long, bucket int, bits binary"
 
 def _send_anchors(block: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                c = _Chunk(row["sizes"], row["data"], block)
-                ref, often, cuts = c.reference(), c.times > 1, _cuts(c.keys >> U(KEY_BITS - 32), buckets)
-                yield _table(
-                    [(k, row["chunk"], hi - lo, pack_sorted(c.keys[lo:hi]), _bits(np.concatenate([ref[lo:hi], often[lo:hi]]))) for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if hi > lo],
-                    _SENT_NAMES,
-                    _SENT_KINDS,
-                )
+        for row in _rows(batches):
+            c = _Chunk(row["sizes"], row["data"], block)
+            ref, often, cuts = c.reference(), c.times > 1, _cuts(c.keys >> U(KEY_BITS - 32), buckets)
+            full, cuts = np.flatnonzero(np.diff(cuts)).tolist(), cuts.tolist()
+            yield _table(
+                [(k, row["chunk"], cuts[k + 1] - cuts[k], pack_sorted(c.keys[cuts[k] : cuts[k + 1]], lower_bound(k, buckets)), _bits(np.concatenate([x[cuts[k] : cuts[k + 1]] for x in (ref, often)]))) for k in full],
+                _SENT_NAMES,
+                _SENT_KINDS,
+            )
 
     return send
 
@@ -187,7 +211,7 @@ def _by_bucket(answer):
         while held:
             bucket, rows = held.popitem()
             chunks, ns, keys, more = zip(*rows)
-            out = answer(np.array(chunks, np.int64), np.array(ns, np.int64), keys, more)
+            out = answer(bucket, np.array(chunks, np.int64), np.array(ns, np.int64), keys, more)
             ends = np.cumsum(ns)
             told = [(c, bucket, _bits(out[e - n : e])) for c, n, e in zip(chunks, ns, ends.tolist()) if out[e - n : e].any()]
             yield _table(told, ["chunk", "bucket", "bits"], [pa.int64(), pa.int32(), pa.binary()])
@@ -195,8 +219,8 @@ def _by_bucket(answer):
     return run
 
 
-def _answer_anchors(chunks: np.ndarray, ns: np.ndarray, packed: tuple[bytes, ...], more: tuple[bytes, ...]) -> np.ndarray:
-    """Which entries are live."""
+def _answer_anchors(bucket: int, chunks: np.ndarray, ns: np.ndarray, packed: tuple[bytes, ...], more: tuple[bytes, ...]) -> np.ndarray:
+    """Which entries are live; keys count from the bucket's lower bound."""
     keys = np.concatenate([unpack_sorted(x) for x in packed])
     both = [_flags(x, 2 * n) for x, n in zip(more, ns)]
     ref, often = np.concatenate([f[: len(f) // 2] for f in both]), np.concatenate([f[len(f) // 2 :] for f in both])
@@ -210,28 +234,23 @@ def _answer_anchors(chunks: np.ndarray, ns: np.ndarray, packed: tuple[bytes, ...
 
 def _send_windows(window: int, block: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                if not row["live"]:
-                    continue
-                _, one, two, order = _Chunk(row["sizes"], row["data"], block).candidates(row["live"], buckets, window)
-                one, two = one[order], two[order]
-                new = _firsts(one, two)
-                one, two = one[new], two[new]
-                cuts = _cuts(one >> U(32), buckets)
-                yield _table(
-                    [(k, row["chunk"], hi - lo, one[lo:hi].tobytes(), two[lo:hi].astype("<u4").tobytes()) for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if hi > lo],
-                    _SENT_NAMES,
-                    _SENT_KINDS,
-                )
+        for row in _rows(batches):
+            if not row["live"]:
+                continue
+            _, one, two, order = _Chunk(row["sizes"], row["data"], block).candidates(row["live"], buckets, window)
+            one, two = one[order], two[order]
+            new = _firsts(one, two)
+            one, two = one[new], two[new]
+            cuts = _cuts(one >> U(32), buckets)
+            full, cuts = np.flatnonzero(np.diff(cuts)).tolist(), cuts.tolist()
+            yield _table([(k, row["chunk"], cuts[k + 1] - cuts[k], *(x[cuts[k] : cuts[k + 1]].tobytes() for x in (one, two))) for k in full], _SENT_NAMES, _SENT_KINDS)
 
     return send
 
 
-def _answer_windows(chunks: np.ndarray, ns: np.ndarray, ones: tuple[bytes, ...], twos: tuple[bytes, ...]) -> np.ndarray:
+def _answer_windows(bucket: int, chunks: np.ndarray, ns: np.ndarray, ones: tuple[bytes, ...], twos: tuple[bytes, ...]) -> np.ndarray:
     """Which entries stand in an earlier chunk too."""
-    one = np.concatenate([np.frombuffer(x, U) for x in ones])
-    two = np.concatenate([np.frombuffer(x, "<u4") for x in twos]).astype(U)
+    one, two = (np.concatenate([np.frombuffer(x, U) for x in xs]) for xs in (ones, twos))
     chunk = np.repeat(chunks, ns)
     order = np.lexsort((chunk, two, one))
     later = np.zeros(len(one), bool)
@@ -245,24 +264,23 @@ _SPAN = pa.struct([("first", pa.int64()), ("last", pa.int64())])
 
 def _cut_out(window: int, block: int, buckets: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                c = _Chunk(row["sizes"], row["data"], block)
-                gone = np.zeros(len(c.words) + 1, np.int32)
-                if row["live"]:
-                    starts, one, two, order = c.candidates(row["live"], buckets, window)
-                    one, two = one[order], two[order]
-                    new = _firsts(one, two)
-                    group = np.cumsum(new) - 1
-                    cuts = _cuts(one[new] >> U(32), buckets)
-                    later = np.zeros(int(new.sum()), bool)
-                    for a in row["later"] or ():
-                        lo, hi = cuts[a["bucket"]], cuts[a["bucket"] + 1]
-                        later[lo:hi] = _flags(a["bits"], hi - lo)
-                    drop = starts[order][~new | later[group]]
-                    np.add.at(gone, drop, 1)
-                    np.add.at(gone, drop + window, -1)
-                yield _documents(row["ids"], c, np.cumsum(gone)[:-1] > 0)
+        for row in _rows(batches):
+            c = _Chunk(row["sizes"], row["data"], block)
+            gone = np.zeros(len(c.words) + 1, np.int32)
+            if row["live"]:
+                starts, one, two, order = c.candidates(row["live"], buckets, window)
+                one, two = one[order], two[order]
+                new = _firsts(one, two)
+                group = np.cumsum(new) - 1
+                cuts = _cuts(one[new] >> U(32), buckets)
+                later = np.zeros(int(new.sum()), bool)
+                for a in row["later"] or ():
+                    lo, hi = cuts[a["bucket"]], cuts[a["bucket"] + 1]
+                    later[lo:hi] = _flags(a["bits"], hi - lo)
+                drop = starts[order][~new | later[group]]
+                np.add.at(gone, drop, 1)
+                np.add.at(gone, drop + window, -1)
+            yield _documents(row["ids"], c, np.cumsum(gone)[:-1] > 0)
 
     return cut
 
@@ -305,23 +323,23 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     not read.
     """
     spark = docs.sparkSession
-    ws, n, block = Workspace(spark, "substring-dedup"), partitions(spark), window // 2
+    ws, block = Workspace(spark, "substring-dedup"), window // 2
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    ordered = slim.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-    chunks = ws.table(ordered.mapInArrow(_pack, _CHUNKS), "chunks")
-    ws.free_shuffles()
+    n, grown = partitions(spark, slim), growth(estimated_bytes(slim))
+    chunk_bytes = int(CHUNK_BYTES * grown)
+    # Rows of one id are told apart by their texts, and equal rows, of which any may come first, by chance.
+    keys = [F.asc_nulls_first("doc_id"), F.asc("hash"), F.asc("spread")]
+    ordered = slim.withColumns({"hash": F.xxhash64("text"), "spread": F.rand(11)}).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    chunks = ws.table(ordered.select("doc_id", "text").mapInArrow(partial(_pack, chunk_bytes=chunk_bytes), _CHUNKS), "chunks")
     words = chunks.agg(F.sum("n_words")).first()[0] or 0
-    buckets = max(n, -(-words // BUCKET_WORDS))
-    tasks = max(n, -(-buckets // BUCKETS_A_TASK))
+    buckets = max(n, -(-words // int(BUCKET_WORDS * grown)))
 
     def gathered(answers: DataFrame, name: str) -> DataFrame:
         return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
     sent = chunks.select("chunk", "sizes", "data").mapInArrow(_send_anchors(block, buckets), _SENT)
-    live = ws.table(sent.repartition(tasks, "bucket").mapInArrow(_by_bucket(_answer_anchors), _ANSWER), "live")
-    ws.free_shuffles()
+    live = ws.table(sent.repartition(buckets, "bucket").mapInArrow(_by_bucket(_answer_anchors), _ANSWER), "live")
     marked = chunks.select("chunk", "ids", "sizes", "data").join(gathered(live, "live"), "chunk", "left")
     sent = marked.drop("ids").mapInArrow(_send_windows(window, block, buckets), _SENT)
-    later = ws.table(sent.repartition(tasks, "bucket").mapInArrow(_by_bucket(_answer_windows), _ANSWER), "later")
-    ws.free_shuffles()
+    later = ws.table(sent.repartition(buckets, "bucket").mapInArrow(_by_bucket(_answer_windows), _ANSWER), "later")
     return marked.join(gathered(later, "later"), "chunk", "left").mapInArrow(_cut_out(window, block, buckets), _OUT)

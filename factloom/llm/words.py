@@ -1,13 +1,14 @@
 """Whole-text tokenisation and hashing over Arrow buffers.
 
 Everything works on the UTF-8 bytes of many documents at once: separators come
-from a 256-entry table, word hashes from one prefix sum over the bytes, and
-hashes of runs of words from one prefix sum over the word hashes.  Nothing is
-cut off: a slice always holds whole documents, one at least.
+from a 256-entry table, all words are hashed together eight bytes at a time,
+and runs of words are joined from shorter runs.  Nothing is cut off: a slice
+always holds whole documents, one at least.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,22 +35,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
-_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xB564EF22EC7AECE5)
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least ``n`` powers of a base and of its inverse; one pair of arrays a base, as long as the longest text so far."""
-    have = _POWERS.get(which)
-    if have is None or len(have[0]) < n:
-        size, base = 1 << max(16, int(n - 1).bit_length()), _BASES[which]
-        up, down = np.full(size, base, U), np.full(size, pow(base, -1, 1 << 64), U)
-        up[0] = down[0] = 1
-        have = _POWERS[which] = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
-    return have
+#: One odd multiplier a lane: hashes of different lanes are independent of each other.
+_LANES = (U(0xD1342543DE82EF95), U(0xAF251AF3B0F025B5))
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+#: Bytes of a word beyond which it is hashed by itself.
+_LONG = 256
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -89,22 +79,47 @@ def spans(buf: np.ndarray, bounds: np.ndarray, sep: np.ndarray) -> tuple[np.ndar
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words."""
-    up, down = powers(0, len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, U)
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
-
-
-def gram_hashes(words: np.ndarray, n: int, which: int = 1) -> np.ndarray:
-    """Hashes of all runs of ``n`` words, also those that cross rows (see ``whole_grams``)."""
-    if len(words) < n:
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of the words, eight bytes after eight bytes, each step mixing all bits.
+
+    Of words of one length up to eight bytes no two share a hash; others do by
+    chance alone, and not in both lanes.  Nothing is linear in the bytes, so
+    words built to cancel out do not.
+    """
+    size, odd = ends - starts, _LANES[lane]
+    wide = np.zeros(len(buf) + 8, np.uint8)
+    wide[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), "<u8", wide, strides=(1,))
+    h = mix((size.astype(U) + U(1)) * odd)
+    h = mix(h ^ (eight[starts] & _KEEP[np.minimum(size, 8)]) * odd)
+    more, done = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(more):
+        h[more] = mix(h[more] ^ (eight[starts[more] + done] & _KEEP[np.minimum(size[more] - done, 8)]) * odd)
+        done += 8
+        more = more[size[more] > done]
+    for k in np.flatnonzero(size > _LONG):
+        h[k] = int.from_bytes(hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8, salt=bytes([lane])).digest(), "little")
+    return h
+
+
+def gram_hashes(words: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
+    """Hashes of all runs of ``n`` words, also those that cross rows (see ``whole_grams``).
+
+    Runs of 1, 2, 4 .. words are joined from their halves, and ``n`` from
+    those; every joint mixes all bits, so the order of words always counts.
+    """
+    if n < 1 or len(words) < n:
         return np.zeros(0, U)
-    up, down = powers(which, len(words) + 1)
-    sums = np.zeros(len(words) + 1, U)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * down[: len(words) - n + 1])
+    odd = _LANES[lane]
+    out, done, run, size = None, 0, words, 1
+    while True:
+        if n & size:
+            out = run if out is None else mix(out[: len(run) - done] * odd + run[done:])
+            done += size
+        if done == n:
+            return out[: len(words) - n + 1] if n > 1 else mix(out * odd)
+        run = mix(run[:-size] * odd + run[size:])
+        size *= 2
 
 
 def whole_grams(first: np.ndarray, n: int) -> np.ndarray:

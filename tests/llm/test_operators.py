@@ -80,6 +80,60 @@ def test_words_and_runs():
     assert len(set(seen.values())) == len(seen)
 
 
+def cancelling(n=1024):
+    """Two different words that hashes linear in the bytes take for one."""
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_cancel_out_stay_apart(spark):
+    one, two = cancelling()
+    for lane in (0, 1):
+        buf = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+        s, e, _ = words.spans(buf, np.array([0, len(buf)]), words.SPACES)
+        assert len(set(words.word_hashes(buf, s, e, lane).tolist())) == 2
+        for n in (2, 8, 16, 1024):  # and runs of words likewise
+            x, y = (np.array([3 if c == "a" else 5 for c in w[:n]], np.uint64) for w in (one, two))
+            assert words.gram_hashes(x, n, lane)[0] != words.gram_hashes(y, n, lane)[0]
+    same = " ".join(f"w{k}" for k in range(19))
+    docs = spark.createDataFrame([(0, one), (1, two), (2, f"{one} {same}"), (3, f"{two} {same}")], "doc_id long, text string")
+    assert [r.component_id for r in near_dedup.near_classes(docs, 2).orderBy("doc_id").collect()] == [0, 1, 2, 2]
+    assert all(not r.removed for r in substring_dedup.substring_dedup(docs).collect())
+    assert decontamination.contamination(docs.where("doc_id = 1"), docs.select(F.col("doc_id").alias("item_id"), "text").where("item_id = 0")).isEmpty()
+
+
+def test_small_sets_find_their_partners():
+    """Of small sets at the threshold, each pair shares one of the hashes it is looked up by."""
+    rng = np.random.default_rng(8)
+    for _ in range(2000):
+        n = int(rng.integers(1, near_dedup.FEW + 1))
+        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        keep = -(-4 * len(a) // 5)
+        for b in (rng.choice(a, keep, replace=False), np.concatenate([a, rng.integers(0, 1 << 62, len(a) // 4, dtype=np.uint64)])):
+            assert np.intersect1d(near_dedup.prefix(a, 80), near_dedup.prefix(np.sort(b), 80)).size
+
+
+@pytest.mark.parametrize("buckets", [50, 5_000, 20_000])
+def test_keys_travel_in_few_bytes_however_many_buckets_there_are(buckets):
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << substring_dedup.KEY_BITS, 40_000, dtype=np.uint64))
+    cuts = substring_dedup._cuts(keys >> np.uint64(substring_dedup.KEY_BITS - 32), buckets)
+    size = 0
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        part, low = keys[cuts[k] : cuts[k + 1]], substring_dedup.lower_bound(k, buckets)
+        data = substring_dedup.pack_sorted(part, low)
+        size += len(data)
+        assert (substring_dedup.unpack_sorted(data, low) == part).all()
+    assert size / len(keys) < 6
+
+
+def test_chunks_and_buckets_grow_with_the_root_of_the_input():
+    assert substring_dedup.growth(1) == 1 and substring_dedup.growth(4 * substring_dedup.SCALE) == 2
+    assert substring_dedup.growth(1 << 60) == substring_dedup.GROWTH
+
+
 def test_sorted_packing():
     rng = np.random.default_rng(1)
     for top in (10, 1 << 33, 1 << 47):
@@ -167,7 +221,7 @@ def test_decontamination(spark, docs, odd, none, rows):
         for k, item in items:
             v = cut(item)
             c = Counter(grams(v))
-            for s in range(len(w) - len(v) + 1) if v else ():
+            for s in range(max(1, len(w) - len(v) + 1)) if v and w else ():
                 x = Counter(grams(w[s : s + len(v)]))
                 less = sum((x & c).values())
                 sim = less / (sum(x.values()) + sum(c.values()) - less)
@@ -207,6 +261,20 @@ def test_texts_shorter_than_the_item_are_compared_as_a_whole(spark):
     assert {r.doc_id for r in decontamination.drop_contaminated(found, bench).collect()} == set(range(len(texts))) - {i for i, _ in want}
 
 
+def test_texts_that_repeat_a_shingle_are_confirmed_whatever_their_fingerprints_say(spark):
+    rng = random.Random(6)
+    item = [f"i{k}" for k in range(200)]
+    w = list(item)
+    w[40:62] = ["go"] * 22  # one shingle repeated says much in a fingerprint and little in the similarity
+    docs = spark.createDataFrame([(0, " ".join(w)), (1, " ".join(rng.sample(item, 200)))], "doc_id long, text string")
+    got = decontamination.contamination(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    less = sum((grams(w) & grams(item)).values())
+    want = less / (2 * 196 - less)
+    assert [(r.doc_id, r.similarity) for r in got] == ([(0, want)] if want >= 0.8 else [])
+    assert decontamination.repeating(np.array([1, 2, 1, 3, 4, 3], np.uint64), 3).tolist() == [True, False, False, True]
+
+
 def test_multi_index_misses_nothing_within_the_radius():
     rng = np.random.default_rng(4)
     held = rng.integers(0, 2, (30, 64)).astype(bool)
