@@ -13,7 +13,7 @@
 4. In each bucket every class is compared with the smallest one, by the
    collision-corrected estimate.  What may reach the threshold, five deviations
    off, is tied.  Buckets that are one component by then are done; in the
-   others all pairs are compared, a signature a class and bucket.
+   others, whoever is not in the main component meets all of the bucket.
 5. Within a cluster, pairs are confirmed on the shingles of their texts.
    Clusters (and buckets) beyond a block's size are dealt as pairs of blocks
    over many tasks; see ``tied``.
@@ -255,10 +255,15 @@ def linked(n: int, percent: int) -> Pairs:
 
 
 def _compare(pairs: Pairs):
-    """Streams rows (g, lo, hi, block, cid, item), sorted by group, and returns each group's spanning links."""
+    """Streams rows (g, lo, hi, block, label, cid, item), sorted by group, and returns each group's spanning links.
+
+    Rows with one label are known to be tied.  A group with a negative ``lo``
+    holds rows of block ``lo`` to be compared with those of block ``hi``, which
+    are not compared with each other.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, blocks, items = None, [], [], []
+        now, ids, blocks, known, items = None, [], [], [], []
         out: list[tuple[int, int]] = []
         task: dict[int, int] = {}  # the task's own forest: what one group has tied, the next need not report
 
@@ -272,10 +277,9 @@ def _compare(pairs: Pairs):
                 return
             order = np.argsort(np.array(ids, np.int64), kind="stable").tolist()
             who, block, what = [ids[k] for k in order], [blocks[k] for k in order], [items[k] for k in order]
-            forest, cross, told = _Forest(len(who)), [], []
-            for k in range(len(who) - 1):
-                if who[k] == who[k + 1]:
-                    forest.join(k, k + 1)
+            forest, cross, told, first = _Forest(len(who)), [], [], {}
+            for k, at in enumerate(order):
+                forest.join(k, first.setdefault(known[at], k))
 
             def tie(k: int, h: int) -> bool:
                 new = forest.root(k) != forest.root(h) and pairs.sure(what[k], what[h])
@@ -287,7 +291,7 @@ def _compare(pairs: Pairs):
                 for h in hits.tolist():
                     if block[k] != block[h]:
                         cross.append((k, h))
-                    elif block[k] >= 0:
+                    elif now[1] >= 0:
                         tie(k, h)
             if now[1] == now[2]:
                 told = [(who[k], who[forest.root(k)]) for k in range(len(who))]
@@ -306,12 +310,13 @@ def _compare(pairs: Pairs):
             return made
 
         for b in batches:
-            for g, lo, hi, block, cid, item in zip(*(c.to_pylist() for c in b.columns)):
+            for g, lo, hi, block, label, cid, item in zip(*(c.to_pylist() for c in b.columns)):
                 if (g, lo, hi) != now:
                     close()
-                    now, ids, blocks, items = (g, lo, hi), [], [], []
+                    now, ids, blocks, known, items = (g, lo, hi), [], [], [], []
                 ids.append(cid)
                 blocks.append(block)
+                known.append(label)
                 items.append(item)
             if len(out) > 50_000:
                 yield batch()
@@ -326,7 +331,7 @@ _KEY = ["g", "lo", "hi"]
 
 def _ties(rows: DataFrame, pairs: Pairs) -> DataFrame:
     """(a, b) of what is tied within the groups of ``rows``, a table's, dealt by ranges so that each task has its share."""
-    rows = rows.select(*_KEY, "block", "cid", "item")
+    rows = rows.select(*_KEY, "block", "label", "cid", "item")
     return rows.repartitionByRange(partitions(rows.sparkSession, rows), *_KEY).sortWithinPartitions(*_KEY).mapInArrow(_compare(pairs), "a long, b long")
 
 
@@ -344,27 +349,46 @@ def tied(rows: DataFrame, pairs: Pairs, ws: Workspace, name: str) -> DataFrame:
     group's main component then meets all of the group, so no tie between
     different components is missed; ties within one need no looking for.
     """
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("nb") - 1)
-    others = F.when((F.col("nb") <= 2) | (F.col("block") == 0), every).otherwise(F.array(F.lit(0), F.col("block")))
+    rows = rows.withColumn("block", _block()).withColumn("label", F.col("cid"))
+    others = F.when((F.col("nb") <= 2) | (F.col("block") == 0), _every()).otherwise(F.array(F.lit(0), F.col("block")))
     first = rows.withColumn("other", F.explode(others)).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     found = ws.table(_ties(first, pairs), f"{name}-ties")
     large = rows.where("nb > 2")
     if large.select("g").limit(1).isEmpty():
         return found
     labels = components(found, ws, f"{name}-first")
-    ours = large.join(labels, F.col("cid") == F.col("node"), "left").select("g", "nb", "block", "cid", F.length("item").cast("long").alias("size"), F.coalesce("label", "cid").alias("label"))
-    ours = ws.table(ours, f"{name}-large")
+    ours = large.drop("label").join(labels, F.col("cid") == F.col("node"), "left").select("g", "nb", "cid", F.length("item").cast("long").alias("size"), F.coalesce("label", "cid").alias("label"))
+    return _edges(labels).union(outsiders(ours, large.select("g", "cid", "item"), pairs, ws, name))
+
+
+def _block() -> Column:
+    return F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int")
+
+
+def _every() -> Column:
+    return F.sequence(F.lit(0), F.col("nb") - 1)
+
+
+def outsiders(ours: DataFrame, items: DataFrame, pairs: Pairs, ws: Workspace, name: str) -> DataFrame:
+    """(a, b), the ties of whoever is not in the main component of its group with all of the group.
+
+    ``ours`` is (g, nb, cid, size, label), the label being the component, and
+    ``items`` has each cid's item (or that of each g and cid).  Of a group that
+    is but for a few one component, every member goes on once for each block of
+    those few, not once for each block of the group.
+    """
+    ours = ws.table(ours, f"{name}-ours")
     main = ours.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    apart = ours.join(main, "g").where("label <> main").select("g", "nb", "cid", "size")
+    apart = ours.join(main, "g").where("label <> main").drop("main")
     parts = apart.groupBy("g").agg(blocks_of(F.count("*"), F.sum("size")).alias("parts"))
-    # Whoever is apart, in parts (block -1, as their own ties are not told elsewhere), against every settled block.
-    one = apart.join(parts, "g").select("g", "cid", (-1 - F.pmod(F.xxhash64("cid", F.lit(3)), F.col("parts"))).cast("int").alias("lo"), F.explode(every).alias("hi"), F.lit(-1).alias("block"))
-    two = ours.join(parts, "g").select("g", "cid", F.explode(F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: -k)).alias("lo"), F.col("block").alias("hi"), "block")
-    meet = ws.table(one.unionByName(two).join(large.select("g", "cid", "item"), ["g", "cid"]), f"{name}-meet")
+    part = (-1 - F.pmod(F.xxhash64("cid", F.lit(3)), F.col("parts"))).cast("int")
+    one = apart.join(parts, "g").select("g", "cid", "label", part.alias("lo"), F.explode(_every()).alias("hi")).withColumn("block", F.col("lo"))
+    two = ours.join(parts, "g").select("g", "cid", "label", F.explode(F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: -k)).alias("lo"), _block().alias("hi")).withColumn("block", F.col("hi"))
+    on = [c for c in ("g", "cid") if c in items.columns]
+    meet = ws.table(one.unionByName(two).join(items.hint("merge"), on), f"{name}-meet")
     more = ws.table(_ties(meet, pairs), f"{name}-more")
-    ws.drop(f"{name}-meet")
-    return _edges(labels).union(more)
+    ws.drop(f"{name}-ours", f"{name}-meet")
+    return more
 
 
 def _edges(labels: DataFrame) -> DataFrame:
@@ -388,10 +412,9 @@ def clusters(classes: DataFrame, percent: int, ws: Workspace) -> DataFrame:
 
     entries = entries.join(labels, F.col("cid") == F.col("node"), "left").select("bk", "n", "cid", F.coalesce("label", "cid").alias("label"))
     mixed = entries.groupBy("bk").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bk")
-    rest = entries.join(mixed.hint("merge"), "bk").join(classes.select("cid", "sig"), "cid")
-    rest = ws.table(rest.select(F.col("bk").alias("g"), blocks_of(F.col("n"), F.lit(0)).alias("nb"), "cid", F.col("sig").alias("item")), "rest")
-    more = tied(rest, alike(least, percent), ws, "rest")
-    ws.drop("buckets", "entries", "rest")
+    rest = entries.join(mixed.hint("merge"), "bk").select(F.col("bk").alias("g"), blocks_of(F.col("n"), F.lit(0)).alias("nb"), "cid", F.lit(0).alias("size"), "label")
+    more = outsiders(rest, classes.select("cid", F.col("sig").alias("item")), alike(least, percent), ws, "rest")
+    ws.drop("buckets", "entries")
     return components(_edges(labels).union(more), ws, "clusters")
 
 
