@@ -72,9 +72,13 @@ def selectivity(s, d):
     return stats.selectivity(T.read(s, d, "orders"), "o_custkey")
 
 
-@query("storage_stats", "select count(*) as n_rows from orders")
+@query(
+    "storage_stats",
+    """with j as (select length('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}') as n from customer)
+    select count(*) as n_rows, cast(sum(n) as bigint) as json_bytes, sum(n)::double / count(*) as bytes_per_row from j""",
+)
 def storage_stats(s, d):
-    return stats.storage(T.order_facts(s, d)).select("n_rows")
+    return stats.storage(T.read(s, d, "customer").select("c_custkey", "c_name", "c_nationkey"))
 
 
 @query("speedup_ratio", "select o_orderstatus, case when sum(case when o_custkey % 10 = 0 then 1 else 0 end) = 0 then 'Infinity'::double else count(*)::double / sum(case when o_custkey % 10 = 0 then 1 else 0 end) end as ratio from orders group by 1")

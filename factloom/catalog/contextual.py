@@ -90,7 +90,12 @@ def restriction_edges(s, d):
     return topology.restriction_edges(topology.members(T.order_facts(s, d), ("context", "temporal"), versions=False))
 
 
-@query("intersection_closure")
+_CLOSED = f"""{PLACES}, e as (select fact_id, subject as ent from places_f union select fact_id, obj0 from places_f), z as (select ent, count(*) as n, min(fact_id) as f from e group by ent),
+    w as (select e.* from e join z using (ent) where n > 1), p as (select 'entity:' || a.ent || '&entity:' || b.ent as name, min(fact_id) as f, count(*) as n from w a join w b using (fact_id) where a.ent < b.ent group by 1),
+    one as (select f, arg_min(name, row(length(name), name)) as name from (select 'entity:' || ent as name, f from z where n = 1 union all select name, f from p where n = 1) group by f)"""
+
+
+@query("intersection_closure", f"with {_CLOSED} select 'context:world' as open_set, count(*)::int as n from places_f union all select 'entity:' || ent, n::int from z where n > 1 union all select name, n::int from p where n > 1 union all select name, 1 from one")
 def intersection_closure(s, d):
     closed = topology.closed_members(topology.members(T.place_facts(s, d), ("entity", "context")))
     return closed.groupBy("open_set").agg(F.count("*").cast("int").alias("n"))
@@ -117,10 +122,12 @@ def glue_conflicts(s, d):
     return gluing.conflicts(T.document_facts(s, d))
 
 
-@query("glue_cover", f"with {DOCS} select fact_id, 'world.corpus' as context, true as agrees from docs_f where context = 'world.corpus'")
+@query("glue_cover", f"with {DOCS} select fact_id, 'world.corpus' as context, count(distinct coalesce('=' || source, '') || coalesce('=' || lang, '')) = 1 as agrees from docs_f group by fact_id")
 def glue_cover(s, d):
-    corpus = T.document_facts(s, d).where("context = 'world.corpus'")
-    return gluing.glue_cover(corpus, "world.corpus").select("fact_id", "context", "agrees")
+    """Labels lie within the corpus here, and both say where a document is from; some disagree."""
+    f = T.document_facts(s, d).withColumn("attributes", F.filter("attributes", lambda a: a["key"] == "source"))
+    nested = f.withColumn("context", F.when(F.col("context") == "world.labels", "world.corpus.labels").otherwise(F.col("context")))
+    return gluing.glue_cover(nested, "world.corpus").select("fact_id", "context", "agrees")
 
 
 def _assignments(s, d):
@@ -165,6 +172,15 @@ def dangling_references(s, d):
     return validate.dangling(T.lineitem_facts(s, d), part.union(supplier))
 
 
+@query("axioms_of_nested_contexts", f"""with {_SETS}, k as (select open_set as low, fact_id, regexp_replace(open_set, '\\.[^.]*$', '') as mid from m where kind = 'context' and open_set like '%.%'),
+    c as (select *, regexp_replace(mid, '\\.[^.]*$', '') as top from k where mid like '%.%')
+    select 'identity' as axiom, (select count(*) from m a where not exists (select 1 from m b where b.open_set = a.open_set and b.fact_id = a.fact_id)) as violations
+    union all select 'composition', (select count(*) from c where exists (select 1 from m where open_set = top and m.fact_id = c.fact_id) and not exists (select 1 from m where open_set = mid and m.fact_id = c.fact_id))""")
+def axioms_of_nested_contexts(s, d):
+    f = T.order_facts(s, d)
+    return topology.axiom_report(f, topology.members(f)).where("axiom in ('identity', 'composition')")
+
+
 @query("axiom_report", f"with {_GLUE} select 'gluing' as axiom, (select count(*) from (select fact_id from docs_f group by 1 having count(*) > 1)) as violations union all select 'locality', (select count(*) from (select fact_id from docs_f group by 1 having count(*) > 1)) union all select 'identity', 0 union all select 'composition', 0 union all select 'known points', 0")
 def axiom_report(s, d):
     f = T.document_facts(s, d)

@@ -8,7 +8,9 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from factloom.functions import staging
 from factloom.operators.access import Kind, Query
+from factloom.plans import planner, suite
 from factloom.plans.planner import PROFILES
 from factloom.plans.store import FactStore
 from factloom.sources import files
@@ -35,6 +37,12 @@ def main(argv: list[str] | None = None) -> int:
         "statistics": [],
         "verify": [],
         "compact": [],
+        "rebuild": [],
+        "clean": [],
+        "benchmark": ["--runs"],
+        "profile": ["text"],
+        "doctor": [],
+        "dashboard": ["target"],
         "drop": [],
     }.items():
         s = sub.add_parser(name)
@@ -61,12 +69,43 @@ def main(argv: list[str] | None = None) -> int:
         found = store.verify()
         found.show(100, truncate=False)
         return int(not found.where("violations > 0").isEmpty())
-    elif a.command == "compact":
-        store.compact()
+    elif a.command in ("compact", "rebuild"):
+        getattr(store, a.command)()
+    elif a.command == "clean":
+        print(store.clean())
+    elif a.command == "benchmark":
+        suite.measure(spark, store.facts(), int(a.runs or 3)).show(100, truncate=False)
+    elif a.command == "profile":
+        took = suite.seconds(lambda: store.select(a.text), 1)
+        print(json.dumps({"seconds": took}))
+        print(planner.explain(store.select(a.text)))
+    elif a.command == "doctor":
+        return int(not all(doctor(spark, store)))
+    elif a.command == "dashboard":
+        files.write_result(spark.createDataFrame([(k, str(v)) for k, v in store.statistics().items()], "figure string, value string"), a.target, "markdown")
     elif a.command == "drop":
         store.drop()
     return 0
 
 
+def doctor(spark: SparkSession, store: FactStore) -> list[bool]:
+    """Prints and returns what is well: the versions, the shared folder, the store."""
+
+    def tried(what) -> str | None:
+        try:
+            return str(what())
+        except Exception as broken:  # a diagnosis reports whatever is wrong
+            print(f"  {type(broken).__name__}: {str(broken).splitlines()[0]}")
+            return None
+
+    checks = {"spark": lambda: spark.version, "shared folder": lambda: staging.shared_dir(spark), "facts": lambda: store.facts().count()}
+    out = []
+    for name, what in checks.items():
+        found = tried(what)
+        print(f"{name}: {'broken' if found is None else found}")
+        out.append(found is not None)
+    return out
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,14 +26,25 @@ def describe(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
         F.stddev_pop(x).alias("stddev"),
         F.min(x).alias("minimum"),
         F.max(x).alias("maximum"),
-        F.expr(f"percentile({column}, 0.5)").alias("median"),
     )
+    middle = _at_ranks(df, column, {"lower": lambda n: F.floor((n - 1) / 2), "upper": lambda n: F.floor(n / 2)}, by)
+    middle = middle.select(*by, ((F.col("lower") + F.col("upper")) / 2).alias("median"))
+    if by:
+        same = [base[c].eqNullSafe(middle[c]) for c in by]
+        base = base.join(middle, same).select(*(base[c] for c in base.columns), "median")
+    else:
+        base = base.where("n > 0").join(F.broadcast(middle))  # one row each
     half = F.lit(1.96) * F.col("stddev") / F.sqrt("n")
     return base.withColumn("ci_low", F.col("mean") - half).withColumn("ci_high", F.col("mean") + half)
 
 
 def ranked(df: DataFrame, column: str, percents: tuple[int, ...] = (50, 95, 99), by: tuple[str, ...] = ()) -> DataFrame:
-    """Percentiles by rank, from running counts over distinct values.
+    """Percentiles by rank: percentile p is the element at index int(n * p / 100)."""
+    return _at_ranks(df, column, {f"p{p}": lambda n, p=p: F.least(n - 1, F.floor(n * F.lit(p) / 100)) for p in percents}, by)
+
+
+def _at_ranks(df: DataFrame, column: str, ranks: dict[str, Callable[[Column], Column]], by: tuple[str, ...]) -> DataFrame:
+    """The values at indices of the sorted values, each given by the number of values, from running counts over distinct ones.
 
     The values are dealt by ranges and counted within each range; only the
     ranges' totals are summed in one place, so neither one group nor the whole
@@ -43,24 +56,32 @@ def ranked(df: DataFrame, column: str, percents: tuple[int, ...] = (50, 95, 99),
     totals = dealt.groupBy(*by, "part").agg(F.sum("c").alias("t"))
     totals = totals.select(*by, "part", (F.sum("t").over(over.orderBy("part")) - F.col("t")).alias("before"), F.sum("t").over(over).alias("n"))
     run = dealt.withColumn("upto", F.sum("c").over(W.partitionBy(*by, "part").orderBy(column)))
-    run = run.join(totals, [*by, "part"]).withColumn("upto", F.col("upto") + F.col("before"))
-    aggs: list[Column] = []
-    for p in percents:
-        index = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p) / 100))
-        aggs.append(F.min(F.when(F.col("upto") > index, F.col(column))).alias(f"p{p}"))
-    return run.groupBy(*by).agg(*aggs)
+    run = run.join(totals, [run[c].eqNullSafe(totals[c]) for c in [*by, "part"]]).select(*(run[c] for c in run.columns), "before", "n").withColumn("upto", F.col("upto") + F.col("before"))
+    return run.groupBy(*by).agg(*(F.min(F.when(F.col("upto") > index(F.col("n")), F.col(column))).alias(name) for name, index in ranks.items()))
 
 
 def bootstrap(df: DataFrame, column: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """2.5 and 97.5 percentiles of resampled means, by Poisson weights: each row draws its own count per round."""
-    weighted = df.where(F.col(column).isNotNull()).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = F.pmod(F.xxhash64(column, "round", F.lit(seed), F.monotonically_increasing_id()), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    k, cumulative, term = F.lit(0), 0.0, 2.718281828459045**-1
-    for n in range(12):
-        cumulative += term
-        k = F.when(u >= cumulative, F.lit(n + 1)).otherwise(k)
-        term /= n + 1
-    means = weighted.withColumn("k", k).groupBy("round").agg((F.sum(F.col(column) * F.col("k")) / F.sum("k")).alias("m"))
+    """2.5 and 97.5 percentiles of resampled means, by Poisson weights: each row draws its own count per round.
+
+    A task draws the weights of a batch at once and hands on one sum a round, so rows are not multiplied.
+    """
+
+    def draw(batches):
+        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
+
+        rng, weight, total = np.random.default_rng([seed, TaskContext.get().partitionId()]), np.zeros(rounds), np.zeros(rounds)
+        for b in batches:
+            x = b["x"].to_numpy()
+            for lo in range(0, len(x), 1000):
+                k = rng.poisson(1.0, (rounds, len(x[lo : lo + 1000])))
+                weight += k.sum(axis=1)
+                total += k @ x[lo : lo + 1000]
+        yield pd.DataFrame({"round": np.arange(rounds), "k": weight, "kx": total})
+
+    sums = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x")).mapInPandas(draw, "round long, k double, kx double")
+    means = sums.groupBy("round").agg(F.try_divide(F.sum("kx"), F.sum("k")).alias("m"))
     return means.agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
 
 

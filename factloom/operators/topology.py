@@ -51,8 +51,16 @@ def restrict(open_sets: DataFrame, facts: DataFrame, source: str, target: str) -
     return facts.join(u, "fact_id", "left_semi").join(v, "fact_id", "left_semi")
 
 
-def minimal_open_set(open_sets: DataFrame) -> DataFrame:
-    """For each fact its smallest open set, by size and then by name."""
+def minimal_open_set(open_sets: DataFrame, events: bool = True) -> DataFrame:
+    """For each fact its smallest open set, by size and then by name.
+
+    With ``events`` the sets include each fact's event, a set of that fact
+    alone: then the smallest is one of the sets of one fact, and one grouping
+    by set and one by fact find it.
+    """
+    if events:
+        one = open_sets.groupBy("open_set").agg(F.count("*").alias("n_facts"), F.min("fact_id").alias("fact_id")).where("n_facts = 1")
+        return one.groupBy("fact_id").agg(F.min("open_set").alias("open_set")).select("fact_id", "open_set", F.lit(1).cast("long").alias("n_facts"))
     size = sizes(open_sets).select("open_set", "n_facts")
     return open_sets.join(size, "open_set").groupBy("fact_id").agg(F.min(F.struct("n_facts", "open_set")).alias("m")).select("fact_id", F.col("m.open_set").alias("open_set"), F.col("m.n_facts").alias("n_facts"))
 
@@ -67,6 +75,36 @@ def restriction_edges(open_sets: DataFrame) -> DataFrame:
     return sized.where("shared = n_target").select("source", "target")
 
 
+def union(open_sets: DataFrame, u: str, v: str) -> DataFrame:
+    """Points of either set."""
+    return open_sets.where(F.col("open_set").isin(u, v)).select("fact_id").distinct()
+
+
+def intersection(open_sets: DataFrame, u: str, v: str) -> DataFrame:
+    """Points of both sets, by one grouping."""
+    both = open_sets.where(F.col("open_set").isin(u, v)).groupBy("fact_id").agg(F.count_distinct("open_set").alias("n"))
+    return both.where(F.col("n") == (1 if u == v else 2)).select("fact_id")
+
+
+def is_subset(open_sets: DataFrame, u: str, v: str) -> bool:
+    """Whether all points of ``u`` lie in ``v``."""
+    own = open_sets.where(F.col("open_set") == u).select("fact_id")
+    return own.join(open_sets.where(F.col("open_set") == v).select("fact_id"), "fact_id", "left_anti").isEmpty()
+
+
+def united_sections(sections: list[DataFrame]) -> DataFrame:
+    """Sections of several sets, each fact's last version once."""
+    out = sections[0]
+    for s in sections[1:]:
+        out = out.unionByName(s)
+    return out.groupBy("fact_id").agg(F.max_by(F.struct(*out.columns), "seq").alias("f")).select("f.*")
+
+
+def full(facts: DataFrame, kinds: tuple[str, ...] = ("entity", "context"), limit: int = 10_000) -> DataFrame:
+    """(open_set, fact_id) of the full topology: the sets of ``kinds`` closed under intersection."""
+    return closed_members(members(facts, kinds), limit)
+
+
 def closed_members(open_sets: DataFrame, limit: int = 10_000) -> DataFrame:
     """(open_set, fact_id) of all non-empty intersections: sets with equal points are one, named by the smallest name.
 
@@ -106,13 +144,22 @@ def intersection_closure(open_sets: DataFrame, limit: int = 10_000) -> DataFrame
 
 
 def axiom_report(facts: DataFrame, open_sets: DataFrame) -> DataFrame:
-    """(axiom, violations): identity and composition hold by construction of ``restrict``; locality and gluing
-    fail where versions of one fact differ in content; no open set may be empty of known facts."""
+    """(axiom, violations): locality and gluing fail where versions of one fact differ in content; restricting a set
+    to itself has to give it back (identity), and restricting along nested contexts one by one what restricting at
+    once gives (composition); no open set may be empty of known facts."""
     content = F.sha2(F.to_json(F.struct("subject", "relation", "objects", "attributes")), 256)
     clash = facts.groupBy("fact_id").agg(F.countDistinct(content).alias("n")).where("n > 1")
     lost = open_sets.join(facts.select("fact_id"), "fact_id", "left_anti")
-    zero = clash.where(F.lit(False))
-    parts = [("locality", clash), ("gluing", clash), ("identity", zero), ("composition", zero), ("known points", lost)]
+    point = ["open_set", "fact_id"]
+    same = open_sets.join(open_sets.select(*point), point, "left_semi").select(*point)
+    identity = open_sets.select(*point).exceptAll(same)
+    nested = open_sets.where("kind = 'context'").select(F.col("open_set").alias("low"), "fact_id")
+    above = lambda c: F.when(F.instr(c, ".") > 0, F.regexp_replace(c, r"\.[^.]*$", ""))
+    nested = nested.withColumn("mid", above(F.col("low"))).withColumn("top", above(F.col("mid"))).where("top is not null")
+    held = lambda name: open_sets.select(F.col("open_set").alias(name), "fact_id")
+    at_once = nested.join(held("top"), ["top", "fact_id"], "left_semi")
+    composition = at_once.join(held("mid"), ["mid", "fact_id"], "left_anti")
+    parts = [("locality", clash), ("gluing", clash), ("identity", identity), ("composition", composition), ("known points", lost)]
     out = None
     for name, rows in parts:
         one = rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("axiom"), "violations")

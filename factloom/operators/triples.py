@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from factloom.functions import values as V
+from factloom.functions.staging import cut
 
 OBJECT = "object_"
 ATTR = "attr:"
@@ -111,10 +113,16 @@ def edges(facts: DataFrame) -> DataFrame:
 
 
 def dictionary(triples: DataFrame) -> DataFrame:
-    """(term, id): dense numbers of all terms in their order; ids come from a global sort by ranges, not from one task."""
+    """(term, id): dense numbers of all terms in their order.
+
+    Terms are dealt by ranges and numbered within each; only the ranges' counts are summed in one place.
+    """
     terms = triples.select(F.col("s").alias("term")).union(triples.select("p")).union(triples.select("o")).where("term is not null").distinct()
-    rdd = terms.orderBy("term").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    return triples.sparkSession.createDataFrame(rdd, "term string, id long")
+    dealt = cut(terms.repartitionByRange("term").withColumn("part", F.spark_partition_id()), "dictionary")
+    counts = dealt.groupBy("part").agg(F.count("*").alias("c"))
+    before = counts.select("part", (F.sum("c").over(W.orderBy("part")) - F.col("c")).alias("before"))
+    own = F.row_number().over(W.partitionBy("part").orderBy("term")) - 1
+    return dealt.withColumn("own", own).join(F.broadcast(before), "part").select("term", (F.col("before") + F.col("own")).alias("id"))  # a row a range
 
 
 def orphans(triples: DataFrame, terms: DataFrame) -> DataFrame:

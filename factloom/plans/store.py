@@ -2,12 +2,16 @@
 
 A store is a folder of ``facts`` (all versions) and ``tombstones``.  An update
 is a newer version, a delete a tombstone; ``compact`` writes what is current
-as a new snapshot and moves the pointer to it.
+as a new snapshot and points to it.  A pointer is a file of its own, renamed
+into place, of which the last one counts; a commit's number is its own, so
+several writers can append, and readers always find a whole snapshot.
 """
 
 from __future__ import annotations
 
 import json
+import secrets
+import time
 import uuid
 from collections.abc import Iterable
 
@@ -19,6 +23,11 @@ from factloom.operators import access, gluing, topology, triples, validate
 from factloom.plans import language, planner, sparql
 
 
+def _stamp() -> int:
+    """A number later than those of earlier commits that no other writer has: microseconds, and 11 bits by chance."""
+    return time.time_ns() // 1000 << 11 | secrets.randbits(11)
+
+
 class FactStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -45,10 +54,17 @@ class FactStore:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _point(self, snapshot: str) -> None:
-        self.spark.createDataFrame([(snapshot,)], "snapshot string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+        folder = self._hadoop(f"{self.path}/current")
+        fs = self._fs(folder)
+        fs.mkdirs(folder)
+        draft = self._hadoop(f"{self.path}/current/.{uuid.uuid4().hex}")
+        fs.create(draft).close()
+        fs.rename(draft, self._hadoop(f"{self.path}/current/{_stamp():019d}_{snapshot}"))
 
     def _dir(self, table: str) -> str:
-        snapshot = self.spark.read.text(f"{self.path}/current").first()[0]
+        folder = self._hadoop(f"{self.path}/current")
+        names = [f.getPath().getName() for f in self._fs(folder).listStatus(folder)]
+        snapshot = max(n for n in names if not n.startswith(".")).split("_", 1)[1]
         return f"{self.path}/{snapshot}/{table}"
 
     # reads
@@ -85,7 +101,7 @@ class FactStore:
     def _next_seq(self) -> int:
         a = self.versions().agg(F.max("seq")).first()[0]
         b = self.spark.read.schema("fact_id string, seq long").parquet(self._dir("tombstones")).agg(F.max("seq")).first()[0]
-        return max(a or 0, b or 0) + 1
+        return max((a or 0) + 1, (b or 0) + 1, _stamp())
 
     def insert(self, facts: DataFrame) -> None:
         """Append; a fact whose id is there already becomes its newer version."""
@@ -115,6 +131,24 @@ class FactStore:
         self.spark.createDataFrame([], "fact_id string, seq long").write.parquet(f"{self.path}/{snapshot}/tombstones")
         self._point(snapshot)
 
+    def rebuild(self) -> None:
+        """A new snapshot of the facts put together again from their triples."""
+        live = self.facts()
+        snapshot = f"snapshot-{uuid.uuid4().hex[:12]}"
+        back = triples.reconstruct(triples.reify(live)).drop("seq").join(live.select("fact_id", "seq"), "fact_id")
+        back.select(*V.FACT.fieldNames()).write.parquet(f"{self.path}/{snapshot}/facts")
+        self.spark.createDataFrame([], "fact_id string, seq long").write.parquet(f"{self.path}/{snapshot}/tombstones")
+        self._point(snapshot)
+
+    def clean(self) -> int:
+        """Remove snapshots that are no longer pointed to; returns how many."""
+        root, now = self._hadoop(self.path), self._dir("").rstrip("/").rsplit("/", 1)[-1]
+        fs = self._fs(root)
+        old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("snapshot-") and f.getPath().getName() != now]
+        for p in old:
+            fs.delete(p, True)
+        return len(old)
+
     # figures and checks
 
     def statistics(self) -> dict[str, float]:

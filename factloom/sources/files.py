@@ -105,7 +105,7 @@ def load(spark: SparkSession, name: str, path: str | None = None, **options) ->
     """A data set by format, by file ending, or generated: ``synthetic``, ``graph``, ``university``, ``contextual``."""
     if name in generators.GENERATORS:
         return generators.GENERATORS[name](spark, **options)
-    form = name if name in READERS else (path or name).rsplit(".", 1)[-1].lower()
+    form = name if name in READERS or name == "parquet" else (path or name).rsplit(".", 1)[-1].lower()
     if form == "parquet":
         return spark.read.schema(V.FACT).parquet(path or name)
     if form not in READERS:
@@ -125,6 +125,16 @@ def from_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.from_json("json", V.FACT).alias("f")).select("f.*")
 
 
+def rows_to_json(rows: DataFrame) -> DataFrame:
+    """(json) of any rows, triples, sections and canonical tables among them: keys in the columns' order, nulls written."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def rows_from_json(lines: DataFrame, like: DataFrame) -> DataFrame:
+    """Rows with the columns and types of ``like``."""
+    return lines.select(F.from_json("json", like.schema).alias("r")).select("r.*")
+
+
 def round_trips(facts: DataFrame, path: str) -> bool:
     """Whether facts come back unchanged from JSON text, JSON files and Parquet files."""
     spark, facts = facts.sparkSession, facts.select(*V.FACT.fieldNames())

@@ -94,19 +94,40 @@ def graph(spark: SparkSession, nodes: int = 100, density: float = 0.05, seed: in
 
 
 def university(spark: SparkSession, universities: int = 1, departments: int = 3, professors: int = 4, students: int = 20, courses: int = 6, seed: int = 42) -> DataFrame:
-    """Universities, departments and people, with who works, heads, teaches, studies, advises, belongs and writes where."""
+    """Universities, departments and people, with who works, heads, teaches, studies, advises, belongs and writes where.
+
+    A person has all types that hold: a chair is a professor, faculty and a
+    person.  Choices go by MD5 of the name, the seed and what is chosen.
+    """
     dept = spark.range(universities * departments).select(F.concat(F.lit("univ"), F.floor(F.col("id") / departments).cast("string")).alias("u"), F.concat(F.lit("univ"), F.floor(F.col("id") / departments).cast("string"), F.lit("/dept"), (F.col("id") % departments).cast("string")).alias("d"), F.concat(F.lit("world.univ"), F.floor(F.col("id") / departments).cast("string"), F.lit(".dept"), (F.col("id") % departments).cast("string")).alias("ctx"))
 
     def people(kind: str, n: int) -> DataFrame:
         return dept.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("*", F.concat("d", F.lit(f"/{kind}"), F.col("k").cast("string")).alias("x"))
 
     prof, stud, course = people("professor", professors), people("student", students), people("course", courses)
-    some = lambda kind, n, *p: F.concat("d", F.lit(f"/{kind}"), pick(uniform(seed, F.col("x"), *p), n).cast("string"))
+    drawn = lambda n, what: F.conv(F.substring(F.md5(F.concat("x", F.lit(f":{what}:{seed}"))), 1, 8), 16, 10).cast("long") % n
+    some = lambda kind, n, what: F.concat("d", F.lit(f"/{kind}"), drawn(n, what).cast("string"))
+    types = lambda df, *names: [_typed(df.select("ctx", F.col("x").alias("s"), F.lit(n).alias("o"))) for n in names]
+    told = lambda df, relation, value: _link(df.select("ctx", F.col("x").alias("s"), value.alias("o")), relation, F.col("ctx")).withColumn("objects", F.transform("objects", lambda v: V.text(v["ref"])))
+    graduate, paper, group = stud.where("k % 4 = 0"), prof.withColumn("x", F.concat("x", F.lit("/paper"))), dept.withColumn("x", F.concat("d", F.lit("/group")))
+    univ = F.concat(F.lit("univ"), drawn(universities, "degree").cast("string"))
     rows = [
         _typed(dept.select("ctx", F.col("d").alias("s"), F.lit("Department").alias("o"))),
-        _typed(prof.select("ctx", F.col("x").alias("s"), F.lit("Professor").alias("o"))),
-        _typed(stud.select("ctx", F.col("x").alias("s"), F.lit("Student").alias("o"))),
-        _typed(course.select("ctx", F.col("x").alias("s"), F.lit("Course").alias("o"))),
+        *types(dept.select("ctx", F.col("u").alias("x")).dropDuplicates(["x"]).withColumn("ctx", F.concat(F.lit("world."), F.col("x"))), "University"),
+        *types(prof, "Professor", "Faculty", "Person"),
+        *types(prof.where("k = 0"), "Chair"),
+        *types(stud, "Student", "Person"),
+        *types(graduate, "GraduateStudent"),
+        *types(stud.where("k % 4 <> 0"), "UndergraduateStudent"),
+        *types(course, "Course"),
+        *types(paper, "Publication"),
+        *types(group, "ResearchGroup"),
+        *(told(df, "emailAddress", F.concat("x", F.lit("@example.org"))) for df in (prof, stud)),
+        told(prof, "name", F.concat(F.lit("Professor "), F.col("k").cast("string"))),
+        told(prof, "telephone", F.concat(F.lit("555-"), F.col("k").cast("string"))),
+        _link(group.select("ctx", F.col("x").alias("s"), F.col("u").alias("o")), "subOrganizationOf", F.col("ctx")),
+        _link(graduate.select("ctx", F.col("x").alias("s"), univ.alias("o")), "undergraduateDegreeFrom", F.col("ctx")),
+        _link(prof.select("ctx", F.col("x").alias("s"), univ.alias("o")), "doctoralDegreeFrom", F.col("ctx")),
         _link(dept.select("ctx", F.col("d").alias("s"), F.col("u").alias("o")), "subOrganizationOf", F.col("ctx")),
         _link(prof.select("ctx", F.col("x").alias("s"), F.col("d").alias("o")), "worksFor", F.col("ctx")),
         _link(prof.where("k = 0").select("ctx", F.col("x").alias("s"), F.col("d").alias("o")), "headOf", F.col("ctx")),

@@ -3,10 +3,10 @@ from __future__ import annotations
 import pytest
 
 from factloom.functions.expressions import ExpressionError
-from factloom.operators import triples
+from factloom.operators import graph, triples
 from factloom.operators.access import Kind, Query
 from factloom.operators.algebra import Aggregate, Filter, Scan
-from factloom.plans import language, planner, sparql
+from factloom.plans import ablation, engine, language, planner, sparql
 from factloom.plans.store import FactStore
 from tests.test_operators import fact, ids, table  # noqa: F401
 
@@ -104,3 +104,40 @@ def test_facts_and_triples_agree(facts):
         from factloom.operators import access
 
         assert ids(access.run(facts, q)) == ids(access.run(back, q))
+
+
+def test_two_writers_take_their_own_numbers(spark, facts, table, tmp_path):  # noqa: F811
+    a = FactStore.create(spark, str(tmp_path / "w"), facts)
+    b = FactStore(spark, str(tmp_path / "w"))
+    assert len({x._next_seq() for x in (a, b) for _ in range(3)}) == 6
+    a.compact()
+    assert ids(b.facts()) == ["1", "2", "3", "4"]
+    assert a.clean() == 1 and a.clean() == 0 and ids(a.facts()) == ["1", "2", "3", "4"]
+
+
+def test_engines(spark, facts):
+    for name in sorted(engine.ENGINES):
+        assert ids(engine.create(name, facts).query(Query(Kind.LOOKUP, subject="bob"))) == ["2", "4"]
+    with pytest.raises(ValueError):
+        engine.create("none", facts)
+    with pytest.raises(ValueError):
+        engine.register(engine.Engine)
+    cache = engine.PlanCache(sparql.parse, 1)
+    for text in ("SELECT ?x WHERE { ?x a b }", "SELECT ?y WHERE { ?y a b }", "SELECT ?x WHERE { ?x a b }"):
+        cache.get(text)
+    assert (cache.hits, cache.misses) == (0, 3)
+
+
+def test_ablation_strategies(spark, facts):
+    assert len(list(ablation.plans("pairwise"))) == 15 and list(ablation.plans("random_subset")) == list(ablation.plans("random_subset"))
+    with pytest.raises(ValueError):
+        list(ablation.plans("none"))
+    r = ablation.Report(1.0, [(("a",), 2.0), (("b",), 0.5), (("a", "b"), 3.0)])
+    assert r.worst_offenders(1) == [(("a", "b"), 3.0)] and r.biggest_improvements(1) == [(("b",), 0.5)] and r.speedups() == {"a": 2.0, "b": 0.5}
+
+
+def test_a_chain_of_150_levels_is_whole(spark):
+    d = spark.range(1, 151).selectExpr("concat('n', id) as child", "concat('n', id - 1) as parent", "0 as pos")
+    start = spark.createDataFrame([("n150",)], "start string")
+    assert graph.chain(d, start).count() == 151
+    assert graph.lineage(d, start).agg({"depth": "max"}).first()[0] == 150
