@@ -13,6 +13,8 @@ from factloom.functions.staging import Levels, cut
 MAX_DEPTH = 100
 #: Levels that are chained in one plan before it is cut.
 CHAIN = 2
+#: Steps of a chain, and levels of a lineage, between two written tables.
+STEPS, HOPS = 8, 4
 
 
 def walk(edges: DataFrame, seeds: DataFrame, relation: str | None, depth: int) -> DataFrame:
@@ -77,13 +79,18 @@ def chain(derivations: DataFrame, start: DataFrame, limit: int | None = None) ->
     out: a chain of more than ``limit`` steps raises, where one is given.
     """
     first = derivations.groupBy("child").agg(F.min_by("parent", "pos").alias("parent"))
-    levels = Levels(start.sparkSession, "chain")
-    now = levels.add(start.select("start", F.col("start").alias("node"), F.lit(0).alias("step"), F.array("start").alias("seen")))
-    for step in count(1):
-        now = now.join(first, now["node"] == first["child"]).where("not array_contains(seen, parent)").select("start", F.col("parent").alias("node"), F.lit(step).alias("step"), F.concat("seen", F.array("parent")).alias("seen"))
-        now = levels.add(now)
+    first = cut(first.select(F.col("child").alias("node"), F.col("parent").alias("above")), "parents")
+    done = Levels(start.sparkSession, "chain")
+    now = start.select("start", F.col("start").alias("node"), F.array("start").alias("seen"))
+    for step in count(STEPS, STEPS):
+        for _ in range(STEPS):
+            above = F.when(~F.array_contains("seen", F.col("above")), F.col("above"))
+            now = now.join(first, "node", "left").withColumn("node", above).select("start", "node", F.when(F.col("node").isNotNull(), F.concat("seen", F.array("node"))).otherwise(F.col("seen")).alias("seen"))
+        now = cut(now, "chain-on")
+        done.add(now.where("node is null").select("start", "seen"))
+        now = now.where("node is not null")
         if now.isEmpty():
-            return levels.all().select("start", "step", "node")
+            return done.all().select("start", F.posexplode("seen").alias("step", "node"))
         if limit is not None and step > limit:
             raise ValueError(f"a chain goes on after {limit} steps")
 
@@ -96,9 +103,14 @@ def lineage(derivations: DataFrame, start: DataFrame, limit: int | None = None)
     e = derivations.select("child", "parent").distinct()
     levels = Levels(start.sparkSession, "lineage")
     front = levels.add(start.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
-    for level in count(1):
-        step = front.join(e, front["node"] == e["child"]).select("start", F.col("parent").alias("node")).distinct()
-        front = levels.add(step.join(levels.all().select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(level)))
+    for level in count(HOPS, HOPS):
+        met, step = None, front.select("start", "node")
+        for depth in range(level - HOPS + 1, level + 1):
+            step = step.join(e, step["node"] == e["child"]).select("start", F.col("parent").alias("node")).distinct()
+            here = step.withColumn("depth", F.lit(depth))
+            met = here if met is None else met.union(here)
+        new = met.groupBy("start", "node").agg(F.min("depth").alias("depth"))
+        front = levels.add(new.join(levels.all().select("start", "node"), ["start", "node"], "left_anti")).where(F.col("depth") == level)
         if front.isEmpty():
             return levels.all()
         if limit is not None and level > limit:
