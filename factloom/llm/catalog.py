@@ -76,14 +76,14 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-@query("op10_substring_dedup")
+@query("op10_substring_dedup", oracles.substring_dedup(substring_dedup.WINDOW))
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
     return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
-@query("op9_near_dedup")
+@query("op9_near_dedup", oracles.near_dedup(2, near_dedup.PERCENT))
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -102,9 +102,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (samples.remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
-@query("op2_decontamination")
+@query("op2_decontamination", oracles.contamination(decontamination.SHINGLE, decontamination.SIMILARITY))
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("distance")  # a fingerprint's business, not a result's
 
 
 @query("op6_token_counts")

@@ -7,7 +7,8 @@ counts as empty.  The steps, each bounded by its own partition:
    only digests travel from there on;
 2. each input partition folds its digests in a :class:`CuckooIndex`, so that a
    group of copies, however large, leaves it as one row;
-3. the folded rows meet by digest and are folded again: the largest id stays;
+3. the folded rows meet by digest, in its order, and are folded again: the
+   largest id stays, and a group that is complete is deleted from the index;
 4. every row looks its group up by digest, an ordinary join whose hot keys
    adaptive execution splits.
 """
@@ -171,10 +172,19 @@ def _fold_input(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fold_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by digest: only the last digest of a batch can go on, all others leave the index."""
     index = CuckooIndex()
     for b in batches:
         for key, i, n in zip(*(c.to_pylist() for c in b.columns)):
             fold(index, key, i, n)
+        if b.num_rows:
+            last = b.column(0)[b.num_rows - 1].as_py()
+            open_ = index.values[index.find(last)]
+            index.delete(last)
+            yield from _rows(index)
+            for done in [k for k, _ in index.items()]:
+                index.delete(done)
+            index.insert(last, open_)
     yield from _rows(index)
 
 
@@ -194,7 +204,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashed = ws.table(hashed, "digests")
     shape = "digest binary, keep_id long, group_size long"
     folded = hashed.select("doc_id", "digest", "n_rows").mapInArrow(_fold_input, shape)
-    groups = folded.repartition(partitions(spark), "digest").mapInArrow(_fold_groups, shape)
+    groups = folded.repartition(partitions(spark, hashed), "digest").sortWithinPartitions("digest").mapInArrow(_fold_groups, shape)
     groups = ws.table(groups, "groups")
     return hashed.join(groups, "digest").select(
         "doc_id",

@@ -1,13 +1,14 @@
 """Licence scans over a positional rare-token index, in DataFrame operations only.
 
 Every whole text is cut into words once; of the words that occur in licence
-phrases or templates it keeps the postings, one number ``position * 64 + word``
+phrases or templates it keeps the postings, one number for position and word
 each.  Document frequencies of those few words over all documents give their
 IDF.  A template or phrase is then looked up from its rarest word: that word's
-postings propose relative starts, the postings of the other words at their
-offsets confirm them, and the template's mandatory phrase has to stand there
-word by word.  All of it stays within a row, so nothing is shuffled but the
-word counts.
+postings propose relative starts, the postings of the other words, shifted by
+their offsets, are intersected with them, and the template's mandatory phrase
+has to stand there word by word.  Intersections go by hash and coverages by one
+sorted pass, so a text of many licences takes no more than its words.  All of
+it stays within a row, so nothing is shuffled but the word counts.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ TEMPLATES = [
 COMMON = frozenset("the of to and in is or a are any this with use".split())
 #: IDF share of a template's words that has to be found at one alignment.
 COVERAGE = 0.7
-SLOT = 64
+#: A posting is ``position * SLOT + word``.
+SLOT = 1 << 16
 
 
 def _entries(text: str) -> list[tuple[int, str]]:
@@ -73,16 +75,17 @@ def postings(docs: DataFrame, vocab: Sequence[str], id_col: str = "doc_id", text
 def _starts(post: Column, words: Sequence[tuple[int, int]], idf: Sequence[float]) -> Column:
     """Starts at which all (offset, word) of ``words`` stand, proposed by the rarest word."""
     off, rare = max(words, key=lambda x: (idf[x[1]], -x[0]))
-    starts = F.transform(F.filter(post, lambda x: x % SLOT == rare), lambda x: F.floor(x / SLOT).cast("long") - off)
+    starts = F.filter(_shifted(post, off, rare), lambda s: s >= 0)
+    held = starts
+    for k, w in words:
+        if (k, w) != (off, rare):
+            held = F.array_intersect(held, _shifted(post, k, w))
+    return F.when(F.size(starts) > 0, held).otherwise(F.array().cast("array<bigint>"))
 
-    def holds(s: Column) -> Column:
-        ok = s >= 0
-        for k, w in words:
-            if (k, w) != (off, rare):
-                ok &= F.array_contains(post, (s + k) * SLOT + w)
-        return ok
 
-    return F.filter(starts, holds)
+def _shifted(post: Column, off: int, word: int) -> Column:
+    """Where something would start in which ``word`` stands at ``off``."""
+    return F.transform(F.filter(post, lambda x: x % SLOT == word), lambda x: F.floor(x / SLOT).cast("long") - off)
 
 
 def _coverage(post: Column, entries: Sequence[tuple[int, int]], must: Sequence[tuple[int, int]], idf: Sequence[float]) -> Column:
@@ -91,10 +94,18 @@ def _coverage(post: Column, entries: Sequence[tuple[int, int]], must: Sequence[t
     ``must`` has its offsets within the template, so a place of the phrase is an alignment of the template.
     """
     total = sum(idf[w] for _, w in entries)
-    share = lambda s: sum((F.when(F.array_contains(post, (s + k) * SLOT + w), F.lit(idf[w] / total)).otherwise(F.lit(0.0)) for k, w in entries), F.lit(0.0))
     first = min(k for k, _ in must)
     starts = F.transform(_starts(post, [(k - first, w) for k, w in must], idf), lambda s: s - first)
-    return F.coalesce(F.array_max(F.transform(starts, share)), F.lit(0.0))
+    found = [F.transform(F.array_intersect(starts, _shifted(post, k, w)), lambda s, w=w, k=k: F.struct(s.alias("s"), F.lit(k).alias("k"), F.lit(idf[w] / total).alias("share"))) for k, w in entries]
+    # Shares by start, one after the other: the sum of the start at hand, and the best sum so far.
+    none = F.struct(F.lit(None).cast("long").alias("s"), F.lit(0.0).alias("now"), F.lit(0.0).alias("best"))
+
+    def add(at: Column, x: Column) -> Column:
+        now = F.when(at["s"].eqNullSafe(x["s"]), at["now"]).otherwise(F.lit(0.0)) + x["share"]
+        return F.struct(x["s"].alias("s"), now.alias("now"), F.greatest(at["best"], now).alias("best"))
+
+    best = F.aggregate(F.array_sort(F.flatten(F.array(*found))), none, add, lambda at: at["best"])
+    return F.when(F.size(starts) > 0, best).otherwise(F.lit(0.0))
 
 
 def scan(docs: DataFrame, base: Mapping[str, str] = BASE, templates: Sequence[tuple[str, str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -67,6 +67,58 @@ def source_mixing(rate: float = mixing.RATE, seed: int = 17) -> str:
             f"g{step} as (select f, coalesce(sum(w0) filter (ratio * f >= 1), 0.0) as at_one, coalesce(sum(w) filter (ratio * f < 1), 0.0) as rest from y, f{step} group by f), "
             f"f{step + 1} as (select case when rest = 0 then f else greatest(f, ({rate} * total - at_one) / rest) end as f from g{step}, t)"
         )
-    out.append(f"p as (select {keys}, round(case when w0 > 0 then least(1.0, ratio * f) else {rate} end, 6) as p from y, f{mixing.CALIBRATIONS})")
+    out.append(f"p as (select {keys}, case when w0 > 0 then least(1.0, ratio * f) else {rate} end as p from y, f{mixing.CALIBRATIONS})")
     chance = f"('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':{seed}'), 1, 13))::bigint / {float(1 << 52)}"
-    return f"with {', '.join(out)} select doc_id, {keys}, tokens, p, {chance} < p as kept from m join p using ({keys})"
+    return f"with {', '.join(out)} select doc_id, {keys}, tokens, round(p, 6) as p, {chance} < p as kept from m join p using ({keys})"
+
+
+def substring_dedup(window: int) -> str:
+    """Every window by its words; the first place of each stays."""
+    return rf"""
+    with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+    u as (select doc_id, unnest(ws) as word, unnest(range(0, len(ws))) as p from w),
+    x as (select doc_id, ws, unnest(range(0, len(ws) - {window - 1})) as p from w where len(ws) >= {window}),
+    r as (select doc_id, p, row_number() over (partition by array_to_string(ws[p + 1 : p + {window}], ' ') order by doc_id, p) > 1 as again from x),
+    c as (select doc_id, p, word, coalesce(max(again::int) over (partition by doc_id order by p rows between {window - 1} preceding and current row), 0) = 1 as gone from u left join r using (doc_id, p))
+    select doc_id, count(word) as n_words, count(*) filter (gone) as n_removed, sha256(coalesce(string_agg(word, ' ' order by p) filter (not gone), '')) as kept_sha256
+    from documents left join c using (doc_id) group by doc_id
+    """
+
+
+def near_dedup(shingle: int, percent: int) -> str:
+    """Candidates share one of the rarest shingles of both, as many as a pair at the threshold cannot all differ in; full sets decide."""
+    need = f"(n * {percent} + 99) // 100"
+    return rf"""
+    with recursive w as (select doc_id, regexp_extract_all({ASCII_LOWER}, '[^\x20\x09-\x0D]+') as ws from documents),
+    s as (select distinct doc_id, array_to_string(ws[p + 1 : p + {shingle}], ' ') as g from (select doc_id, ws, unnest(range(0, len(ws) - {shingle - 1})) as p from w where len(ws) >= {shingle})
+          union all select doc_id, array_to_string(ws, ' ') from w where len(ws) between 1 and {shingle - 1}),
+    d as (select doc_id, count(*) as n, md5(string_agg(g, chr(10) order by g)) as h from s group by doc_id),
+    k as (select h, min(doc_id) as c, min(n) as n from d group by h),
+    t as (select c, n, g, row_number() over (partition by c order by f, g) as rank from k join s on doc_id = c join (select g, count(*) as f from s group by g) using (g)),
+    p as (select distinct a.c as a, b.c as b from t a join t b on a.g = b.g and a.c < b.c where a.rank <= a.n - ({need.replace("n ", "a.n ")}) + 1 and b.rank <= b.n - ({need.replace("n ", "b.n ")}) + 1 and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)),
+    l as (select a, b from (select p.a, p.b, x.n as na, y.n as nb, count(*) as common from p join t x on x.c = p.a join t y on y.c = p.b and y.g = x.g group by all) where 100 * common >= {percent} * (na + nb - common)),
+    e as (select a, b from l union all select b, a from l),
+    r as (select c as x, c as y from k union select r.x, e.b from r join e on e.a = r.y),
+    m as (select x as c, min(y) as component_id from r group by x)
+    select doc_id, coalesce(d.n, 0) as n_shingles, coalesce(m.component_id, doc_id) as component_id, doc_id = coalesce(m.component_id, doc_id) as kept
+    from documents left join d using (doc_id) left join k on k.h = d.h left join m on m.c = k.c
+    """
+
+
+def contamination(shingle: int, least: float) -> str:
+    """All item-sized windows that hold a shingle of the item, by weighted Jaccard; the first of the best."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+    with d as (select doc_id, regexp_extract_all({ASCII_LOWER}, '{word}') as ws from documents),
+    i as (select item_id, regexp_extract_all({ASCII_LOWER}, '{word}') as ws from benchmark),
+    sizes as (select distinct least({shingle}, len(ws)) as size from i where len(ws) > 0),
+    dg as (select doc_id, len(ws) as nd, size, p, array_to_string(ws[p + 1 : p + size], ' ') as g from (select doc_id, ws, size, unnest(range(0, len(ws) - size + 1)) as p from d, sizes where len(ws) >= size)),
+    ig as (select item_id, ni, size, g, count(*) as c from (select item_id, len(ws) as ni, size, array_to_string(ws[p + 1 : p + size], ' ') as g from (select item_id, ws, least({shingle}, len(ws)) as size, unnest(range(0, len(ws) - least({shingle}, len(ws)) + 1)) as p from i where len(ws) > 0)) group by all),
+    hits as (select doc_id, item_id, nd, ni, size, p, g, c from dg join ig using (size, g)),
+    z as (select distinct doc_id, item_id, nd, ni, size, unnest(range(greatest(0, p - (ni - size)), least(p, greatest(nd - ni, 0)) + 1)) as s from hits),
+    m as (select doc_id, item_id, nd, ni, size, s, g, least(count(*), min(c)) as common from z join hits using (doc_id, item_id, nd, ni, size) where p between s and s + least(ni, nd) - size group by all),
+    j as (select doc_id, item_id, s, least(nd, ni) as n_words, sum(common) as b, least(nd, ni) - size + 1 + ni - size + 1 as total from m group by doc_id, item_id, nd, ni, size, s),
+    v as (select *, b::double / (total - b)::double as similarity from j)
+    select doc_id, item_id, s as first_word, n_words, similarity from v where similarity >= {least}
+    qualify row_number() over (partition by doc_id, item_id order by similarity desc, s) = 1
+    """

@@ -306,6 +306,17 @@ def test_exact_dedup(docs, odd, none, rows):
     assert sorted(lower(r.text) for r in kept.collect()) == sorted({t for _, t in all_rows})
 
 
+def test_groups_leave_the_index_once_their_digests_are_past():
+    rng = random.Random(3)
+    rows = sorted((hashlib.sha256(str(rng.randrange(300)).encode()).digest(), k, 1) for k in range(2000))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + 77])], names=["digest", "keep_id", "n"]) for a in range(0, 2000, 77)]
+    got = [r for b in exact_dedup._fold_groups(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    want = {}
+    for key, i, n in rows:
+        want[key] = (max(i, want.get(key, (i, 0))[0]), want.get(key, (i, 0))[1] + n)
+    assert {k: (i, n) for k, i, n in got} == want and len(got) == len(want)
+
+
 def test_cuckoo_index():
     rng = random.Random(9)
     index, live = exact_dedup.CuckooIndex(8), {}
@@ -417,7 +428,16 @@ def test_templates_need_their_mandatory_phrase(spark):
     got = [r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert got == ["bsd", "", ""]
     with pytest.raises(ValueError):
-        licenses.vocabulary({f"word{k} license": "x" for k in range(70)})
+        licenses.vocabulary({f"word{k} license": "x" for k in range(licenses.SLOT)})
+    many = {" ".join(f"word{k}" for k in range(j, j + 5)): "x" for j in range(0, 200, 5)}
+    got = licenses.scan(spark.createDataFrame([(0, "word195 word196 word197 word198 word199 word5")], "doc_id long, text string"), many).first()
+    assert (got.n_base, got.first_word, got.base_labels) == (1, 0, "x")
+
+
+def test_a_text_of_many_licences_takes_no_more_than_its_words(spark):
+    text = "released under the mit license " * 32_000
+    got = licenses.scan(spark.createDataFrame([(0, text)], "doc_id long, text string")).first()
+    assert (got.n_words, got.n_base, got.first_word, got.last_word, got.labels, got.score) == (160_000, 32_000, 3, 159_998, "mit", 1.0)
 
 
 # 8
@@ -456,6 +476,22 @@ def test_filling_meets_the_margins_of_scarce_cells(spark):
     assert max(copies.values()) > 1 and all(n in (int(p[i]), int(p[i]) + 1) for i, n in copies.items())
 
 
+def test_given_targets_are_met(spark):
+    rows = [(k, "w " * (20 + k % 7), ("en", "fr")[k % 2], ("web", "wiki", "code")[k % 3]) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"=web": 1, "=wiki": 3, "=none": 5}, "lang": {"=en": 0.7, "=fr": 0.3}}
+    tokens = Counter()
+    for r in mixing.fill(docs, targets=targets).collect():
+        tokens[r.source] += r.tokens
+        tokens[r.lang] += r.tokens
+    assert set(tokens) == {"web", "wiki", "en", "fr"}
+    assert abs(tokens["web"] / (tokens["web"] + tokens["wiki"]) - 0.25) < 0.03 and abs(tokens["en"] / (tokens["en"] + tokens["fr"]) - 0.7) < 0.03
+    with pytest.raises(ValueError):
+        mixing.mix(docs, targets={"lang": {"=xx": 1}})
+    rare = mixing.calibrated(spark.createDataFrame([("a", "b", "c", 1e12, 1.0), ("d", "b", "c", 1.0, 1e12)], "source string, lang string, topic string, w0 double, w double"))
+    assert min(r.p for r in rare.collect()) > 0  # a rare chance is a chance
+
+
 def test_raking_meets_all_margins(spark):
     rng = random.Random(1)
     cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", float(rng.randint(1, 1000))) for a in range(5) for b in range(3) for c in range(3)], "source string, lang string, topic string, w0 double")
