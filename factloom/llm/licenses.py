@@ -88,15 +88,20 @@ def _shifted(post: Column, off: int, word: int) -> Column:
     return F.transform(F.filter(post, lambda x: x % SLOT == word), lambda x: F.floor(x / SLOT).cast("long") - off)
 
 
-def _coverage(post: Column, entries: Sequence[tuple[int, int]], must: Sequence[tuple[int, int]], idf: Sequence[float]) -> Column:
-    """IDF share of the template's words at the best of the places where its mandatory phrase stands; 0 without one.
+def _alignments(post: Column, must: Sequence[tuple[int, int]], idf: Sequence[float]) -> Column:
+    """Where a template would start if its mandatory phrase stands where it stands; ``must`` has its offsets within the template."""
+    first = min(k for k, _ in must)
+    return F.transform(_starts(post, [(k - first, w) for k, w in must], idf), lambda s: s - first)
 
-    ``must`` has its offsets within the template, so a place of the phrase is an alignment of the template.
-    """
+
+def _coverage(post: Column, starts: Column, entries: Sequence[tuple[int, int]], idf: Sequence[float]) -> Column:
+    """IDF share of the template's words at the best of its alignments; 0 without one."""
     total = sum(idf[w] for _, w in entries)
-    first = min(k for k, _ in must)
-    starts = F.transform(_starts(post, [(k - first, w) for k, w in must], idf), lambda s: s - first)
-    found = [F.transform(F.array_intersect(starts, _shifted(post, k, w)), lambda s, w=w, k=k: F.struct(s.alias("s"), F.lit(k).alias("k"), F.lit(idf[w] / total).alias("share"))) for k, w in entries]
+
+    def share(k: int, w: int) -> Column:
+        part = [F.lit(k).alias("k"), F.lit(idf[w] / total).alias("share")]
+        return F.transform(F.array_intersect(starts, _shifted(post, k, w)), lambda s: F.struct(s.alias("s"), *part))
+
     # Shares by start, one after the other: the sum of the start at hand, and the best sum so far.
     none = F.struct(F.lit(None).cast("long").alias("s"), F.lit(0.0).alias("now"), F.lit(0.0).alias("best"))
 
@@ -104,7 +109,7 @@ def _coverage(post: Column, entries: Sequence[tuple[int, int]], must: Sequence[t
         now = F.when(at["s"].eqNullSafe(x["s"]), at["now"]).otherwise(F.lit(0.0)) + x["share"]
         return F.struct(x["s"].alias("s"), now.alias("now"), F.greatest(at["best"], now).alias("best"))
 
-    best = F.aggregate(F.array_sort(F.flatten(F.array(*found))), none, add, lambda at: at["best"])
+    best = F.aggregate(F.array_sort(F.flatten(F.array(*(share(k, w) for k, w in entries)))), none, add, lambda at: at["best"])
     return F.when(F.size(starts) > 0, best).otherwise(F.lit(0.0))
 
 
@@ -127,11 +132,14 @@ def scan(docs: DataFrame, base: Mapping[str, str] = BASE, templates: Sequence[tu
     idf = [math.log((n + 1) / (df.get(k, 0) + 1)) + 1e-9 for k in range(len(vocab))]
     post = F.col("post")
     phrases = {p: _starts(post, [(k, number[w]) for k, w in enumerate(p.split())], idf) for p in base}
-    out = found.select("doc_id", "n_words", "post", *(s.alias(f"base_{k}") for k, s in enumerate(phrases.values())))
-    for k, (_, text, must) in enumerate(templates):
+    needs = []
+    for _, text, must in templates:
         at = _offset(text.split(), must.split())
-        need = [(o + at, number[w]) for o, w in enumerate(must.split()) if w not in COMMON]
-        out = out.withColumn(f"cover_{k}", F.when(F.size(post) > 0, _coverage(post, [(o, number[w]) for o, w in _entries(text)], need, idf)).otherwise(F.lit(0.0)))
+        needs.append([(o + at, number[w]) for o, w in enumerate(must.split()) if w not in COMMON])
+    # Starts are columns of their own, so that they are computed once and not for each word of a template.
+    out = found.select("doc_id", "n_words", "post", *(s.alias(f"base_{k}") for k, s in enumerate(phrases.values())), *(_alignments(post, need, idf).alias(f"at_{k}") for k, need in enumerate(needs)))
+    covers = [_coverage(post, F.col(f"at_{k}"), [(o, number[w]) for o, w in _entries(text)], idf) for k, (_, text, _) in enumerate(templates)]
+    out = out.select("doc_id", "n_words", *(f"base_{k}" for k in range(len(base))), *(c.alias(f"cover_{k}") for k, c in enumerate(covers)))
     every = F.flatten(F.array(*(F.col(f"base_{k}") for k in range(len(base)))))
     has = [F.when(F.size(f"base_{k}") > 0, F.lit(label)) for k, label in enumerate(base.values())]
     more = [F.when(F.col(f"cover_{k}") >= COVERAGE, F.lit(label)) for k, (label, _, _) in enumerate(templates)]
