@@ -10,17 +10,18 @@ a single huge file is scanned by many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm.chat import VOCABULARY, tokenizer
-from factloom.llm.work import Workspace
+from factloom.llm.work import Workspace, partitions
 
 #: End-of-document id of the default vocabulary, and the width of an id in a file.
 EOD, DTYPE = 50256, "<u2"
@@ -71,18 +72,43 @@ def tokenise(docs: DataFrame, ws: Workspace, vocabulary: str = VOCABULARY, eod:
     return back.where("kind = 0").select("file", "block", "data"), back.where("kind = 1").select("file", F.col("block").alias("part"), "ids")
 
 
-def read_files(spark: SparkSession, path: str, dtype: str = DTYPE, block: int = BLOCK) -> DataFrame:
-    """Blocks (file, block, data) of the flat token files under ``path``, in any store Spark reads."""
-    width = np.dtype(dtype).itemsize * block
+def open_file(path: str):
+    """A seekable file of any store pyarrow knows (local and mounted folders, HDFS, S3, GCS), by the path Spark lists it under."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        path = "file:///" + rest.lstrip("/")
+    elif scheme in ("s3a", "s3n"):
+        path = "s3:" + rest
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_file(inner)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                parts = [data[k : k + width] for k in range(0, len(data), width)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], names=["file", "block", "data"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(cut, "file string, block long, data binary")
+def read_files(spark: SparkSession, path: str, dtype: str = DTYPE, block: int = BLOCK, opener: Callable = open_file) -> DataFrame:
+    """Blocks (file, block, data) of the flat token files under ``path``.
+
+    Spark only lists the files; each task then reads its blocks by their
+    offsets, one at a time, so a file of any size is read by many tasks.
+    ``opener`` opens a listed path on an executor.  Defined results: an empty
+    file has no blocks; a file whose length is no multiple of an id's width
+    raises, as its last id is not whole.
+    """
+    item = np.dtype(dtype).itemsize
+    width = item * block
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, number, length in zip(*(c.to_pylist() for c in b.columns)):
+                if length % item:
+                    raise ValueError(f"{name}: {length} bytes are no whole number of ids of {item}")
+                with opener(name) as f:
+                    f.seek(number * width)
+                    data = f.read(min(width, length - number * width))
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([number], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "data"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    last = F.floor((F.col("length") - 1) / width).cast("long")
+    ranges = files.select(F.col("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), "length")
+    return ranges.repartition(partitions(spark), "file", "block").mapInArrow(read, "file string, block long, data binary")
 
 
 def separators(blocks: DataFrame, eod: int = EOD, dtype: str = DTYPE) -> DataFrame:

@@ -402,6 +402,21 @@ def test_separator_scan_of_files(spark, tmp_path, block, monkeypatch):
     assert dict(got) == {k: v for k, v in want.items() if v}
 
 
+def test_flat_files_are_read_by_offsets(spark, tmp_path):
+    size = (2 << 30) + 6
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(size)
+        f.seek(size - 4)
+        f.write(np.array([50256, 7], "<u2").tobytes())
+    blocks = token_counts.read_files(spark, str(tmp_path), block=1 << 24)
+    found = {r.block: (r.n, r.n_sep, r.tail) for r in token_counts.separators(blocks).collect()}
+    assert sum(n for n, _, _ in found.values()) == size // 2
+    assert {k: v for k, v in found.items() if v[1]} == {64: (3, 1, 1)}
+    (tmp_path / "half.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no whole number of ids"):
+        token_counts.read_files(spark, str(tmp_path / "half.bin")).collect()
+
+
 # 7
 
 
