@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, decontamination, exact_dedup, language_id, licenses, mixing, near_dedup, oracles, quality, samples, substring_dedup, token_counts, work
+from factloom.llm import chat, decontamination, divergence, exact_dedup, filter_audit, language_id, licenses, mixing, near_dedup, oracles, packing, quality, samples, substring_dedup, token_counts, work
 
 QUERIES = {}
 ORACLES = {}
@@ -111,3 +111,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op11_packing")
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op12_filter_audit", oracles.filter_audit())
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_source_divergence", oracles.divergence(divergence.MIN_DOCUMENTS, divergence.TOP))
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))

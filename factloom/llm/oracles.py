@@ -122,3 +122,52 @@ def contamination(shingle: int, least: float) -> str:
     select doc_id, item_id, s as first_word, n_words, similarity from v where similarity >= {least}
     qualify row_number() over (partition by doc_id, item_id order by similarity desc, s) = 1
     """
+
+
+def filter_audit() -> str:
+    """Every order applied to every cell of five failures."""
+    steps = {"A": 0, "B": 1, "C": 2, "D": 3, "E": 4}
+    listed = ", ".join(f"('{f}', {1 << k})" for f, k in steps.items())
+    return rf"""
+    with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+    w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws, min(doc_id) over (partition by text) as first from d),
+    m as (select doc_id, part,
+                 (len(ws) < 200)::int + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::int
+                 + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::int
+                 + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int as mask from w),
+    l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+    c as (select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from m left join l using (doc_id) group by part, mask),
+    f as (select * from (values {listed}) as v (letter, bit)),
+    o as (select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order from f a, f b, f c, f d, f e
+          where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+    s as (select filter_order, i as step, substr(filter_order, i, 1) as letter from o, unnest(range(1, 6)) as t (i)),
+    b as (select filter_order, step, s.letter, bit, coalesce(sum(bit) over (partition by filter_order order by step rows between unbounded preceding and 1 preceding), 0)::int as before from s join f using (letter)),
+    r as (select part, filter_order, step, letter,
+                 sum(n) filter (mask & (before | bit) = 0) as kept, sum(n) filter (mask & before = 0 and mask & bit > 0) as removed,
+                 sum(n) filter (mask & before > 0 and mask & bit > 0) as redundant, sum(n) filter (mask = bit) as unique_fails,
+                 sum(good) filter (mask & before = 0 and mask & bit > 0) as good_lost, sum(toxic) filter (mask & before = 0 and mask & bit > 0) as toxic_lost
+          from c, b group by all)
+    select part, filter_order, cast(step as int) as step, {", ".join(f"cast(coalesce({x}, 0) as bigint) as {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+           cast(coalesce(sum(removed) over (partition by part, letter), 0) as bigint) as shapley
+    from r
+    """
+
+
+def divergence(least: int, top: int) -> str:
+    """Every group by every kept term of its language."""
+    return rf"""
+    with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ws, row_number() over () as i from documents),
+    u as (select lang, source, i, unnest(ws) as term from d),
+    v as (select lang, term from u group by all having count(distinct i) >= {least}),
+    g as (select distinct lang, source from d),
+    c as (select lang, source, term, count(*) as n from u join v using (lang, term) group by all),
+    x as (select lang, source, term, coalesce(n, 0) as n from g join v using (lang) left join c using (lang, source, term)),
+    t as (select *, sum(n) over (partition by lang, source) as total, count(*) over (partition by lang, source) as kept,
+                 sum(n) over (partition by lang, term) as whole, sum(n) over (partition by lang) as every from x),
+    p as (select lang, source, term, n, 1 + (1000000000 * (n + 5)::hugeint) // (total + 5 * kept) as p, 1 + (1000000000 * (whole + 5)::hugeint) // (every + 5 * kept) as q from t),
+    f as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+    r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+          union all select lang, source, 'term', term, p - q from p where n > 0 and p > q)
+    select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank
+    from r qualify part = 'pair' or rank <= {top}
+    """
