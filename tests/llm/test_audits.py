@@ -9,6 +9,8 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -60,19 +62,31 @@ def test_pack_empty(none):  # noqa: F811
     assert packing.pack(none).collect() == []
 
 
+ODD_TEXTS = ["it's They'LL 's ' s", "a\u0301 \u0301b e\u0301 H\u0331 h\u0331. (H\u0331)", "x\u00a0y\u2003z\x1c\x1d", "<|endoftext|> a<|startoftext|>b <|END", "ΣΑΣ ΟΔΟΣ İ ß", "한글 ㄱ가 中文字", "a\x00b\x0bc\x0cd", "x" * 300 + " y " + "é" * 90 + " z", "  \t\n ", "", "१२३ ½ 12"]
+ODD_TEXTS += ["(word) word, word's. \"Word\" 'word' w-o-r-d --word-- 12,5 5. .5 a.b. é. .é é.a <b> =a= a=\u0338 €5 (é) “q” x² ?! ?a!'", "A" * 64 + " " + "a" * 65 + ".", "naïve Straße ÀÉ ñandú"]
+
+
 def test_words_alone_give_the_ids_of_texts():
-    tokenizer, encode = Tokenizer.from_file(packing.vocabulary()), packing.encoder(packing.vocabulary())
-    odd_texts = ["it's They'LL 's ' s", "á ́b é", "x y z\x1c\x1d", "<|endoftext|> a<|startoftext|>b", "ΣΑΣ ΟΔΟΣ İ ß", "한글 ㄱ가 中文字", "a\x00b\x0bc\x0cd", "x" * 300 + " y " + "é" * 90, "  \t\n ", "१२३ ½ 12"]
-    for t in odd_texts:
-        assert encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    tokenizer, encode = Tokenizer.from_file(packing.vocabulary()), packing.Encoder(packing.vocabulary())
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in ODD_TEXTS]
+    assert [x.tolist() for x in encode(ODD_TEXTS)] == want
+    assert [x.tolist() for x in encode([*ODD_TEXTS[::-1], None])] == [*want[::-1], []]
+    assert [encode([t])[0].tolist() for t in ODD_TEXTS] == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abHI .,'\"-=<|>%5 \n\u0301\u0331\u0338éßİΣ中²½\u00a0\u200d"), max_size=12), max_size=4))
+def test_any_text(texts):
+    encode = packing.encoder(packing.vocabulary())
+    assert [x.tolist() for x in encode(texts)] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_forgetting_words(monkeypatch):
     monkeypatch.setattr(packing, "KNOWN_WORDS", 8)
     tokenizer, encode = Tokenizer.from_file(packing.vocabulary()), packing.Encoder(packing.vocabulary())
     for k in range(30):
-        t = " ".join(f"word{j} of" for j in range(k % 7, k % 7 + 5))
-        assert encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        t = " ".join(f"word{j}, of" for j in range(k % 7, k % 7 + 5))
+        assert encode([t])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_costs_are_even():
