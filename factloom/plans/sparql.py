@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.plans.layouts import Layouts
+
 from factloom.operators.algebra import AGGREGATES
 from factloom.plans.typed import condition
 
@@ -226,7 +228,10 @@ def parse(text: str) -> Select:
 _NUM = "#num"
 
 
-def _pattern(statements: DataFrame, p: Pattern) -> DataFrame:
+def _pattern(statements: DataFrame | Layouts, p: Pattern) -> DataFrame:
+    if isinstance(statements, Layouts):
+        bound = {c: t.value for c, t in (("s", p.s), ("p", p.p), ("o", p.o)) if t.kind == "text"}
+        statements = statements.scan(**bound)
     df, named = statements, {}
     for column, term in (("s", p.s), ("p", p.p), ("o", p.o)):
         if term.kind == "text":
@@ -272,9 +277,25 @@ def _ordered(patterns: list[Pattern]) -> list[Pattern]:
     return out
 
 
-def _evaluate(statements: DataFrame, g: Group) -> DataFrame:
-    out = None
-    for p in _ordered(g.patterns):
+def _pair(layouts: Layouts, a: Pattern, b: Pattern) -> DataFrame | None:
+    """Two patterns without bound ends joined bucket by bucket, where one variable is an end of both and all that they share."""
+    if any(t.kind != "var" for p in (a, b) for t in (p.s, p.o)):
+        return None  # a bound end picks out one bucket, which is less to read
+    ends = lambda p: {t.value: c for c, t in (("s", p.s), ("o", p.o)) if t.kind == "var"}
+    shared = a.vars() & b.vars()
+    if len(shared) != 1 or not shared <= set(ends(a)) & set(ends(b)):
+        return None
+    v = shared.pop()
+    (cold_a, cold_b), (hot_a, hot_b) = layouts.sides(ends(a)[v], ends(b)[v])
+    return _join(_pattern(cold_a, a), _pattern(cold_b, b)).unionByName(_join(_pattern(hot_a, a), _pattern(hot_b, b)))
+
+
+def _evaluate(statements: DataFrame | Layouts, g: Group) -> DataFrame:
+    out, patterns = None, _ordered(g.patterns)
+    if isinstance(statements, Layouts) and len(patterns) > 1:
+        out = _pair(statements, *patterns[:2])
+        patterns = patterns if out is None else patterns[2:]
+    for p in patterns:
         step = _pattern(statements, p)
         out = step if out is None else _join(out, step)
     for sides in g.unions:
@@ -301,7 +322,7 @@ def _reader(df: DataFrame):
     return read
 
 
-def run(statements: DataFrame, text: str | Select, numbers: Sequence[str] = ()) -> DataFrame:
+def run(statements: DataFrame | Layouts, text: str | Select, numbers: Sequence[str] = ()) -> DataFrame:
     """One column a selected variable, as text; those in ``numbers`` as numbers.  Aggregates are numbers."""
     q = parse(text) if isinstance(text, str) else text
     df = _evaluate(statements, q.where)
