@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from factloom.catalog.registry import DOCS, EVENTS, LINES, ORDERS, PLACES, query
 from factloom.functions import contexts as C
 from factloom.functions import values as V
-from factloom.operators import gluing, poset, topology, validate, workloads
+from factloom.functions import temporal
+from factloom.operators import gluing, intervals, poset, topology, validate, workloads
 from factloom.sources import tables as T
 
 _CTX = f"{ORDERS}, {EVENTS}, c0 as (select distinct context from orders_f union select distinct context from events_f), ctx as (select distinct array_to_string(list_slice(string_split(context, '.'), 1, k), '.') as context from c0, (values (1), (2), (3)) v(k))"
@@ -185,3 +186,25 @@ def axioms_of_nested_contexts(s, d):
 def axiom_report(s, d):
     f = T.document_facts(s, d)
     return topology.axiom_report(f, topology.members(f, ("event", "context")))
+
+
+_WINDOWS = """win as (select 'supplier/' || s_suppkey as w, timestamp '1995-01-01' + to_days(cast(s_suppkey * 37 % 1500 as int)) as a, timestamp '1995-01-01' + to_days(cast(s_suppkey * 37 % 1500 + 20 * (s_suppkey % 9) as int)) as b from supplier
+    union all select 'all', timestamp '1990-01-01', timestamp '2010-01-01' union all select 'open', timestamp '1998-01-01', null)"""
+
+
+@query(
+    "interval_join",
+    f"""with {ORDERS}, {_WINDOWS}, p as (select w, fact_id, greatest(vs, a) as lo, least(ve, coalesce(b, ve)) as hi from orders_f join win on vs < coalesce(b, timestamp '9999-01-01') and a < ve and (b is null or a < b))
+    select w, count(*) as n, sum(epoch_us(hi) - epoch_us(lo))::bigint as overlap_us, min(fact_id) as first_fact from p group by w""",
+)
+def interval_join(s, d):
+    """Order facts with the suppliers' windows, which overlap each other, one over all times and one without an end."""
+    f = T.order_facts(s, d)
+    begin = lambda days: F.expr("timestamp_ntz'1995-01-01'") + F.make_dt_interval(days)
+    k = F.col("s_suppkey").cast("int")
+    own = T.read(s, d, "supplier").select(F.concat(F.lit("supplier/"), k).alias("w"), begin(k * 37 % 1500).alias("a"), begin(k * 37 % 1500 + 20 * (k % 9)).alias("b"))
+    windows = own.union(s.sql("select 'all', timestamp_ntz'1990-01-01', timestamp_ntz'2010-01-01' union all select 'open', timestamp_ntz'1998-01-01', null"))
+    pairs = intervals.overlap_join(f, windows, "fact_id", "w", ("valid_start", "valid_end"), ("a", "b"))
+    both = pairs.join(f.select("fact_id", "valid_start", "valid_end"), "fact_id").join(windows, "w")
+    lo, hi = F.greatest(temporal.micros(F.col("valid_start")), temporal.micros(F.col("a"))), F.least(temporal.micros(F.col("valid_end")), temporal.micros(F.col("b")))
+    return both.groupBy("w").agg(F.count("*").alias("n"), F.sum(hi - lo).alias("overlap_us"), F.min("fact_id").alias("first_fact"))

@@ -48,11 +48,21 @@ def united_sections(s, d):
     return topology.united_sections([f.where("context = 'world.corpus'"), f.where("context = 'world.labels'")]).select("fact_id", "seq")
 
 
-@query("full_topology", "select 'context:world' as open_set, count(*) as n_facts from nation union all select 'entity:region/' || n_regionkey, count(*) from nation group by n_regionkey having count(*) > 1 union all select 'entity:nation/' || n_nationkey, 1 from nation")
+_DIMENSIONS = "o_custkey", "year(o_orderdate)", "o_orderstatus", "o_orderpriority", "o_orderkey % 2"
+_CELLS = ", ".join(f"({', '.join(x for x in (c, *t, p, m) if x)})" for c in ("", "c") for t in ((), ("y",), ("y", "st")) for p in ("", "p") for m in ("", "m"))
+
+
+@query(
+    "full_topology",
+    f"""with o as (select o_orderkey as k, {", ".join(f"{x} as {a}" for x, a in zip(_DIMENSIONS, ("c", "y", "st", "p", "m")))} from orders),
+    cells as (select count(*) as n, bit_xor(hash(k)) as x, sum(hash(k)) as t from o group by grouping sets ({_CELLS})),
+    found as (select distinct n, x, t from cells union select 1, hash(k), hash(k)::hugeint from o)
+    select n as n_facts, count(*) as n_sets from found group by n""",
+)
 def full_topology(s, d):
-    """Entity and context sets of the nations' facts, closed under intersection; equal sets go by one name."""
-    nations = T.place_facts(s, d).where(F.col("fact_id").startswith("place/nation/"))
-    return topology.sizes(topology.full(nations).withColumn("kind", F.lit(""))).select("open_set", "n_facts").where("open_set <> 'context:world.geo'")
+    """Entity, context, temporal and provenance sets of all order facts, closed under intersection: how many there are of each size."""
+    closed = topology.full(T.order_facts(s, d), ("entity", "context", "temporal", "provenance"))
+    return topology.sizes(closed.withColumn("kind", F.lit(""))).groupBy("n_facts").agg(F.count("*").alias("n_sets"))
 
 
 @query("sections_at_root", f"with {DOCS}, r as (select min(context) as context from docs_f) select fact_id from docs_f where context = (select context from r)")

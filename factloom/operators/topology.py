@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import contexts, temporal
-from factloom.functions.staging import cut
+from factloom.operators.closure import closed_members
 
 KINDS = ("event", "entity", "temporal", "context", "provenance", "neighborhood")
 
@@ -100,47 +100,14 @@ def united_sections(sections: list[DataFrame]) -> DataFrame:
     return out.groupBy("fact_id").agg(F.max_by(F.struct(*out.columns), "seq").alias("f")).select("f.*")
 
 
-def full(facts: DataFrame, kinds: tuple[str, ...] = ("entity", "context"), limit: int = 10_000) -> DataFrame:
+def full(facts: DataFrame, kinds: tuple[str, ...] = ("entity", "context")) -> DataFrame:
     """(open_set, fact_id) of the full topology: the sets of ``kinds`` closed under intersection."""
-    return closed_members(members(facts, kinds), limit)
+    return closed_members(members(facts, kinds))
 
 
-def closed_members(open_sets: DataFrame, limit: int = 10_000) -> DataFrame:
-    """(open_set, fact_id) of all non-empty intersections: sets with equal points are one, named by the smallest name.
-
-    Sets meet by an equi-join on their points.  Sets of one point meet nothing
-    new, so they stay apart, however many there are.  Of the others the closure
-    can be exponential; beyond ``limit`` of them it refuses rather than going on
-    or leaving some out.  Points are compared by their number and 128 bits of hash.
-    """
-
-    def split(rows: DataFrame, order) -> tuple[DataFrame, DataFrame, int]:
-        """Rows of the sets of several points, each set once; sets of one point; how many sets of several there are."""
-        h = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "fact_id"))
-        sizes = cut(rows.groupBy("open_set").agg(F.count("*").alias("n"), h(1).alias("x"), h(2).alias("y"), F.min("fact_id").alias("fact_id")), "closure")
-        name = F.min_by("open_set", order).alias("open_set")
-        names = cut(sizes.where("n > 1").groupBy("n", "x", "y").agg(name).select("open_set"), "closure")
-        count = names.count()
-        if count > limit:
-            raise ValueError(f"the closure has more than {limit} open sets of several points")
-        one = sizes.where("n = 1").groupBy("fact_id").agg(name).select("open_set", "fact_id")
-        return cut(rows.join(F.broadcast(names), "open_set", "left_semi"), "closure"), cut(one, "closure"), count  # at most ``limit`` names
-
-    short = F.struct(F.length("open_set"), "open_set")
-    wide, one, n = split(open_sets.select("open_set", "fact_id").distinct(), F.col("open_set"))
-    while True:
-        a, b = wide.alias("a"), wide.alias("b")
-        meet = a.join(b, F.expr("a.fact_id = b.fact_id and a.open_set < b.open_set")).select(F.concat("a.open_set", F.lit("&"), "b.open_set").alias("open_set"), F.col("a.fact_id").alias("fact_id"))
-        more, new, count = split(wide.union(meet), short)
-        one = cut(one.union(new).groupBy("fact_id").agg(F.min_by("open_set", short).alias("open_set")).select("open_set", "fact_id"), "closure")
-        if count == n:
-            return wide.union(one)
-        wide, n = more, count
-
-
-def intersection_closure(open_sets: DataFrame, limit: int = 10_000) -> DataFrame:
+def intersection_closure(open_sets: DataFrame) -> DataFrame:
     """``closed_members`` as (points, open_set)."""
-    return closed_members(open_sets, limit).groupBy("open_set").agg(F.array_sort(F.collect_list("fact_id")).alias("points")).select("points", "open_set")
+    return closed_members(open_sets).groupBy("open_set").agg(F.array_sort(F.collect_list("fact_id")).alias("points")).select("points", "open_set")
 
 
 def axiom_report(facts: DataFrame, open_sets: DataFrame) -> DataFrame:
