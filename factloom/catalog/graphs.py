@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.catalog.registry import EVENTS, ORDERS, PLACES, query
-from factloom.operators import graph, triples, workloads
+from factloom.operators import doubling, graph, triples, workloads
 from factloom.sources import tables as T
 
 
@@ -81,3 +81,41 @@ def interval_overlap(s, d):
 )
 def mixed_pipeline(s, d):
     return workloads.mixed(T.order_facts(s, d), T.derivations(s, d), s.createDataFrame([("order/44",)], "seed string"), "1993-01-01 00:00:00", "1997-01-01 00:00:00")
+
+
+@query(
+    "chains_of_all",
+    """with recursive c as (select o_orderkey as k, o_orderkey as start, 0 as step from orders union all select k // 2, start, step + 1 from c where k > 0 and k in (select o_orderkey from orders))
+    select 'order/' || start as start, step, 'order/' || k as node from c""",
+)
+def chains_of_all(s, d):
+    """The provenance chain of every order."""
+    starts = T.order_facts(s, d).select(F.col("fact_id").alias("start"))
+    return doubling.chains(T.derivations(s, d), starts)
+
+
+@query(
+    "ancestors_of_all",
+    f"""with recursive {_DERIVED}, c as (select distinct child as start, child as node, 0 as depth from dv union select c.start, dv.parent, c.depth + 1 from c join dv on dv.child = c.node),
+    m as (select start, node, min(depth) as depth from c group by all)
+    select node, count(*) as n, min(depth) as nearest, max(depth) as farthest, sum(depth)::bigint as depths from m group by node""",
+)
+def ancestors_of_all(s, d):
+    """Of every order: how many derive from it, and how far."""
+    found = doubling.ancestors(T.derivations(s, d)).where("start <> 'order/0'")
+    return found.groupBy("node").agg(F.count("*").alias("n"), F.min("depth").alias("nearest"), F.max("depth").alias("farthest"), F.sum("depth").alias("depths"))
+
+
+@query(
+    "neighborhood_hub",
+    f"""with {ORDERS}, t as (select fact_id, subject as e from orders_f union select fact_id, obj0 from orders_f union select fact_id, source from orders_f),
+    s as (select fact_id as seed from orders_f where seq % 997 = 1)
+    select seed, count(*) as n from (select distinct seed, b.fact_id from s join t a on a.fact_id = seed join t b using (e)) group by seed""",
+)
+def neighborhood_hub(s, d):
+    """Facts around some orders where a fifth of all share a priority, met by more than one task."""
+    f = T.order_facts(s, d)
+    touch = f.select("fact_id", F.explode(F.array("subject", "fact_id", "provenance.source")).alias("entity"))
+    seeds = f.where("seq % 997 = 1").select(F.col("fact_id").alias("seed"))
+    found = graph.fact_neighborhood(touch, seeds, 1, most=100)
+    return found.groupBy("seed").agg(F.count("*").alias("n"))

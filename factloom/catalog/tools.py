@@ -88,11 +88,12 @@ def role_types(s, d):
     return out
 
 
-@query("reachable", "select 'region/' || r_regionkey as target, exists (select 1 from customer join nation on c_nationkey = n_nationkey where c_custkey = 7 and n_regionkey = r_regionkey) as reached from region")
+@query("reachable", "select 'customer/' || c_custkey as source, 'region/' || n_regionkey as target from customer join nation on c_nationkey = n_nationkey union all select 'supplier/' || s_suppkey, 'region/' || n_regionkey from supplier join nation on s_nationkey = n_nationkey")
 def reachable(s, d):
-    e = triples.edges(T.place_facts(s, d)).where(~F.col("src").startswith("customer/") | (F.col("src") == "customer/7"))
-    keys = [r[0] for r in T.read(s, d, "region").select("r_regionkey").collect()]
-    return s.createDataFrame([(f"region/{k}", graph.reaches(e, "customer/7", f"region/{k}")) for k in keys], "target string, reached boolean")
+    """Which region each customer and supplier lies in, by what their places lie in."""
+    e = triples.edges(T.place_facts(s, d))
+    sources = e.select(F.col("src").alias("source")).where("source not like 'nation/%'")
+    return graph.reachable(e, sources, T.read(s, d, "region").select(F.concat(F.lit("region/"), "r_regionkey").alias("target")))
 
 
 @query("rendered_graph", "select '  \"nation/' || n_nationkey || '\" -> \"region/' || n_regionkey || '\" [label=\"located_in\"];' as line from nation union all select 'digraph facts {' union all select '}'")

@@ -8,23 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.staging import Levels, cut
+from factloom.operators import doubling
+from factloom.operators.hubs import NODE_EDGES, Spread
 
-#: Levels after which a search for one node gives up loudly.
-MAX_DEPTH = 100
 #: Levels that are chained in one plan before it is cut.
 CHAIN = 2
-#: Steps of a chain, and levels of a lineage, between two written tables.
-STEPS, HOPS = 8, 4
+#: Levels of a lineage between two written tables.
+HOPS = 4
 
 
-def walk(edges: DataFrame, seeds: DataFrame, relation: str | None, depth: int) -> DataFrame:
-    """(node, depth) reachable from ``seeds`` (column ``node``) along ``relation`` in at most ``depth`` steps, shortest first."""
+def walk(edges: DataFrame, seeds: DataFrame, relation: str | None, depth: int, most: int = NODE_EDGES) -> DataFrame:
+    """(node, depth) reachable from ``seeds`` (column ``node``) along ``relation`` in at most ``depth`` steps, shortest first.
+
+    A node of more than ``most`` edges is followed by several tasks.
+    """
     e = edges if relation is None else edges.where(F.col("relation") == relation)
-    e = e.select("src", "dst").distinct()
+    e = Spread(e.select("src", "dst").distinct(), "src", most)
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     front = seen
     for level in range(1, depth + 1):
-        step = front.select(F.col("node").alias("src")).join(e, "src").select(F.col("dst").alias("node")).distinct()
+        step = e.join(front.select(F.col("node").alias("src"))).select(F.col("dst").alias("node")).distinct()
         front = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level))
         if level % CHAIN == 0 and level < depth:
             front = cut(front, "walk")
@@ -41,16 +44,18 @@ def walked_facts(edges: DataFrame, seeds: DataFrame, relation: str | None, depth
     return e.join(met, "src", "left_semi").select("fact_id").distinct()
 
 
-def fact_neighborhood(touch: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
+def fact_neighborhood(touch: DataFrame, seeds: DataFrame, radius: int, most: int = NODE_EDGES) -> DataFrame:
     """(seed, fact_id, distance): per seed fact, facts that share an entity with the frontier; the frontier is replaced each hop.
 
-    ``touch`` is (fact_id, entity), ``seeds`` has column ``seed``.
+    ``touch`` is (fact_id, entity), ``seeds`` has column ``seed``.  An entity of
+    more than ``most`` facts is met by several tasks.
     """
+    around_entity = Spread(touch.select("entity", "fact_id"), "entity", most)
     seen = seeds.select("seed", F.col("seed").alias("fact_id"), F.lit(0).alias("distance"))
     front = seen
     for hop in range(1, radius + 1):
         around = front.join(touch, "fact_id").select("seed", "entity").distinct()
-        step = around.join(touch, "entity").select("seed", "fact_id").distinct()
+        step = around_entity.join(around).select("seed", "fact_id").distinct()
         front = step.join(seen.select("seed", "fact_id"), ["seed", "fact_id"], "left_anti").withColumn("distance", F.lit(hop))
         if hop % CHAIN == 0 and hop < radius:
             front = cut(front, "around")
@@ -78,21 +83,10 @@ def chain(derivations: DataFrame, start: DataFrame, limit: int | None = None) ->
     ``derivations`` is (child, parent, pos), ``start`` has column ``start``.  Nothing is left
     out: a chain of more than ``limit`` steps raises, where one is given.
     """
-    first = derivations.groupBy("child").agg(F.min_by("parent", "pos").alias("parent"))
-    first = cut(first.select(F.col("child").alias("node"), F.col("parent").alias("above")), "parents")
-    done = Levels(start.sparkSession, "chain")
-    now = start.select("start", F.col("start").alias("node"), F.array("start").alias("seen"))
-    for step in count(STEPS, STEPS):
-        for _ in range(STEPS):
-            above = F.when(~F.array_contains("seen", F.col("above")), F.col("above"))
-            now = now.join(first, "node", "left").withColumn("node", above).select("start", "node", F.when(F.col("node").isNotNull(), F.concat("seen", F.array("node"))).otherwise(F.col("seen")).alias("seen"))
-        now = cut(now, "chain-on")
-        done.add(now.where("node is null").select("start", "seen"))
-        now = now.where("node is not null")
-        if now.isEmpty():
-            return done.all().select("start", F.posexplode("seen").alias("step", "node"))
-        if limit is not None and step > limit:
-            raise ValueError(f"a chain goes on after {limit} steps")
+    found = doubling.chains(derivations, start)
+    if limit is not None and not found.where(F.col("step") > limit).isEmpty():
+        raise ValueError(f"a chain goes on after {limit} steps")
+    return found
 
 
 def lineage(derivations: DataFrame, start: DataFrame, limit: int | None = None) -> DataFrame:
@@ -117,17 +111,32 @@ def lineage(derivations: DataFrame, start: DataFrame, limit: int | None = None)
             raise ValueError(f"ancestors go on after {limit} levels")
 
 
-def reaches(edges: DataFrame, source: str, target: str, limit: int = MAX_DEPTH) -> bool:
-    """Whether ``target`` can be reached; stops at the level that does."""
-    e = edges.select("src", "dst").distinct()
-    seen = cut(e.select(F.lit(source).alias("node")).limit(1), "reach")
-    front = seen
-    for _ in range(limit):
-        front = front.select(F.col("node").alias("src")).join(e, "src").select(F.col("dst").alias("node")).distinct()
-        front = cut(front.join(seen, "node", "left_anti"), "reach")
-        if front.isEmpty():
-            return False
-        if not front.where(F.col("node") == target).isEmpty():
-            return True
-        seen = seen.union(front)
-    raise ValueError(f"{target!r} was neither reached nor ruled out within {limit} levels")
+def reachable(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: int = NODE_EDGES) -> DataFrame:
+    """(source, target): all pairs of which the target can be reached from the source; a node reaches itself.
+
+    ``sources`` has column ``source``, ``targets`` column ``target``.  Pairs grow
+    backwards from the targets, along edges that a source reaches, so no pair
+    is made twice and none that no source needs; it ends when a round finds none.
+    """
+    e = cut(edges.where("src <> dst").select("src", "dst").distinct(), "reach")
+    alive = cut(sources.select(F.col("source").alias("node")).distinct(), "reach")
+    forward, seen = Spread(e, "src", most), Levels(edges.sparkSession, "reach")
+    front = seen.add(alive)
+    while not front.isEmpty():
+        step = forward.join(front.select(F.col("node").alias("src"))).select(F.col("dst").alias("node")).distinct()
+        front = seen.add(step.join(seen.all(), "node", "left_anti"))
+    met = cut(seen.all(), "reach")
+    back = Spread(e.join(met.withColumnRenamed("node", "src"), "src", "left_semi"), "dst", most)
+    pairs = Levels(edges.sparkSession, "pairs")
+    front = pairs.add(targets.select(F.col("target").alias("node"), "target").distinct().join(met, "node", "left_semi"))
+    while not front.isEmpty():
+        step = back.join(front.withColumnRenamed("node", "dst")).select(F.col("src").alias("node"), "target").distinct()
+        front = pairs.add(step.join(pairs.all(), ["node", "target"], "left_anti"))
+    return pairs.all().join(alive, "node", "left_semi").select(F.col("node").alias("source"), "target")
+
+
+def reaches(edges: DataFrame, source: str, target: str) -> bool:
+    """Whether ``target`` can be reached; a node reaches itself."""
+    spark = edges.sparkSession
+    one = lambda name, node: spark.createDataFrame([(node,)], f"{name} string")
+    return not reachable(edges, one("source", source), one("target", target)).isEmpty()
