@@ -41,7 +41,7 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
 ]
-#: Words of templates that are too common everywhere to be looked up; a phrase that has them is compared without them.
+#: Words of templates that are too common everywhere to say anything; only mandatory phrases, which stand whole, have them.
 COMMON = frozenset("the of to and in is or a are any this with use".split())
 #: IDF share of a template's words that has to be found at one alignment.
 COVERAGE = 0.7
@@ -54,8 +54,9 @@ def _entries(text: str) -> list[tuple[int, str]]:
 
 
 def vocabulary(base: Mapping[str, str] = BASE, templates: Sequence[tuple[str, str, str]] = TEMPLATES) -> list[str]:
-    """The words that are looked up: all of base phrases, all but the common ones of templates."""
-    words = sorted({w for p in base for w in p.split()} | {w for _, t, m in templates for _, w in _entries(f"{t} {m}")})
+    """The words that are looked up: all of base and mandatory phrases, all but the common ones of templates."""
+    phrases = [*base, *(m for _, _, m in templates)]
+    words = sorted({w for p in phrases for w in p.split()} | {w for _, t, _ in templates for _, w in _entries(t)})
     if len(words) > SLOT:
         raise ValueError(f"{len(words)} licence words; the postings hold {SLOT}")
     return words
@@ -135,7 +136,7 @@ def scan(docs: DataFrame, base: Mapping[str, str] = BASE, templates: Sequence[tu
     needs = []
     for _, text, must in templates:
         at = _offset(text.split(), must.split())
-        needs.append([(o + at, number[w]) for o, w in enumerate(must.split()) if w not in COMMON])
+        needs.append([(o + at, number[w]) for o, w in enumerate(must.split())])
     # Starts are columns of their own, so that they are computed once and not for each word of a template.
     out = found.select("doc_id", "n_words", "post", *(s.alias(f"base_{k}") for k, s in enumerate(phrases.values())), *(_alignments(post, need, idf).alias(f"at_{k}") for k, need in enumerate(needs)))
     covers = [_coverage(post, F.col(f"at_{k}"), [(o, number[w]) for o, w in _entries(text)], idf) for k, (_, text, _) in enumerate(templates)]

@@ -20,7 +20,7 @@ def license_scan() -> str:
     covers = []
     for _, text, must in licenses.TEMPLATES:
         entries, at = licenses._entries(text), licenses._offset(text.split(), must.split())
-        need = [(k, w) for k, w in enumerate(must.split()) if w not in licenses.COMMON]
+        need = list(enumerate(must.split()))
         share = " + ".join(f"case when s + {k - at} >= 0 and ws[s + {k - at} + 1] = '{w}' then idf[{n(w)}] / ({' + '.join(f'idf[{n(x)}]' for _, x in entries)}) else 0 end" for k, w in entries)
         covers.append(f"coalesce(list_max(list_transform({places(need)}, lambda s: {share})), 0)")
     listed = ", ".join(f"'{w}'" for w in vocab)
