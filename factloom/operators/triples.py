@@ -99,6 +99,26 @@ def statements(facts: DataFrame) -> DataFrame:
     return whole.unionByName(extra).select("s", "p", V.as_text(v).alias("o"), V.as_number(v).alias("num"), "fact_id")
 
 
+def described(facts: DataFrame) -> DataFrame:
+    """(s, p, o, num, fact_id) about facts themselves: type, subject, each object and attribute, context, confidence,
+    source, and the ends of the interval as days since 1970."""
+
+    def row(p, o: Column | None = None, num: Column | None = None) -> Column:
+        text = F.lit(None).cast("string") if o is None else o
+        return F.struct((F.lit(p) if isinstance(p, str) else p).alias("p"), text.alias("o"), (F.lit(None) if num is None else num).cast("double").alias("num"))
+
+    day = lambda c: F.date_diff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
+    slot = lambda v: (V.as_text(v), V.as_number(v))
+    parts = F.concat(
+        F.array(row("rdf:type", F.col("relation")), row("subject", F.col("subject")), row("context", F.col("context")), row("confidence", num=F.col("confidence")), row("source", F.col("provenance.source"))),
+        F.transform("objects", lambda v, k: row(F.concat(F.lit("arg"), k.cast("string")), *slot(v))),
+        F.transform("attributes", lambda a: row(F.concat(F.lit("attr:"), a["key"]), *slot(a["value"]))),
+        F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), row(p, num=day(c))) for p, c in (("validStart", "valid_start"), ("validEnd", "valid_end"))))),
+    )
+    rows = facts.select("fact_id", F.explode(parts).alias("t"))
+    return rows.select(F.col("fact_id").alias("s"), "t.p", "t.o", "t.num", "fact_id")
+
+
 def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
     """Triple-pattern scan: bound positions are filters."""
     for column, value in (("s", s), ("p", p), ("o", o)):

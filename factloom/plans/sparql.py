@@ -1,11 +1,16 @@
 """A SPARQL subset compiled to joins over statements (s, p, o, num).
 
-``SELECT [DISTINCT] vars|*|(AGG(?x) AS ?y) WHERE { patterns OPTIONAL {..} UNION FILTER(..) }
+``[PREFIX n: <iri>] SELECT [DISTINCT] vars|*|(AGG(?x) AS ?y) WHERE { patterns OPTIONAL {..} UNION
+{ SELECT .. } BIND(EXISTS {..} AS ?x) FILTER [NOT] EXISTS {..} FILTER(..) }
 [GROUP BY ..] [HAVING (..)] [ORDER BY [ASC|DESC] ?v ..] [LIMIT n] [OFFSET m]``
 
 ``;`` repeats a subject and ``,`` a subject and predicate; ``a`` is
-``rdf:type``.  Order of evaluation: join, filter, group, project, distinct,
-order, offset, limit.  Bad syntax raises.
+``rdf:type``.  Order of evaluation in a group: patterns, unions, sub-selects,
+optionals, EXISTS, filters; then group, project, distinct, order, offset, limit.
+A sub-select sees its own variables alone and gives those that it selects.
+EXISTS asks for a solution that agrees on the variables both sides have: a semi
+or anti join, or, bound to a variable, a left join with what exists.  Bad
+syntax raises.
 """
 
 from __future__ import annotations
@@ -17,9 +22,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.plans.layouts import Layouts
-
 from factloom.operators.algebra import AGGREGATES
+from factloom.plans.layouts import Layouts
 from factloom.plans.typed import condition
 
 
@@ -49,6 +53,9 @@ class Group:
     filters: list[str] = field(default_factory=list)
     optionals: list[Group] = field(default_factory=list)
     unions: list[list[Group]] = field(default_factory=list)
+    selects: list[Select] = field(default_factory=list)
+    binds: list[tuple[str, Group]] = field(default_factory=list)  # (variable, what exists)
+    exists: list[tuple[bool, Group]] = field(default_factory=list)  # (whether it has to, what)
 
 
 @dataclass
@@ -63,7 +70,7 @@ class Select:
     offset: int = 0
 
 
-_TOKEN = re.compile(r"""\s+|\#[^\n]*|(?P<var>\?\w+)|(?P<iri><[^<>\s]*>)|(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<num>[+-]?\d+(?:\.\d+)?(?![\w/]))|(?P<name>[\w][\w:/#.-]*[\w/#]|\w)|(?P<op>&&|\|\||<=|>=|!=|[{}().;,*=<>!+/-])""")
+_TOKEN = re.compile(r"""\s+|\#[^\n]*|(?P<var>\?\w+)|(?P<iri><[^<>\s]*>)|(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<num>[+-]?\d+(?:\.\d+)?(?![\w/]))|(?P<name>[\w][\w:/#.-]*[\w/#]|\w)|(?P<op>&&|\|\||<=|>=|!=|[{}().;,*=<>!+/:-])""")
 
 
 def tokenize(text: str) -> list[tuple[str, str]]:
@@ -81,6 +88,7 @@ def tokenize(text: str) -> list[tuple[str, str]]:
 class _Parser:
     def __init__(self, text: str):
         self.tokens, self.at = tokenize(text), 0
+        self.prefixes: dict[str, str] = {}
 
     def peek(self, *words: str) -> bool:
         return self.at < len(self.tokens) and self.tokens[self.at][1].upper() in words and self.tokens[self.at][0] != "str"
@@ -107,6 +115,16 @@ class _Parser:
         return self.next("var")[1:]
 
     def parse(self) -> Select:
+        while self.take("PREFIX"):
+            name = "" if self.peek(":") else self.next("name")
+            self.need(":")
+            self.prefixes[name] = self.next("iri")[1:-1]
+        out = self.select()
+        if self.at < len(self.tokens):
+            raise SparqlError(f"unexpected {self.tokens[self.at][1]}")
+        return out
+
+    def select(self) -> Select:
         self.need("SELECT")
         distinct = self.take("DISTINCT")
         columns = []
@@ -122,7 +140,7 @@ class _Parser:
             raise SparqlError("nothing is selected")
         self.take("WHERE")
         out = Select(columns, self.group(), distinct)
-        while self.at < len(self.tokens):
+        while self.at < len(self.tokens) and not self.peek("}"):
             if self.take("GROUP"):
                 self.need("BY")
                 while self.at < len(self.tokens) and self.tokens[self.at][0] == "var":
@@ -183,9 +201,25 @@ class _Parser:
             if self.take("."):
                 continue
             if self.take("FILTER"):
-                out.filters.append(self.raw())
+                if self.peek("NOT", "EXISTS"):
+                    has = not self.take("NOT")
+                    self.need("EXISTS")
+                    out.exists.append((has, self.group()))
+                else:
+                    out.filters.append(self.raw())
+            elif self.take("BIND"):
+                for word in ("(", "EXISTS"):
+                    self.need(word)
+                what = self.group()
+                self.need("AS")
+                out.binds.append((self.var(), what))
+                self.need(")")
             elif self.take("OPTIONAL"):
                 out.optionals.append(self.group())
+            elif self.peek("{") and self.tokens[self.at + 1 : self.at + 2] and self.tokens[self.at + 1][1].upper() == "SELECT":
+                self.need("{")
+                out.selects.append(self.select())
+                self.need("}")
             elif self.peek("{"):
                 sides = [self.group()]
                 while self.take("UNION"):
@@ -217,6 +251,9 @@ class _Parser:
             return Term("text", re.sub(r"\\(.)", r"\1", word[1:-1]))
         if kind == "num":
             return Term("num", float(word))
+        prefix, colon, local = word.partition(":")
+        if colon and prefix in self.prefixes:
+            return Term("text", self.prefixes[prefix] + local)
         return Term("text", "rdf:type" if word == "a" else word)
 
 
@@ -303,15 +340,35 @@ def _evaluate(statements: DataFrame | Layouts, g: Group) -> DataFrame:
         for side in sides[1:]:
             both = both.unionByName(_evaluate(statements, side), allowMissingColumns=True)
         out = both if out is None else _join(out, both)
+    for q in g.selects:
+        inner = _solve(statements, q)
+        out = inner if out is None else _join(out, inner)
     if out is None:
         raise SparqlError("a group has no pattern")
     for o in g.optionals:
         out = _join(out, _evaluate(statements, o), "left")
+    for v, what in g.binds:
+        if v in out.columns:
+            raise SparqlError(f"?{v} is bound already")
+        there, shared = _agreeing(out, _evaluate(statements, what))
+        out = out.join(there.withColumn(v, F.lit("true")), shared, "left")
+        out = out.withColumn(v, F.coalesce(F.col(f"`{v}`"), F.lit("false"))).withColumn(v + _NUM, F.lit(None).cast("double"))
+    for has, what in g.exists:
+        there, shared = _agreeing(out, _evaluate(statements, what))
+        out = out.join(there, shared, "left_semi" if has else "left_anti")
     for f in g.filters:
         out = out.where(condition(f, _reader(out)))
     return out
 
 
+def _agreeing(out: DataFrame, inner: DataFrame) -> tuple[DataFrame, list[str]]:
+    """What ``inner`` has of the variables of ``out``, each once."""
+    shared = [v for v in _vars(inner) if v in _vars(out)]
+    if not shared:
+        raise SparqlError("EXISTS shares no variable with its group")
+    return inner.select(*(F.col(f"`{v}`") for v in shared)).distinct(), shared
+
+
 def _reader(df: DataFrame):
     def read(name: str) -> tuple[Column, Column]:
         if name not in df.columns:
@@ -325,6 +382,19 @@ def _reader(df: DataFrame):
 def run(statements: DataFrame | Layouts, text: str | Select, numbers: Sequence[str] = ()) -> DataFrame:
     """One column a selected variable, as text; those in ``numbers`` as numbers.  Aggregates are numbers."""
     q = parse(text) if isinstance(text, str) else text
+    df, names = _ranged(statements, q)
+    return df.select(*(F.col(f"`{n}{_NUM}`").alias(n) if n in numbers else F.col(n) for n in names))
+
+
+def _solve(statements: DataFrame | Layouts, q: Select) -> DataFrame:
+    """A sub-select as a group's solutions: text and number of each selected variable."""
+    df, names = _ranged(statements, q)
+    number = lambda n: F.col(f"`{n}{_NUM}`") if n + _NUM in df.columns else F.col(f"`{n}`").cast("double")
+    return df.select(*(c for n in names for c in (F.col(f"`{n}`").cast("string").alias(n), number(n).alias(n + _NUM))))
+
+
+def _ranged(statements: DataFrame | Layouts, q: Select) -> tuple[DataFrame, list[str]]:
+    """The rows of a select and the names of what it selects."""
     df = _evaluate(statements, q.where)
     found = _vars(df)
     has_agg = any(f for _, _, f in q.columns)
@@ -359,7 +429,7 @@ def run(statements: DataFrame | Layouts, text: str | Select, numbers: Sequence[s
         df = df.offset(q.offset)
     if q.limit is not None:
         df = df.limit(q.limit)
-    return df.select(*(F.col(f"`{n}{_NUM}`").alias(n) if n in numbers else F.col(n) for n in names))
+    return df, names
 
 
 def _aggregate(df: DataFrame, v: str, f: str) -> Column:

@@ -19,6 +19,17 @@ TEMPLATES = {
     "count_by_object": "SELECT ?o (COUNT(?s) AS ?n) WHERE {{ ?s {relation} ?o }} GROUP BY ?o HAVING(?n > {least})",
     "mean": "SELECT (AVG(?v) AS ?mean) WHERE {{ ?s {relation} ?v }}",
     "top": "SELECT ?s ?v WHERE {{ ?s {relation} ?v FILTER(?v > 0) }} ORDER BY DESC(?v) LIMIT {k}",
+    # The eight contextual workloads as texts over described facts.
+    "around_entity": "SELECT ?f ?p WHERE {{ ?f ?p {entity} . ?f confidence ?c FILTER(?c >= {least}) }}",
+    "high_arity": "SELECT ?f ?b ?c WHERE {{ ?f a {relation} ; arg0 {first} ; arg1 ?b ; arg2 ?c }}",
+    "during": "SELECT ?f WHERE {{ ?f validStart ?s ; validEnd ?e FILTER(?s < {end} && ?e > {start}) }}",
+    "mean_during": "SELECT (COUNT(?f) AS ?n) (AVG(?v) AS ?mean) WHERE {{ ?f validStart ?s ; validEnd ?e ; {slot} ?v FILTER(?s < {end} && ?e > {start}) }}",
+    "derived": "SELECT ?d ?s ?c WHERE {{ ?d derived ?s . ?d confidence ?c FILTER(?c <= {most}) }} ORDER BY ?d",
+    "assignments": "SELECT ?x ?e ?v WHERE {{ ?f context ?x ; subject ?e ; {slot} ?v }} ORDER BY ?x ?e ?v",
+    "agreed": "SELECT ?e ?v (COUNT(DISTINCT ?x) AS ?n) WHERE {{ ?f context ?x ; subject ?e ; {slot} ?v }} GROUP BY ?e ?v HAVING(?n >= {least})",
+    "mixed": "SELECT ?n ?d ?sure WHERE {{ {{ SELECT ?n WHERE {{ ?n subject {subject} }} }} {{ SELECT ?n WHERE {{ ?n validStart ?s ; validEnd ?e FILTER(?s < {end} && ?e > {start}) }} }}"
+    " OPTIONAL {{ ?n derived ?d }} BIND(EXISTS {{ ?n confidence ?c FILTER(?c >= {least}) }} AS ?sure) }}",
+    "without": "SELECT ?f WHERE {{ ?f a {relation} FILTER NOT EXISTS {{ ?f {slot} '{value}' }} FILTER EXISTS {{ ?f {having} ?x }} }}",
     "optional": "SELECT ?s ?x WHERE {{ ?s {relation} ?o OPTIONAL {{ ?o {next} ?x }} }}",
 }
 _SAFE = re.compile(r"[\w:/#.+-]+")
