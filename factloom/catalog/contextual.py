@@ -8,7 +8,7 @@ from factloom.catalog.registry import DOCS, EVENTS, LINES, ORDERS, PLACES, query
 from factloom.functions import contexts as C
 from factloom.functions import values as V
 from factloom.functions import temporal
-from factloom.operators import gluing, intervals, poset, topology, validate, workloads
+from factloom.operators import gluing, incremental, intervals, poset, topology, validate, workloads
 from factloom.sources import tables as T
 
 _CTX = f"{ORDERS}, {EVENTS}, c0 as (select distinct context from orders_f union select distinct context from events_f), ctx as (select distinct array_to_string(list_slice(string_split(context, '.'), 1, k), '.') as context from c0, (values (1), (2), (3)) v(k))"
@@ -208,3 +208,23 @@ def interval_join(s, d):
     both = pairs.join(f.select("fact_id", "valid_start", "valid_end"), "fact_id").join(windows, "w")
     lo, hi = F.greatest(temporal.micros(F.col("valid_start")), temporal.micros(F.col("a"))), F.least(temporal.micros(F.col("valid_end")), temporal.micros(F.col("b")))
     return both.groupBy("w").agg(F.count("*").alias("n"), F.sum(hi - lo).alias("overlap_us"), F.min("fact_id").alias("first_fact"))
+
+
+@query(
+    "topology_followed",
+    f"""with {ORDERS}, f as (select fact_id, context, case when seq % 11 = 0 then year(vs) + 1 else year(vs) end as y from orders_f where seq % 13 <> 0),
+    m as (select fact_id, 'temporal:' || y as o from f union all select fact_id, 'context:world' from f union all select fact_id, 'context:' || context from f
+          union all select fact_id, 'context:' || split_part(context, '.', 1) || '.' || split_part(context, '.', 2) from f),
+    n as (select o, count(*) as n from m group by o), p as (select a.o as source, b.o as target, count(*) as c from m a join m b using (fact_id) where a.o <> b.o group by all)
+    select 'size' as part, o as source, '' as target, n from n union all select 'edge', source, target, n from p join n on n.o = target and c = n""",
+)
+def topology_followed(s, d):
+    """Open sets and restriction edges of order facts after an insert, an update and a delete, each by its change alone."""
+    f = T.order_facts(s, d)
+    t = incremental.Topology.build(f.where("seq % 5 <> 0"), ("temporal", "context"))
+    t = t.changed(f.where("seq % 5 = 0"), f.where("seq % 5 = 0"))
+    later = f.where("seq % 11 = 0").withColumn("valid_start", F.col("valid_start") + F.expr("interval 1 year"))
+    t = t.changed(later, later)
+    t = t.changed(f.where("seq % 13 = 0"), f.limit(0))
+    edges = t.edges().join(t.sizes.select(F.col("open_set").alias("target"), "n"), "target").select(F.lit("edge").alias("part"), "source", "target", "n")
+    return t.sizes.select(F.lit("size").alias("part"), F.col("open_set").alias("source"), F.lit("").alias("target"), "n").unionByName(edges)
