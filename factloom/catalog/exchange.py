@@ -54,16 +54,23 @@ def source_ntriples(s, d):
     return _plain(files.read_ntriples(s, path)).select("subject", "relation", "object")
 
 
+_RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+
+
 @query(
     "source_turtle",
-    "select 'http://e/nation/' || n_nationkey as subject, 'http://e/in' as relation, 'http://e/region/' || n_regionkey as object from nation union all select 'http://e/nation/' || n_nationkey, 'http://e/named', n_name from nation",
+    f"""with c as (select 'http://e/customer/' || c_custkey as s, 'http://e/nation/' || c_nationkey as n, c_name from customer)
+    select s as subject, 'http://e/in' as relation, '_' as object from c union all select '_', 'http://e/nation', n from c union all select '_', 'http://e/known', '_' from c union all select '_', 'http://e/name', c_name from c
+    union all select s, 'http://e/list', '_' from c union all select '_', '{_RDF}first', '1' from c union all select '_', '{_RDF}rest', '_' from c union all select '_', '{_RDF}first', n from c union all select '_', '{_RDF}rest', '{_RDF}nil' from c""",
 )
 def source_turtle(s, d):
-    """One document of the fixed-size table, with a prefix and predicate lists."""
-    path, n = scratch(s, "turtle") + "/nations", T.read(s, d, "nation")
-    body = n.agg(F.array_join(F.collect_list(F.format_string('<http://e/nation/%d> e:in <http://e/region/%d> ; e:named "%s" .', "n_nationkey", "n_regionkey", "n_name")), "\n").alias("t"))
-    body.select(F.concat(F.lit("@prefix e: <http://e/> .\n"), "t")).write.text(path)
-    return _plain(files.read_turtle(s, path)).select("subject", "relation", "object")
+    """A property list within another and a collection for every customer, each after the prefix, in files of many statements."""
+    path, c = scratch(s, "turtle") + "/customers", T.read(s, d, "customer")
+    line = F.format_string('PREFIX e: <http://e/>\n<http://e/customer/%d> e:in [ e:nation <http://e/nation/%d> ;\n  e:known [ e:name "%s" ] ] ;\n  e:list ( 1 <http://e/nation/%d> ) .', "c_custkey", "c_nationkey", "c_name", "c_nationkey")
+    c.coalesce(2).select(line).write.text(path)
+    found = _plain(files.read_turtle(s, path))
+    bare = lambda x: F.when(F.col(x).startswith("_:"), "_").otherwise(F.col(x)).alias(x)
+    return found.select(bare("subject"), "relation", bare("object"))
 
 
 @query("source_dispatch", "select 'jsonl' as form, count(*) as n from customer union all select 'parquet', count(*) from customer union all select 'graph', 45")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import values as V
+from factloom.functions.staging import cut
 from factloom.sources import generators
 
 _SIMPLE = "subject string, relation string, objects array<string>, context string, confidence double"
@@ -80,22 +84,56 @@ def _triple_facts(t: DataFrame) -> DataFrame:
     return t.select(*(parts[f.name].cast(f.dataType).alias(f.name) for f in V.FACT.fields))
 
 
-def read_turtle(spark: SparkSession, path: str) -> DataFrame:
-    """Turtle without collections and nested blank nodes: whole files, each parsed by itself."""
-    from factloom.sources.turtle import parse
-
-    whole = spark.read.text(path, wholetext=True)
+def _turtle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records (file, text, id, declared) in; triples out, or the file and what is wrong with one of its records."""
+    from factloom.sources import turtle
 
-    def rows(batches):
-        import pandas as pd
+    names = ["file", "s", "p", "o", "is_ref", "error"]
+    kinds = [pa.string()] * 4 + [pa.bool_(), pa.string()]
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            known = dict(d.split(" ", 1) for d in r["declared"] or [])
+            base = known.pop("@base", "")
+            try:
+                out += [(r["file"], *t, None) for t in turtle.parse(r["value"], known, base, f"n{r['id']}")]
+            except turtle.TurtleError as e:
+                out.append((r["file"], None, None, None, None, str(e)))
+        for lo in range(0, len(out), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[lo : lo + 10_000]), kinds)], names=names)
 
-        for b in batches:
-            for text in b["value"]:
-                found = list(parse(text))
-                yield pd.DataFrame(found, columns=["s", "p", "o", "is_ref"])
 
-    t = whole.mapInPandas(rows, "s string, p string, o string, is_ref boolean")
-    return _triple_facts(t.select("s", "p", F.when(F.col("is_ref"), V.ref(F.col("o"))).otherwise(V.text(F.col("o"))).alias("o")))
+def read_turtle(spark: SparkSession, path: str) -> DataFrame:
+    """Turtle, of which a large file is read by several tasks.
+
+    Records end where a line ends with a full stop.  A file's declarations are
+    gathered first; a file that declares something twice, or in which such a
+    line end is no statement's (in a long literal, or a comment within a
+    statement), is parsed as a whole by one task.  A file that is no Turtle
+    raises.
+    """
+    shape = "file string, s string, p string, o string, is_ref boolean, error string"
+    split = spark.read.option("lineSep", ".\n").text(path).select(F.input_file_name().alias("file"), F.concat("value", F.lit(".")).alias("value"), F.monotonically_increasing_id().alias("id"))
+    # The last record has its own full stop, or none but white space.
+    text = F.regexp_replace("value", r"\.\s*\.$", ".")
+    split = split.withColumn("value", F.when(F.trim(F.regexp_replace("value", r"\s", "")) == ".", "").otherwise(text))
+    # Declarations stand alone, or first in their record, where they need no full stop of their own.
+    said = split.select("file", F.explode(F.regexp_extract_all("value", F.lit(r"(?im)^\s*(@?(?:prefix|base)\s+(?:[\w.-]*:\s*)?<[^<>\"\s]*>)"), F.lit(1))).alias("d")).distinct()
+    word = F.when(F.lower(F.regexp_extract("d", r"^@?(\w+)", 1)) == "base", "@base").otherwise(F.regexp_extract("d", r"\s([\w.-]*):\s*<", 1))
+    named = said.select("file", word.alias("name"), F.regexp_extract("d", "<([^<>]*)>", 1).alias("iri")).distinct()
+    declared = named.groupBy("file").agg(F.collect_list(F.concat_ws(" ", "name", "iri")).alias("declared"), (F.count("*") > F.count_distinct("name")).alias("twice"))
+    rows = split.join(declared.select("file", "declared"), "file", "left").select("file", "value", "id", "declared")
+    found = cut(rows.mapInArrow(_turtle_rows, shape), "turtle")
+    whole = cut(found.where("error is not null").select("file").union(declared.where("twice").select("file")).distinct(), "turtle")
+    triples = found.join(whole, "file", "left_anti")
+    if not whole.isEmpty():
+        texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value").join(whole, "file", "left_semi")
+        again = cut(texts.select("file", "value", F.xxhash64("file").alias("id"), F.lit(None).cast("array<string>").alias("declared")).mapInArrow(_turtle_rows, shape), "turtle")
+        wrong = again.where("error is not null").select("file", "error").first()
+        if wrong:
+            raise ValueError(f"{wrong.file}: {wrong.error}")
+        triples = triples.unionByName(again)
+    return _triple_facts(triples.select("s", "p", F.when(F.col("is_ref"), V.ref(F.col("o"))).otherwise(V.text(F.col("o"))).alias("o")))
 
 
 READERS = {"json": read_json, "jsonl": read_jsonl, "nt": read_ntriples, "ttl": read_turtle}
