@@ -171,6 +171,27 @@ def store_statistics(s, d):
     return s.createDataFrame([tuple(found[k] for k in ("facts", "subjects", "relations", "triples", "mean_arity"))], "facts long, subjects long, relations long, triples long, mean_arity double")
 
 
+@query(
+    "store_estimates",
+    f"""with {ORDERS}, f as (select unnest([{{'figure': 'facts', 'exact': count(distinct fact_id)::double}}, {{'figure': 'subjects', 'exact': count(distinct subject)::double}}, {{'figure': 'relations', 'exact': 1.0}},
+        {{'figure': 'contexts', 'exact': count(distinct context)::double}}, {{'figure': 'mean_arity', 'exact': 3.0}}, {{'figure': 'relation_selectivity', 'exact': 1.0}}, {{'figure': 'median_confidence', 'exact': quantile_disc(confidence, 0.5)}}]) as x from orders_f)
+    select x.figure as figure, x.exact as exact, true as near from f""",
+)
+def store_estimates(s, d):
+    """What the sketches of three commits say together, beside exact counts of the facts: within five in a hundred."""
+    f = T.order_facts(s, d)
+    store = FactStore.create(s, scratch(s, "store") + "/estimates", f.where("seq % 3 = 0"))
+    for k in (1, 2):
+        store.insert(f.where(f"seq % 3 = {k}"))
+    exact = store.facts().agg(
+        F.count("*").alias("facts"), F.count_distinct("subject").alias("subjects"), F.count_distinct("relation").alias("relations"), F.count_distinct("context").alias("contexts"), F.avg(F.size("objects")).alias("mean_arity"),
+        (1 / F.count_distinct("relation")).alias("relation_selectivity"), F.expr("percentile_disc(0.5) within group (order by confidence)").alias("median_confidence"),
+    )
+    tall = lambda df, name: df.unpivot([], [F.col(c).cast("double").alias(c) for c in exact.columns], "figure", name)
+    both = tall(exact, "exact").join(tall(store.estimates().select(*exact.columns), "estimate"), "figure")
+    return both.select("figure", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
+
+
 @query("store_verified", f"with {PLACES} select 'reference to nothing known: ' || obj0 as \"check\", count(*) as violations from places_f where starts_with(obj0, 'region/') group by 1 union all select 'versions disagree', 0")
 def store_verified(s, d):
     known = T.read(s, d, "nation").select(F.concat(F.lit("nation/"), "n_nationkey").alias("entity"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import values as V
-from factloom.operators import access, gluing, topology, triples, validate
+from factloom.operators import access, estimates, gluing, topology, triples, validate
 from factloom.plans import language, partitions, planner, sparql
 
 MARK = "fact_id string, seq long"
@@ -169,7 +169,7 @@ class FactStore:
 
     def _forget(self, commit: str) -> bool:
         gone = False
-        for table in ("facts", "gone"):
+        for table in ("facts", "gone", "sketches"):
             p = self._hadoop(f"{self.path}/{table}/commit={commit}")
             gone |= self._fs(p).delete(p, True)
         return gone
@@ -185,6 +185,8 @@ class FactStore:
         for c in BLOOM:
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
         out.parquet(f"{self.path}/facts/commit={commit}")
+        schema = f"fact_id string, subject string, relation string, context string, confidence double, objects array<{V.VALUE.simpleString()}>, commit string, {partitions.SCHEMA}"
+        estimates.sketches(self._read("facts", [commit], schema)).write.parquet(f"{self.path}/sketches/commit={commit}")
 
     def _mark(self, marks: DataFrame, commit: str) -> bool:
         path = f"{self.path}/gone/commit={commit}"
@@ -325,6 +327,11 @@ class FactStore:
         row = f.agg(F.count("*").alias("facts"), F.count_distinct("subject").alias("subjects"), F.count_distinct("relation").alias("relations"), F.count_distinct("context").alias("contexts"), F.avg(F.size("objects")).alias("mean_arity"), F.avg("confidence").alias("mean_confidence")).first()
         return row.asDict() | {"triples": triples.reify(f).count(), "open_sets": topology.members(f).select("open_set").distinct().count()}
 
+    def estimates(self) -> DataFrame:
+        """Figures of all versions since the last snapshot, out of the sketches that each write has left: no fact is read."""
+        paths = [f"{self.path}/sketches/commit={c}" for c in self.state().commits]
+        return estimates.merged(self.spark.read.parquet(*paths))
+
     def verify(self, known: DataFrame | None = None) -> DataFrame:
         """(check, violations)."""
         f = self.facts()

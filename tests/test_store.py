@@ -158,3 +158,18 @@ def test_created_versions(spark, table, tmp_path):  # noqa: F811
 def test_times_at_the_edges():
     assert "start_year" in str(partitions.during(datetime(1, 1, 1), datetime(9999, 12, 31)))
     assert "start_year" in str(partitions.during(None, datetime.min))
+
+
+def test_estimates_merge(spark, tmp_path):
+    store = FactStore.create(spark, str(tmp_path / "s"))
+    assert store.estimates().first().versions == 0 and store.estimates().first().median_confidence is None
+    store.insert(many(spark, 900))
+    store.insert(many(spark, 1000).where("fact_id >= 500").withColumn("confidence", F.lit(0.5)))
+    r = store.estimates().first()
+    assert r.versions == 1400 and abs(r.facts - 1000) < 60 and r.subjects == 20 and r.relations == 1 and r.contexts == 7
+    assert (r.low_confidence, r.high_confidence) == (0.5, 1.0)
+    assert "sketches" in planner.explain(store.estimates()) and "/facts/" not in planner.explain(store.estimates())
+    store.compact()
+    r = store.estimates().first()
+    assert r.versions == 1000 and abs(r.facts - 1000) < 60
+    assert store.clean() == 3
