@@ -9,6 +9,7 @@ from factloom.functions import values as V
 from factloom.operators import access, joins, sets, triples
 from factloom.operators.algebra import Filter, Join, Project, Scan, Seek
 from factloom.plans import sparql
+from factloom.plans.unified import Ask, Form, ask
 from factloom.sources import tables as T
 
 
@@ -151,3 +152,24 @@ def symmetric_diff_count(s, d):
 def concatenate_results(s, d):
     a = T.read(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
     return sets.concatenate(a, T.read(s, d, "region").select(F.col("r_name").alias("name")))
+
+
+_ENDS = (*(f"customer/{k}" for k in range(1, 40)), *(f"nation/{k}" for k in range(0, 25, 2)), "region/1")
+
+
+@query(
+    "asked",
+    f"""with {PLACES} select 'fact' as form, fact_id from places_f where relation = 'located_in' and obj0 = 'nation/3'
+    union all select 'walk', fact_id from places_f where subject = 'customer/7' or subject in (select obj0 from places_f where subject = 'customer/7')
+    union all select 'join', fact_id from places_f where subject in {_ENDS!r} and obj0 in {_ENDS!r}
+    union all select 'glue', fact_id from places_f""",
+)
+def asked(s, d):
+    """The four forms of pattern query by one entry."""
+    f, out = T.place_facts(s, d), None
+    asks = (Ask(Form.FACT, relation="located_in", objects=("nation/3",)), Ask(Form.WALK, relation="located_in", entities=("customer/7",), depth=2), Ask(Form.JOIN, relation="located_in", entities=_ENDS), Ask(Form.GLUE, context="world.geo"))
+    for a in asks:
+        rows = ask(f, a)
+        one = (rows.where("agrees") if a.form is Form.GLUE else rows).select(F.lit(a.form.value).alias("form"), "fact_id")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -60,27 +62,47 @@ def _at_ranks(df: DataFrame, column: str, ranks: dict[str, Callable[[Column], Co
     return run.groupBy(*by).agg(*(F.min(F.when(F.col("upto") > index(F.col("n")), F.col(column))).alias(name) for name, index in ranks.items()))
 
 
-def bootstrap(df: DataFrame, column: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+#: Multiplier of the mixing of keys and rounds: below 2^31, so that products of 32-bit numbers fit 63 bits.
+MIXER = 1_103_515_245
+
+
+def poisson_steps(most: int = 12) -> list[float]:
+    """Chances that a Poisson number of mean 1 is at most 0, 1, .."""
+    out, term = [], math.exp(-1)
+    for k in range(most):
+        out.append(term + (out[-1] if out else 0.0))
+        term /= k + 1
+    return out
+
+
+def bootstrap(df: DataFrame, column: str, key: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """2.5 and 97.5 percentiles of resampled means, by Poisson weights: each row draws its own count per round.
 
-    A task draws the weights of a batch at once and hands on one sum a round, so rows are not multiplied.
+    A row's counts follow from its whole-number ``key``, the round and the seed
+    alone, so the interval is the same however rows are dealt.  A task hands on
+    one sum a round, so rows are not multiplied.
     """
+    steps = poisson_steps()
 
     def draw(batches):
         import numpy as np
         import pandas as pd
-        from pyspark import TaskContext
 
-        rng, weight, total = np.random.default_rng([seed, TaskContext.get().partitionId()]), np.zeros(rounds), np.zeros(rounds)
+        weight, total, cut = np.zeros(rounds, np.int64), np.zeros(rounds), np.array(steps)
+        turn = np.arange(rounds, dtype=np.int64) * 214_013 + seed
         for b in batches:
-            x = b["x"].to_numpy()
+            x, k = b["x"].to_numpy(), b["k"].to_numpy()
             for lo in range(0, len(x), 1000):
-                k = rng.poisson(1.0, (rounds, len(x[lo : lo + 1000])))
-                weight += k.sum(axis=1)
-                total += k @ x[lo : lo + 1000]
+                h = (k[lo : lo + 1000] * MIXER + turn[:, None]) % (1 << 32)
+                for shift in (16, 13):
+                    h = (h ^ h >> shift) * MIXER % (1 << 32)
+                n = np.searchsorted(cut, (h ^ h >> 16) / (1 << 32), "right")
+                weight += n.sum(axis=1)
+                total += n @ x[lo : lo + 1000]
         yield pd.DataFrame({"round": np.arange(rounds), "k": weight, "kx": total})
 
-    sums = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x")).mapInPandas(draw, "round long, k double, kx double")
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"), F.pmod(F.col(key).cast("long"), F.lit(1 << 31)).alias("k"))
+    sums = rows.mapInPandas(draw, "round long, k long, kx double")
     means = sums.groupBy("round").agg(F.try_divide(F.sum("kx"), F.sum("k")).alias("m"))
     return means.agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
 

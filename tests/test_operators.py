@@ -198,8 +198,10 @@ def test_statistics(spark):
     assert (row.p50, row.p95, row.p99) == (51.0, 96.0, 100.0)
     d = stats.describe(df, "x").first()
     assert d.median == 50.5 and abs(d.variance - 833.25) < 1e-9
-    b = stats.bootstrap(df, "x", rounds=200).first()
+    b = stats.bootstrap(df, "x", "x", rounds=200).first()
     assert b.low < 50.5 < b.high
+    dealt = stats.bootstrap(df.repartition(7), "x", "x", rounds=200).first()
+    assert abs(dealt.low - b.low) < 1e-9 and abs(dealt.high - b.high) < 1e-9
     assert spark.range(1).select(stats.ratio(F.lit(1), F.lit(0)).alias("r")).first().r == float("inf")
 
 

@@ -8,6 +8,7 @@ from factloom.operators.access import Kind, Query
 from factloom.operators.algebra import Aggregate, Filter, Scan
 from factloom.plans import ablation, engine, language, planner, sparql
 from factloom.plans.store import FactStore
+from factloom.plans.unified import Ask, Form, ask
 from tests.test_operators import fact, ids, table  # noqa: F401
 
 
@@ -142,3 +143,14 @@ def test_a_chain_of_150_levels_is_whole(spark):
     assert sorted((r.step, r.node) for r in graph.chain(d, start).collect()) == [(k, f"n{150 - k}") for k in range(151)]
     some = spark.createDataFrame([("n30",)], "start string")
     assert sorted((r.depth, r.node) for r in graph.lineage(d, some).collect()) == [(k, f"n{30 - k}") for k in range(31)]
+
+
+def test_unified_entry(facts):
+    assert ids(ask(facts, Ask(Form.FACT, subject="bob", min_confidence=0.5))) == ["2", "4"]
+    assert ids(ask(facts, Ask(Form.WALK, entities=("alice",), depth=2))) == ["1", "2", "4"]
+    assert ids(ask(facts, Ask(Form.JOIN, relation="knows", entities=("alice", "bob")))) == ["1"]
+    glued = ask(facts, Ask(Form.GLUE, context="world.employment")).collect()
+    assert sorted((r.fact_id, r.agrees) for r in glued) == [("3", True), ("4", True)]
+    for bad in (Ask(Form.WALK, entities=("a",)), Ask(Form.GLUE, subject="a"), Ask(Form.JOIN, entities=("a",)), Ask(Form.FACT, depth=1)):
+        with pytest.raises(ValueError):
+            ask(facts, bad)
