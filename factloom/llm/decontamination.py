@@ -93,13 +93,13 @@ class MultiIndex:
     def _value(bits: np.ndarray, lo: int, hi: int) -> np.ndarray:
         return bits[:, lo:hi] @ (1 << np.arange(hi - lo))
 
-    def within(self, bits: np.ndarray) -> np.ndarray:
-        """(fingerprints asked, fingerprints held): which are within RADIUS; blocks propose, the distance decides."""
-        met = np.zeros((len(bits), len(self.prints)), bool)
+    def near(self, bits: np.ndarray, held: int) -> np.ndarray:
+        """Which of ``bits`` are within RADIUS of one fingerprint held: blocks propose, the distance decides."""
+        met = np.zeros(len(bits), bool)
         for table, lo, hi in zip(self.tables, _EDGES[:-1], _EDGES[1:]):
-            met |= table[self._value(bits, lo, hi)]
-        a, b = np.nonzero(met)
-        met[a, b] = (bits[a] != self.prints[b]).sum(axis=1) <= RADIUS
+            met |= table[self._value(bits, lo, hi), held]
+        at = np.flatnonzero(met)
+        met[at] = (bits[at] != self.prints[held]).sum(axis=1) <= RADIUS
         return met
 
 
@@ -172,16 +172,23 @@ def scan_text(n_words: int, grams: dict[int, np.ndarray], hit: dict[int, np.ndar
             sums = np.cumsum(marks)
             starts = np.flatnonzero(sums[m:] > sums[: len(sums) - m])
             group, index, twice = items.groups[length]
-            bits = simhash(g, starts, m)
-            near = index.within(bits) | repeating(g, m)[starts][:, None] | twice[None, :]
-            for j in np.flatnonzero(near.any(axis=0)).tolist():
-                k = int(group[j])
-                mine = np.zeros(len(g) + 1, np.int64)
-                mine[places[own == k] + 1] = 1
-                held = np.cumsum(mine)
-                w = np.flatnonzero(near[:, j])
-                # No similarity beyond the share of the item's places that can be matched.
-                w = w[held[starts[w] + m] - held[starts[w]] >= least * (length - size + 1)]
+            bits = again = None
+            # Only an item of whose shingles enough stand in one window can be similar: the others' windows are not asked about.
+            need = least * (length - size + 1)
+            sort = np.argsort(own, kind="stable")
+            own, places = own[sort], places[sort]
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if hi - lo < need:
+                    continue
+                k, held = int(own[lo]), np.unique(places[lo:hi])
+                w = np.flatnonzero(np.searchsorted(held, starts + m) - np.searchsorted(held, starts) >= need)
+                if not len(w):
+                    continue
+                if bits is None:
+                    bits, again = simhash(g, starts, m), repeating(g, m)[starts]
+                j = int(np.searchsorted(group, k))
+                w = w[index.near(bits[w], j) | again[w] | twice[j]]
                 best = None
                 for x in w.tolist():
                     s = _weighted(g[starts[x] : starts[x] + m], items.sets[k])

@@ -282,7 +282,23 @@ def test_multi_index_misses_nothing_within_the_radius():
     for k, row in enumerate(asked):
         row[rng.permutation(64)[: k % 40]] ^= True
     far = (asked[:, None, :] != held[None, :, :]).sum(axis=2)
-    assert (decontamination.MultiIndex(held).within(asked) == (far <= decontamination.RADIUS)).all()
+    index = decontamination.MultiIndex(held)
+    assert (np.stack([index.near(asked, j) for j in range(len(held))], axis=1) == (far <= decontamination.RADIUS)).all()
+
+
+def test_items_that_open_alike_cost_no_more_than_their_words():
+    import tracemalloc
+
+    rng = random.Random(7)
+    word = lambda: "w" + str(rng.randrange(100_000))
+    rows = [(k, "the same five words first " + " ".join(word() for _ in range(55))) for k in range(3000)]
+    text = " ".join("the same five words first " + " ".join(word() for _ in range(10)) for _ in range(150)) + " " + rows[77][1] + " " + word()
+    items = decontamination.Items.of(rows)
+    tracemalloc.start()
+    found = list(decontamination._hits(pa.array([text, "", None, rows[5][1]]), items, decontamination.SHINGLE, decontamination.SIMILARITY))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r[0], items.ids[r[1]]) for r in found] == [(0, 77), (3, 5)] and most < 200 << 20
 
 
 # 4
