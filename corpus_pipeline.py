@@ -3,6 +3,13 @@
 A stage takes (spark, docs, sf_dir) and returns the rows that stay.  All but
 the last return the columns they were given; the last adds topic, tokens and p
 and repeats documents where p, the expected number of copies, is above 1.
+
+Defined results: an empty table gives an empty one at every stage; other
+columns pass through, whatever they are called; a null text counts as an empty
+one, which language identification drops, as it has no letter, and which is
+near no other and holds no benchmark item; rows that repeat an id are rows of
+their own, of which exact dedup keeps one a text; a row without an id is kept
+by near dedup and decontamination as its text is by itself.
 """
 
 from __future__ import annotations
