@@ -63,6 +63,26 @@ def fact_neighborhood(touch: DataFrame, seeds: DataFrame, radius: int, most: int
     return seen
 
 
+def neighborhood_sizes(touch: DataFrame, seeds: DataFrame, most: int = NODE_EDGES) -> DataFrame:
+    """(seed, n): how many facts share an entity with each seed fact, itself among them.
+
+    Facts of entities of more than ``most`` facts are counted once for all seeds
+    that have the same such entities; what a seed meets by others is counted on
+    its own, where none of those entities has it.  So no seed meets a hub's facts one by one.
+    """
+    touch = touch.select("fact_id", "entity").where("entity is not null")
+    seeds = seeds.select("seed").distinct()
+    hubs = cut(touch.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") > most).select("entity"), "hubs")
+    own = cut(touch.join(seeds, F.col("fact_id") == F.col("seed")).select("seed", "entity").distinct(), "own")
+    above = cut(own.join(hubs, "entity", "left_semi").groupBy("seed").agg(F.array_sort(F.collect_set("entity")).alias("hubs")), "above")
+    shared = above.select("hubs").distinct().select("hubs", F.explode("hubs").alias("entity")).join(touch, "entity").select("hubs", "fact_id").distinct().groupBy("hubs").agg(F.count("*").alias("common"))
+    near = cut(own.join(hubs, "entity", "left_anti").join(touch, "entity").select("seed", "fact_id").distinct(), "near")
+    under = near.join(touch, "fact_id").join(above, "seed").where("array_contains(hubs, entity)").select("seed", "fact_id")
+    alone = near.join(under, ["seed", "fact_id"], "left_anti").groupBy("seed").agg(F.count("*").alias("alone"))
+    met = seeds.join(above.join(shared, "hubs"), "seed", "left").join(alone, "seed", "left")
+    return met.select("seed", F.greatest(F.lit(1), F.coalesce("common", F.lit(0)) + F.coalesce("alone", F.lit(0))).cast("long").alias("n"))
+
+
 def paths(edges: DataFrame, source: str, target: str | None, length: int) -> DataFrame:
     """(path, hops) from ``source`` to ``target`` (or anywhere) of at most ``length`` steps without a node twice."""
     e = edges.select("src", "dst").distinct()

@@ -110,3 +110,15 @@ def test_many_to_many(spark):
     assert sorted(map(tuple, got.collect())) == sorted((s, t) for s in sources for t in targets if t in met(s))
     assert graph.reaches(e, "d0", "d9") and not graph.reaches(e, "d9", "d0")
     assert graph.reachable(e.limit(0), one("source", ["a"]), one("target", ["a", "b"])).collect() == [("a", "a")]
+
+
+def test_neighborhood_sizes_make_no_pairs_of_hubs(spark, hub):
+    """Seeds that share a hub, that have two, other entities within and outside of it, none, and one that is not there."""
+    touch = hub.select("fact_id", F.explode(F.array("src", "dst")).alias("entity"))
+    more = spark.createDataFrame([("f3", "big"), ("f3", "hub"), ("bare", None), ("f200", "n8"), *((f"b{k}", "big") for k in range(60)), ("b7", "n8")], "fact_id string, entity string")
+    touch = touch.union(more).cache()
+    seeds = spark.createDataFrame([(f"f{k}",) for k in (0, 1, 3, 99, 200, 200, 251)] + [("b7",), ("bare",), ("gone",)], "seed string")
+    want = graph.fact_neighborhood(touch, seeds.distinct(), 1).groupBy("seed").agg(F.count("*").alias("n")).collect()
+    for most in (1, 20, 70, 10**6):
+        assert sorted(map(tuple, graph.neighborhood_sizes(touch, seeds, most).collect())) == sorted(map(tuple, want))
+    assert {r.seed: r.n for r in want}["f3"] > 150
