@@ -1,4 +1,4 @@
-"""Chains and ancestors of any number of starts, in as many rounds as the depth has binary digits.
+"""Chains of any number of starts, in as many rounds as the depth has binary digits.
 
 Round k joins a table with itself to go twice as far.  A chain is then filled
 in from the longest jump down: each row adds the one that lies 2^k steps
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.staging import cut
+from factloom.operators.ancestry import ancestors as ancestors
 
 
 def first_parents(derivations: DataFrame) -> DataFrame:
@@ -95,19 +96,3 @@ def chains(derivations: DataFrame, start: DataFrame | None = None) -> DataFrame:
         on = rows.where(F.col("len").isNull() | (F.col("step") + step < F.col("len"))).join(found[k], "node")
         rows = cut(rows.unionByName(on.select("start", (F.col("step") + step).alias("step"), F.col("to").alias("node"), "len")), "chain")
     return rows.select("start", F.col("step").cast("int").alias("step"), "node")
-
-
-def ancestors(derivations: DataFrame) -> DataFrame:
-    """(start, node, depth): all ancestors of every node with their least depth, itself at 0; cycles end by themselves."""
-    edge = derivations.where("child is not null and parent is not null and child <> parent").select(F.col("child").alias("start"), F.col("parent").alias("node")).distinct()
-    ends = derivations.select(F.col("child").alias("start")).union(derivations.select("parent")).where("start is not null").distinct()
-    near = cut(edge.withColumn("depth", F.lit(1)), "ancestors")
-    size = near.count(), None
-    while True:
-        on = near.select(F.col("start").alias("node"), F.col("node").alias("end"), F.col("depth").alias("more"))
-        far = near.join(on, "node").where("start <> end").select("start", F.col("end").alias("node"), (F.col("depth") + F.col("more")).alias("depth"))
-        near = cut(near.unionByName(far).groupBy("start", "node").agg(F.min("depth").alias("depth")), "ancestors")
-        now = tuple(near.agg(F.count("*"), F.sum("depth")).first())
-        if now == size:
-            return ends.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).unionByName(near)
-        size = now

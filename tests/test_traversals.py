@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import doubling, graph
+from factloom.operators import ancestry, doubling, graph
 from factloom.operators.hubs import Spread
 from factloom.plans import planner
 
@@ -122,3 +122,24 @@ def test_neighborhood_sizes_make_no_pairs_of_hubs(spark, hub):
     for most in (1, 20, 70, 10**6):
         assert sorted(map(tuple, graph.neighborhood_sizes(touch, seeds, most).collect())) == sorted(map(tuple, want))
     assert {r.seed: r.n for r in want}["f3"] > 150
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ancestor_totals(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}", 0) for _ in range(45)] + [("a", "a", 0), ("b", None, 0), (None, "n1", 0), ("x", "top", 0)]
+    d = spark.createDataFrame(rows, DERIVED)
+    starts = d.select(F.col("child").alias("start")).distinct()
+    pairs = doubling.ancestors(d).join(starts, "start")
+    want = pairs.groupBy("node").agg(F.count("*").alias("n"), F.min("depth"), F.max("depth"), F.sum("depth"))
+    assert sorted(map(tuple, ancestry.ancestor_totals(d).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_descendants_are_few_runs(spark):
+    """Where ids follow each other, the pairs of all nodes are no more than some runs a node."""
+    n = 3000
+    d = spark.range(1, n).selectExpr("concat('o', id) as child", "explode(array(struct(id div 2 as k, 0 as pos), struct(id div 3 as k, 1 as pos))) as x").selectExpr("child", "concat('o', x.k) as parent", "x.pos")
+    nodes = ancestry.numbered(d)
+    runs = ancestry.descendant_runs(d, nodes).cache()
+    assert runs.count() < 4 * n < runs.agg(F.sum(F.expr("hi - lo"))).first()[0] / 5
+    assert doubling.ancestors(d).count() == runs.agg(F.sum(F.expr("hi - lo"))).first()[0] + n
