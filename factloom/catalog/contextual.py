@@ -204,10 +204,8 @@ def interval_join(s, d):
     k = F.col("s_suppkey").cast("int")
     own = T.read(s, d, "supplier").select(F.concat(F.lit("supplier/"), k).alias("w"), begin(k * 37 % 1500).alias("a"), begin(k * 37 % 1500 + 20 * (k % 9)).alias("b"))
     windows = own.union(s.sql("select 'all', timestamp_ntz'1990-01-01', timestamp_ntz'2010-01-01' union all select 'open', timestamp_ntz'1998-01-01', null"))
-    pairs = intervals.overlap_join(f, windows, "fact_id", "w", ("valid_start", "valid_end"), ("a", "b"))
-    both = pairs.join(f.select("fact_id", "valid_start", "valid_end"), "fact_id").join(windows, "w")
-    lo, hi = F.greatest(temporal.micros(F.col("valid_start")), temporal.micros(F.col("a"))), F.least(temporal.micros(F.col("valid_end")), temporal.micros(F.col("b")))
-    return both.groupBy("w").agg(F.count("*").alias("n"), F.sum(hi - lo).alias("overlap_us"), F.min("fact_id").alias("first_fact"))
+    found = intervals.overlap_totals(f, windows, "fact_id", "w", ("valid_start", "valid_end"), ("a", "b"))
+    return found.select("w", "n", F.col("overlap_us").cast("long").alias("overlap_us"), F.col("first").alias("first_fact"))
 
 
 @query(

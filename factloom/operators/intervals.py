@@ -67,7 +67,7 @@ def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     one = lambda df, i, at: df.select(F.col(i).alias("i"), micros(F.col(at[0])).alias("lo"), F.coalesce(micros(F.col(at[1])), F.lit(_MAX)).alias("hi")).where("lo is not null and hi > lo")
     a, b = cut(one(left, left_id, left_at), "intervals"), cut(one(right, right_id, right_at), "intervals")
     ends = lambda c: F.when(F.col(c) < _MAX, F.col(c))
-    seen = a.union(b).agg(F.min("lo").alias("first"), F.max(F.greatest(F.col("lo") + 1, F.coalesce(ends("hi"), F.col("lo") + 1))).alias("last")).first()
+    seen = a.select("lo", "hi").union(b.select("lo", "hi")).agg(F.min("lo").alias("first"), F.max(F.greatest(F.col("lo") + 1, F.coalesce(ends("hi"), F.col("lo") + 1))).alias("last")).first()
     if seen.first is None:
         return a.select(F.col("i").alias(left_id), F.lit(None).cast(b.schema["i"].dataType).alias(right_id)).limit(0)
     # What is open ends with the last moment of either table: no start is later.
@@ -79,3 +79,22 @@ def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     # The second case leaves out equal starts, which the first has.
     later = _held(starts(a), b.withColumn("lo", F.col("lo") + 1).where("hi > lo"), seen.first, bin_micros, levels, most).select(F.col("p").alias(left_id), F.col("i").alias(right_id))
     return inside.unionByName(later)
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_at: tuple[str, str], right_at: tuple[str, str], bin_micros: int = DAY, most: int = CELL_POINTS) -> DataFrame:
+    """(right_id, n, overlap_us, first): how many rows of ``left`` share a moment with each of ``right``, how long in all, and the smallest id of them.
+
+    Rows of equal ends are joined as one: pairs are of different intervals,
+    however many rows have them.  An overlap without an end adds nothing to the sum,
+    which is a decimal: microseconds of millions of rows may be more than a long holds.
+    """
+    ends = lambda df, i, at: df.select(F.col(at[0]).alias("s"), F.col(at[1]).alias("e"), F.col(i).alias("i"))
+    spans = ends(left, left_id, left_at).groupBy("s", "e").agg(F.count("*").alias("rows"), F.min("i").alias("first"))
+    spans = spans.select("s", "e", F.struct("s", "e", "rows", "first").alias("x"))
+    rows = ends(right, right_id, right_at)
+    times = rows.select("s", "e").distinct().select("s", "e", F.struct("s", "e").alias("y"))
+    pairs = overlap_join(spans, times, "x", "y", ("s", "e"), ("s", "e"), bin_micros, most)
+    length = F.least(micros(F.col("x.e")), micros(F.col("y.e"))) - F.greatest(micros(F.col("x.s")), micros(F.col("y.s")))
+    met = pairs.groupBy(F.col("y.s").alias("s"), F.col("y.e").alias("e")).agg(F.sum("x.rows").alias("n"), F.sum(length.cast("decimal(38,0)") * F.col("x.rows")).alias("us"), F.min("x.first").alias("first"))
+    both = rows.join(met.withColumnsRenamed({"s": "ms", "e": "me"}), (F.col("s") == F.col("ms")) & F.col("e").eqNullSafe(F.col("me")))
+    return both.groupBy(F.col("i").alias(right_id)).agg(F.sum("n").alias("n"), F.sum("us").cast("decimal(38,0)").alias("overlap_us"), F.min("first").alias("first"))

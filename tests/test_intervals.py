@@ -46,3 +46,24 @@ def test_empty(spark):
     assert intervals.overlap_join(none, some, "x", "y", ("s", "e"), ("s", "e")).isEmpty()
     assert intervals.overlap_join(none, none.withColumnRenamed("x", "y"), "x", "y", ("s", "e"), ("s", "e")).isEmpty()
     assert intervals.overlap_join(some.withColumnRenamed("y", "x"), some, "x", "y", ("s", "e"), ("s", "e")).count() == 1
+
+
+def test_totals_join_equal_intervals_once(spark, monkeypatch):
+    """As from all pairs, with many rows of few intervals; what is joined are the intervals."""
+    rng = random.Random(3)
+    times = [(s, e) for _, s, e in drawn(rng, 25, "t")]
+    a, b = ([(f"{name}{k}", *rng.choice(times)) for k in range(400)] for name in "ab")
+    b += [("twice", BASE, None), ("twice", BASE, BASE + timedelta(hours=900))]
+    made, real = [], intervals.overlap_join
+    monkeypatch.setattr(intervals, "overlap_join", lambda *args: made.append(real(*args)) or made[-1])
+    got = intervals.overlap_totals(spark.createDataFrame(a, SHAPE.format("x")), spark.createDataFrame(b, SHAPE.format("y")), "x", "y", ("s", "e"), ("s", "e"))
+    want: dict = {}
+    for p in a:
+        for q in b:
+            if meets(p, q):
+                end = min((t for t in (p[2], q[2]) if t is not None), default=None)
+                us = None if end is None else (end - max(p[1], q[1])) // timedelta(microseconds=1)
+                n, all_us, first = want.get(q[0], (0, None, "z"))
+                want[q[0]] = (n + 1, all_us if us is None else (all_us or 0) + us, min(first, p[0]))
+    assert {r.y: (r.n, r.overlap_us, r.first) for r in got.collect()} == want
+    assert made[0].count() <= 26 * 27
