@@ -96,3 +96,13 @@ def test_opened_again(spark, layouts, statements):
 def test_empty(spark, statements, tmp_path):
     x = Layouts.build(statements.limit(0), str(tmp_path / "x"), 4)
     assert x.scan().isEmpty() and sparql.run(x, TEXTS[0]).isEmpty() and not x.hot
+
+
+def test_what_patterns_ask_alone(spark, statements, tmp_path):
+    """Tables and relations that the patterns need give the same rows; others are not written, and asking for them raises."""
+    x = Layouts.build(statements, str(tmp_path / "x"), 8, ("spo",), ("next", "to"))
+    assert same(sparql.run(x, TEXTS[2]), sparql.run(statements, TEXTS[2]))
+    assert not (tmp_path / "x" / "osp").exists() and not (tmp_path / "x" / "statements").exists()
+    with pytest.raises(ValueError, match="osp is not among"):
+        x.scan(o="n7")
+    assert same(sparql.run(Layouts.open(spark, x.path), TEXTS[2]), sparql.run(statements, TEXTS[2]))
