@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from factloom.operators import triples
+from factloom.plans import layouts as layouts_module
 from factloom.plans import planner, sparql
 from factloom.plans.layouts import Layouts
 
@@ -106,3 +107,13 @@ def test_what_patterns_ask_alone(spark, statements, tmp_path):
     with pytest.raises(ValueError, match="osp is not among"):
         x.scan(o="n7")
     assert same(sparql.run(Layouts.open(spark, x.path), TEXTS[2]), sparql.run(statements, TEXTS[2]))
+
+
+def test_buckets_grow_with_the_statements(spark, statements, tmp_path, monkeypatch):
+    """A bucket, which one task sorts, has as many rows however many there are; frequent terms are found by groups first."""
+    monkeypatch.setattr(layouts_module, "BUCKET_ROWS", 20)
+    x = Layouts.build(statements, str(tmp_path / "x"), 4)
+    assert x.buckets == -(-statements.count() // 20) and x.hot == {"hub"}
+    assert same(sparql.run(x, TEXTS[0]), sparql.run(statements, TEXTS[0]))
+    assert same(x.scan(p="next", o="n9"), triples.match(statements, p="next", o="n9")) and same(x.scan(o="n9"), triples.match(statements, o="n9"))
+    assert layouts_module.frequent(statements, ["o", "s"], 39, 2) == ["hub"] and layouts_module.frequent(statements, ["s"], 40, 2) == []
