@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import contexts, temporal
-from factloom.operators.closure import closed_members
+from factloom.operators.closure import closed_members, closed_sizes
 
 KINDS = ("event", "entity", "temporal", "context", "provenance", "neighborhood")
 
 
-def members(facts: DataFrame, kinds: tuple[str, ...] = ("event", "entity", "temporal", "context", "provenance"), versions: bool = True) -> DataFrame:
-    """Open sets of every fact by one explode: its event, its entities, its year, its context with all
-    ancestors, its source and its method.  ``neighborhood`` adds the sets of facts that share a reference.
-    With ``versions`` off every id has one row, and nothing has to be shuffled."""
+def _named(kinds: tuple[str, ...]) -> Column:
+    """A fact's open sets of ``kinds`` (open_set, kind), as one array."""
 
     def sets(kind: str, names: Column) -> Column:
         return F.transform(names, lambda n: F.struct(F.concat(F.lit(kind + ":"), n).alias("open_set"), F.lit(kind).alias("kind")))
@@ -31,7 +29,19 @@ def members(facts: DataFrame, kinds: tuple[str, ...] = ("event", "entity", "temp
     unknown = set(kinds) - set(by_kind)
     if unknown:
         raise ValueError(f"unknown kinds of open sets: {sorted(unknown)}")
-    rows = facts.select("fact_id", F.explode(F.concat(*(by_kind[k] for k in kinds))).alias("o")).select("o.open_set", "o.kind", "fact_id")
+    return F.concat(*(by_kind[k] for k in kinds))
+
+
+def points(facts: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(fact_id, sets): each fact once, with the open sets (open_set, kind) of all its versions, of which it has a handful."""
+    return facts.select("fact_id", _named(kinds).alias("sets")).groupBy("fact_id").agg(F.array_distinct(F.flatten(F.collect_list("sets"))).alias("sets"))
+
+
+def members(facts: DataFrame, kinds: tuple[str, ...] = ("event", "entity", "temporal", "context", "provenance"), versions: bool = True) -> DataFrame:
+    """Open sets of every fact by one explode: its event, its entities, its year, its context with all
+    ancestors, its source and its method.  ``neighborhood`` adds the sets of facts that share a reference.
+    With ``versions`` off every id has one row, and nothing has to be shuffled."""
+    rows = facts.select("fact_id", F.explode(_named(kinds)).alias("o")).select("o.open_set", "o.kind", "fact_id")
     return rows.distinct() if versions else rows
 
 
@@ -105,6 +115,11 @@ def full(facts: DataFrame, kinds: tuple[str, ...] = ("entity", "context")) -> Da
     return closed_members(members(facts, kinds))
 
 
+def full_sizes(facts: DataFrame, kinds: tuple[str, ...] = ("entity", "context")) -> DataFrame:
+    """(n_facts, n_sets): how many sets of the full topology have as many points."""
+    return closed_sizes(points(facts, kinds).select(F.array_distinct(F.transform("sets", lambda o: o["open_set"])).alias("sets")))
+
+
 def intersection_closure(open_sets: DataFrame) -> DataFrame:
     """``closed_members`` as (points, open_set)."""
     return closed_members(open_sets).groupBy("open_set").agg(F.array_sort(F.collect_list("fact_id")).alias("points")).select("points", "open_set")

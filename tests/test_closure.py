@@ -43,6 +43,23 @@ def test_closure(spark, seed, limit):
         assert points == set.intersection(*(sets[x] for x in name.split("&")))
 
 
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("limit", [1, 3, 9, 20_000])
+def test_sizes_alone(spark, seed, limit):
+    """As many sets of each size as there are, though none is written: none but counts come out of a prefix."""
+    rng = random.Random(seed)
+    sets = {f"s{k}": {f"f{i}" for i in range(24) if rng.random() < p} for k, p in enumerate([0.15, 0.2, 0.3, 0.5, 0.7, 0.9])}
+    sets |= {"all": {f"f{i}" for i in range(24)}, "twin": set(sets["s3"]), "lone": {"f3"}, "lone too": {"f3"}} if seed else {}
+    sets = {k: v for k, v in sets.items() if v}
+    facts = sorted(set().union(*sets.values()))
+    rows = [(f, [s for s in sets if f in sets[s]]) for f in facts]
+    got = {r.n_facts: r.n_sets for r in closure.closed_sizes(spark.createDataFrame(rows, "fact_id string, sets array<string>"), limit).collect()}
+    want: dict = {}
+    for x in brute(sets):
+        want[len(x)] = want.get(len(x), 0) + 1
+    assert got == want
+
+
 def test_more_than_ten_thousand_sets(spark):
     # Of 14 sets that each leave out one of 14 points, all intersections but the empty one are different.
     points = [f"p{k}" for k in range(14)]
@@ -52,4 +69,5 @@ def test_more_than_ten_thousand_sets(spark):
 
 def test_empty(spark):
     assert closure.closed_members(spark.createDataFrame([], SHAPE)).isEmpty()
+    assert closure.closed_sizes(spark.createDataFrame([], "sets array<string>")).isEmpty()
     assert got(spark, [("a", "x")], 5) == {"a": {"x"}}
