@@ -16,11 +16,16 @@ from factloom.functions.staging import cut
 from factloom.operators import topology
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """(source, target, fact_id) of sets that share a fact."""
-    sets = members.groupBy("fact_id").agg(F.collect_set("open_set").alias("sets"))  # a fact's sets, of which it has a handful
-    rows = sets.select("fact_id", "sets", F.explode("sets").alias("source")).select("fact_id", "source", F.explode("sets").alias("target"))
-    return rows.where("source <> target").select("source", "target", "fact_id")
+def _held(points: DataFrame) -> DataFrame:
+    """(kind, open_set) for each set of each fact."""
+    return points.select(F.explode("sets").alias("o")).select("o.kind", "o.open_set")
+
+
+def _pairs(points: DataFrame) -> DataFrame:
+    """(source, target) for each two sets of each fact."""
+    names = points.select(F.array_distinct(F.transform("sets", lambda o: o["open_set"])).alias("names"))
+    rows = names.select("names", F.explode("names").alias("source")).select("source", F.explode("names").alias("target"))
+    return rows.where("source <> target")
 
 
 def _sum(base: DataFrame, change: DataFrame, by: list[str]) -> DataFrame:
@@ -33,30 +38,35 @@ def _sum(base: DataFrame, change: DataFrame, by: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Topology:
-    """``members`` (open_set, kind, fact_id), ``sizes`` (kind, open_set, n) and ``shared`` (source, target, n), as written tables."""
+    """``points`` (fact_id, sets), ``sizes`` (kind, open_set, n) and ``shared`` (source, target, n), as written tables."""
 
     kinds: tuple[str, ...]
-    members: DataFrame
+    points: DataFrame
     sizes: DataFrame
     shared: DataFrame
 
+    @property
+    def members(self) -> DataFrame:
+        """(open_set, kind, fact_id)."""
+        return self.points.select("fact_id", F.explode("sets").alias("o")).select("o.open_set", "o.kind", "fact_id")
+
     @classmethod
     def build(cls, facts: DataFrame, kinds: tuple[str, ...]) -> Topology:
-        members = cut(topology.members(facts, kinds), "members")
-        sizes = members.groupBy("kind", "open_set").agg(F.count("*").alias("n"))
-        shared = _pairs(members).groupBy("source", "target").agg(F.count("*").alias("n"))
-        return cls(kinds, members, cut(sizes, "sizes"), cut(shared, "shared"))
+        points = cut(topology.points(facts, kinds), "points")
+        sizes = _held(points).groupBy("kind", "open_set").agg(F.count("*").alias("n"))
+        shared = _pairs(points).groupBy("source", "target").agg(F.count("*").alias("n"))
+        return cls(kinds, points, cut(sizes, "sizes"), cut(shared, "shared"))
 
     def changed(self, ids: DataFrame, after: DataFrame) -> Topology:
         """After a write that touches ``ids`` (column ``fact_id``): ``after`` is what these facts are now, nothing of those that are deleted."""
-        ids = ids.select("fact_id").distinct()
-        was = cut(self.members.join(ids, "fact_id", "left_semi").select("open_set", "kind", "fact_id"), "was")
-        now = cut(topology.members(after.join(ids, "fact_id", "left_semi"), self.kinds), "now")
-        members = self.members.join(ids, "fact_id", "left_anti").select("open_set", "kind", "fact_id").unionByName(now)
-        signed = lambda rows, n: rows.drop("fact_id").withColumn("n", F.lit(n).cast("long"))
-        sizes = _sum(self.sizes, signed(now, 1).unionByName(signed(was, -1)), ["kind", "open_set"])
+        ids = cut(ids.select("fact_id").distinct(), "ids")
+        was = cut(self.points.join(ids, "fact_id", "left_semi"), "was")
+        now = cut(topology.points(after.join(ids, "fact_id", "left_semi"), self.kinds), "now")
+        points = self.points.join(ids, "fact_id", "left_anti").unionByName(now)
+        signed = lambda rows, n: rows.withColumn("n", F.lit(n).cast("long"))
+        sizes = _sum(self.sizes, signed(_held(now), 1).unionByName(signed(_held(was), -1)), ["kind", "open_set"])
         shared = _sum(self.shared, signed(_pairs(now), 1).unionByName(signed(_pairs(was), -1)), ["source", "target"])
-        return Topology(self.kinds, cut(members, "members"), cut(sizes, "sizes"), cut(shared, "shared"))
+        return Topology(self.kinds, cut(points, "points"), cut(sizes, "sizes"), cut(shared, "shared"))
 
     def edges(self) -> DataFrame:
         """(source, target): target is a part of source."""

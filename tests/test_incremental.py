@@ -32,3 +32,9 @@ def test_followed_equals_built(table):  # noqa: F811
     assert not facts and t.sizes.isEmpty()
     some = table(fact("1", "a", context="world.x"), fact("2", "b", context="world.x.y"))
     assert sorted(map(tuple, Topology.build(some, KINDS).edges().collect())) == sorted(map(tuple, topology.restriction_edges(topology.members(some, KINDS)).collect()))
+
+
+def test_points_are_rows_of_facts(table):  # noqa: F811
+    """What a change writes again is a row a fact, not one for each of its sets; versions of a fact are one row."""
+    t = Topology.build(table(fact("1", "a"), fact("1", "b"), fact("2", "c")), KINDS)
+    assert t.points.count() == 2 and t.members.where("fact_id = '1' and open_set in ('entity:a', 'entity:b')").count() == 2
