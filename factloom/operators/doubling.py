@@ -2,7 +2,9 @@
 
 Round k joins a table with itself to go twice as far.  A chain is then filled
 in from the longest jump down: each row adds the one that lies 2^k steps
-further, so that no row ever carries more than a start, a step and a node.
+further, so that no row carries more than a start, a step and a node; down to
+2^STRETCH steps, between which each row unfolds its node's own stretch, so that
+most rows are neither shuffled nor written.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 from factloom.functions.staging import cut
 from factloom.operators.ancestry import ancestors as ancestors
 
+#: A node's own stretch has 2^STRETCH nodes.
+STRETCH = 3
+NO_NODES = "cast(array() as array<string>)"
+
 
 def first_parents(derivations: DataFrame) -> DataFrame:
     """(node, to): the parent of the lowest position of each child that has one."""
@@ -78,6 +84,16 @@ def _to_cycle(parents: DataFrame, cycles: DataFrame) -> DataFrame:
     return done.join(rounds.withColumnRenamed("node", "entry"), "entry").select("node", (F.col("steps") + F.col("size")).alias("len"))
 
 
+def _stretches(parents: DataFrame) -> DataFrame:
+    """(node, way): the next 2^STRETCH nodes on each node's chain, fewer where it ends."""
+    way = parents.select("node", F.array("to").alias("way"))
+    for k in range(STRETCH):
+        then = way.select(F.col("node").alias("last"), F.col("way").alias("then"))
+        way = way.withColumn("last", F.when(F.size("way") == 1 << k, F.element_at("way", -1)))
+        way = cut(way.join(then, "last", "left").select("node", F.concat("way", F.coalesce("then", F.expr(NO_NODES))).alias("way")), "way")
+    return way
+
+
 def chains(derivations: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(start, step, node): first parents followed until there is none, or a node comes again; of all nodes, or those of ``start``."""
     parents = cut(first_parents(derivations), "parents")
@@ -91,8 +107,11 @@ def chains(derivations: DataFrame, start: DataFrame | None = None) -> DataFrame:
         while 1 << len(found) < most:
             found.append(_twice(found[-1]))
         rows = rows.drop("len").join(length.withColumnRenamed("node", "start"), "start", "left").select("start", "step", "node", "len")
-    for k in reversed(range(len(found))):
+    for k in reversed(range(STRETCH, len(found))):
         step = 1 << k
         on = rows.where(F.col("len").isNull() | (F.col("step") + step < F.col("len"))).join(found[k], "node")
         rows = cut(rows.unionByName(on.select("start", (F.col("step") + step).alias("step"), F.col("to").alias("node"), "len")), "chain")
-    return rows.select("start", F.col("step").cast("int").alias("step"), "node")
+    on = rows.join(_stretches(found[0]), "node", "left")
+    on = on.select("start", "step", "len", F.posexplode(F.concat(F.array("node"), F.coalesce(F.slice("way", 1, (1 << STRETCH) - 1), F.expr(NO_NODES)))).alias("more", "node"))
+    on = on.where(F.col("len").isNull() | (F.col("step") + F.col("more") < F.col("len")))
+    return on.select("start", (F.col("step") + F.col("more")).cast("int").alias("step"), "node")

@@ -143,3 +143,17 @@ def test_descendants_are_few_runs(spark):
     runs = ancestry.descendant_runs(d, nodes).cache()
     assert runs.count() < 4 * n < runs.agg(F.sum(F.expr("hi - lo"))).first()[0] / 5
     assert doubling.ancestors(d).count() == runs.agg(F.sum(F.expr("hi - lo"))).first()[0] + n
+
+
+def test_most_rows_of_chains_are_not_written(spark, monkeypatch):
+    """Only every eighth row of a chain is written; the rest unfolds from the nodes' own stretches."""
+    written, cut = {}, doubling.cut
+
+    def counted(df, name="step"):
+        out = cut(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(doubling, "cut", counted)
+    d = spark.range(1, 41).selectExpr("concat('n', id) as child", "concat('n', id - 1) as parent", "0 as pos")
+    assert doubling.chains(d).count() == 41 * 42 // 2 and written["chain"] < 41 * 42 // 2 // 5
