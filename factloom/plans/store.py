@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import values as V
+from factloom.functions.staging import cut
 from factloom.operators import access, estimates, gluing, topology, triples, validate
 from factloom.plans import language, partitions, planner, sparql
 
@@ -69,12 +70,9 @@ class FactStore:
             raise ValueError(f"{path} holds a store already")
         commit = uuid.uuid4().hex
         rows = spark.createDataFrame([], V.FACT) if facts is None else facts
-        store._write(rows, commit)
         # Of several versions of a fact the last one counts.
-        known = store._read("facts", [commit], f"{MARK}, commit string, {partitions.SCHEMA}")
-        several = known.groupBy("fact_id").agg(F.max("seq").alias("seq"), F.count("*").alias("n")).where("n > 1").select("fact_id", "seq")
-        most = known.agg(F.max("seq")).first()[0]
-        marked = store._mark(several, commit)
+        marked = store._mark(store._write(rows, commit), commit)
+        most = store._read("facts", [commit], f"{MARK}, commit string, {partitions.SCHEMA}").agg(F.max("seq")).first()[0]
         if not store._claim(0, {"base": commit, "through": 0, "marked": marked, "seq": most or 0}):
             store._forget(commit)
             raise ValueError(f"{path} holds a store already")
@@ -176,17 +174,45 @@ class FactStore:
 
     # tables
 
-    def _write(self, facts: DataFrame, commit: str) -> None:
-        """One row a fact and version, by partition and subject.  Rebalancing splits a partition that holds most rows."""
-        whole = F.struct(*V.FACT.fieldNames())
-        rows = facts.groupBy("fact_id", "seq").agg(F.max_by(whole, F.xxhash64(F.to_json(whole))).alias("f")).select("f.*")
-        rows = partitions.with_columns(rows).hint("rebalance", *partitions.COLUMNS).sortWithinPartitions(*partitions.COLUMNS, "subject")
+    def _write(self, facts: DataFrame, commit: str) -> DataFrame:
+        """One row a fact and version, by partition and subject; returns the ids of several versions (fact_id, seq of the last).
+
+        Rebalancing, which splits a partition that holds most rows, is the only shuffle of whole facts: rows that
+        repeat a version are rare, and ids say whether there are any.
+        """
+        into = f"{self.path}/facts/commit={commit}"
+        self._lay(facts, into)
+        several = self._several(commit)
+        if not several.isEmpty() and self._once(several, into):
+            several = self._several(commit)
+        schema = f"fact_id string, subject string, relation string, context string, confidence double, objects array<{V.VALUE.simpleString()}>, commit string, {partitions.SCHEMA}"
+        estimates.sketches(self._read("facts", [commit], schema)).write.parquet(f"{self.path}/sketches/commit={commit}")
+        return several
+
+    def _lay(self, facts: DataFrame, into: str) -> None:
+        rows = partitions.with_columns(facts.select(*V.FACT.fieldNames())).hint("rebalance", *partitions.COLUMNS).sortWithinPartitions(*partitions.COLUMNS, "subject")
         out = rows.write.partitionBy(*partitions.COLUMNS)
         for c in BLOOM:
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
-        out.parquet(f"{self.path}/facts/commit={commit}")
-        schema = f"fact_id string, subject string, relation string, context string, confidence double, objects array<{V.VALUE.simpleString()}>, commit string, {partitions.SCHEMA}"
-        estimates.sketches(self._read("facts", [commit], schema)).write.parquet(f"{self.path}/sketches/commit={commit}")
+        out.parquet(into)
+
+    def _several(self, commit: str) -> DataFrame:
+        known = self._read("facts", [commit], f"{MARK}, commit string, {partitions.SCHEMA}")
+        return cut(known.groupBy("fact_id").agg(F.max("seq").alias("seq"), F.count("*").alias("n")).where("n > 1").select("fact_id", "seq"), "several")
+
+    def _once(self, several: DataFrame, into: str) -> bool:
+        """Lay ``into`` again with one row a version, where a version has more; whether it had."""
+        rows, ids = self.spark.read.schema(V.FACT).parquet(into).select(*V.FACT.fieldNames()), several.select(F.col("fact_id").alias("id"))
+        same, whole = F.col("fact_id").eqNullSafe(F.col("id")), F.struct(*V.FACT.fieldNames())
+        among = cut(rows.join(ids, same, "left_semi"), "several")
+        one = cut(among.groupBy("fact_id", "seq").agg(F.max_by(whole, F.xxhash64(F.to_json(whole))).alias("f")).select("f.*"), "several")
+        if one.count() == among.count():
+            return False
+        again = cut(rows.join(ids, same, "left_anti").unionByName(one), "several")
+        p = self._hadoop(into)
+        self._fs(p).delete(p, True)
+        self._lay(again, into)
+        return True
 
     def _mark(self, marks: DataFrame, commit: str) -> bool:
         path = f"{self.path}/gone/commit={commit}"
@@ -253,14 +279,14 @@ class FactStore:
             rows = facts.withColumn("seq", F.lit(seq).cast("long")).select(*(F.col(f.name).cast(f.dataType) for f in V.FACT.fields))
             self._write(rows, commit)
             ids = self._read("facts", [commit], f"fact_id string, commit string, {partitions.SCHEMA}")
-            marked = self._mark(ids.select("fact_id").distinct().withColumn("seq", F.lit(seq)), commit)
+            marked = self._mark(ids.select("fact_id").withColumn("seq", F.lit(seq)), commit)  # of one version, so once each
             return {"add": commit, "rows": True, "marked": marked}
 
         self._commit(make)
 
     def update(self, facts: DataFrame) -> int:
         """Newer versions of facts that exist; returns how many ids there were."""
-        known = facts.join(self.facts().select("fact_id"), "fact_id", "left_semi")
+        known = cut(facts.join(self.facts().select("fact_id"), "fact_id", "left_semi"), "known")
         n = known.select("fact_id").distinct().count()
         if n:
             self.insert(known)
@@ -343,7 +369,8 @@ class FactStore:
 
     def export(self, path: str, form: str = "json") -> None:
         if form in ("json", "msgpack"):
-            self.facts().write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+            # Names and nulls in each line make JSON ten times as large as Parquet, but for compression.
+            self.facts().write.mode("overwrite").option("ignoreNullFields", "false").json(path, compression="gzip")
         elif form == "parquet":
             self.facts().write.mode("overwrite").parquet(path)
         else:

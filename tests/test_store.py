@@ -173,3 +173,27 @@ def test_estimates_merge(spark, tmp_path):
     r = store.estimates().first()
     assert r.versions == 1000 and abs(r.facts - 1000) < 60
     assert store.clean() == 3
+
+
+def test_a_write_shuffles_whole_facts_once(spark, tmp_path, monkeypatch):
+    """Rows that repeat a version are made one, and where there are none nothing is laid twice."""
+    f, laid = many(spark, 30), []
+    lay = FactStore._lay
+    monkeypatch.setattr(FactStore, "_lay", lambda self, rows, into: (laid.append(planner.explain(rows)), lay(self, rows, into))[1])
+    store = FactStore.create(spark, str(tmp_path / "a"), f)
+    assert len(laid) == 1 and "Exchange" not in laid[0] and "Aggregate" not in laid[0]
+    again = f.where("fact_id < 5")
+    other = again.withColumn("relation", F.lit("other"))
+    twice = FactStore.create(spark, str(tmp_path / "b"), f.unionByName(again).unionByName(other).unionByName(again.withColumn("seq", F.lit(9).cast("long"))))
+    assert len(laid) == 3
+    assert ids(twice.facts()) == ids(f) and twice.facts().where("seq = 9").count() == 5 and twice.versions().count() == 35
+    assert ids(store.facts()) == ids(f)
+
+
+def test_exported_json_is_compressed(spark, tmp_path):
+    store = FactStore.create(spark, str(tmp_path / "s"), many(spark, 30))
+    store.export(str(tmp_path / "j"), "json")
+    assert all(p.suffix == ".gz" for p in (tmp_path / "j").glob("part-*"))
+    other = FactStore.create(spark, str(tmp_path / "o"))
+    other.import_(str(tmp_path / "j"), "json")
+    assert ids(other.facts()) == ids(store.facts())
