@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.functions import values as V
-from factloom.operators import canonical, render, triples
+from factloom.operators import canonical, render, sets, triples
 from factloom.operators.access import Kind, Query
-from factloom.plans import config, suite, templates
-from factloom.sources import generators
+from factloom.plans import config, planner, suite, templates
+from factloom.sources import files, generators
 from tests.test_operators import fact, table  # noqa: F401
 
 
@@ -64,3 +65,19 @@ def test_suite(spark):
 def test_slots_are_one_struct():
     assert V.VALUE.fieldNames() == ["kind", "ref", "str", "lng", "dbl", "bool", "type_hint"]
     assert Query(Kind.GLOBAL).limit is None
+
+
+def test_same_rows_by_one_grouping(spark):
+    """Multisets of rows, nulls and columns in another order included; one exchange for all sides."""
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, `a.b` string")
+    b = a.select("`a.b`", "k")
+    assert sets.same_rows(a, b, a) and not sets.same_rows(a, b, a.distinct()) and not sets.same_rows(a.distinct(), a)
+    assert sets.equivalent(a, a.distinct()) and not sets.equivalent(a, a.where("k = 1"))
+    assert planner.explain(sets._counted(a, b, a)).count("+- Exchange (") == 1
+
+
+def test_round_trips_tell_what_json_loses(spark, table, tmp_path):  # noqa: F811
+    f = table(fact("1", "a", objects=["@b", 3]), fact("2", "c"))
+    assert files.round_trips(f, str(tmp_path / "a"))
+    assert [p for p in (tmp_path / "a" / "j").glob("part-*.gz")]
+    assert not files.round_trips(f.withColumn("valid_start", F.expr("timestamp_ntz'2020-01-01 00:00:00.123456'")), str(tmp_path / "b"))
