@@ -62,6 +62,15 @@ def test_intersection_closure_covers_the_whole_table(spark, sf_dir, duck):
     assert len({r.open_set for r in got}) == len(got)
 
 
+def test_interval_sums_beyond_a_bigint_are_whole(spark, tmp_path):
+    n = 3_600_000  # of 30 days each: more microseconds than a bigint holds
+    at = "timestamp_ntz'1999-05-05'"
+    spark.range(n).selectExpr("id as o_orderkey", "id % 7 as o_custkey", "'O' as o_orderstatus", "1.0D as o_totalprice", f"{at} as o_orderdate", "'LOW' as o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(3).selectExpr("id as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r.w: (r.n, int(r.overlap_us), r.first_fact) for r in QUERIES["interval_join"](spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(("all", "open"), (n, n * 30 * 86_400_000_000, "order/0"))
+
+
 def test_nothing_is_registered_without_reason():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) == set(ORACLES)
