@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
 from factloom.operators import triples
@@ -84,6 +86,12 @@ def test_bound_terms_read_one_bucket(spark, layouts):
         spark.conf.set("spark.sql.files.openCostInBytes", had)
 
 
+def test_files_are_small(layouts):
+    """Tables and what is hot are of sorted columns, which zstd takes half the room for."""
+    found = list(Path(layouts.path).rglob("part-*.parquet"))
+    assert found and all(p.name.endswith("zstd.parquet") for p in found)
+
+
 def test_opened_again(spark, layouts, statements):
     again = Layouts.open(spark, layouts.path)
     assert again.hot == layouts.hot and again.buckets == 8
