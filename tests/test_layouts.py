@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import triples
 from factloom.plans import layouts as layouts_module
@@ -86,6 +87,27 @@ def test_bound_terms_read_one_bucket(spark, layouts):
         spark.conf.set("spark.sql.files.openCostInBytes", had)
 
 
+@pytest.mark.parametrize("tables, relations", [(tuple(layouts_module.BUCKETED), None), (("spo", "osp"), ("next", "to"))])
+def test_statements_of_a_fact_at_a_time(spark, statements, tmp_path, tables, relations):
+    """Grouped statements give the tables of single ones; an exchange carries packs, no row for each."""
+    groups = statements.groupBy("s", "fact_id").agg(F.collect_list(F.struct("p", "o", "num")).alias("x")).select("s", "x.p", "x.o", "x.num", "fact_id").coalesce(2).cache()
+    moved = [groups.count() and shuffled(spark)]
+    one = Layouts.build(statements, str(tmp_path / "a"), 8, tables, relations)
+    moved.append(shuffled(spark))
+    two = Layouts.build(groups, str(tmp_path / "b"), 8, tables, relations)
+    moved.append(shuffled(spark))
+    assert moved[2] - moved[1] < moved[1] - moved[0] - one.table("spo").count()
+    assert two.hot == one.hot == {"hub"}
+    for name in (*tables, "hot_s", "hot_o"):
+        assert same(two.table(name), one.table(name))
+
+
+def shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
 def test_files_are_small(layouts):
     """Tables and what is hot are of sorted columns, which zstd takes half the room for."""
     found = list(Path(layouts.path).rglob("part-*.parquet"))

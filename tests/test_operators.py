@@ -77,6 +77,12 @@ def test_facts_come_back_from_triples_in_any_order(table, spark):
     assert got == {"bare": (None, 0), "twice": ("c", 1)}
 
 
+def test_statements_of_a_fact_at_a_time(table):
+    f = table(fact("a", objects=["@b", 2, 2.5, "x", True], attributes={"k": "v", "n": 3}), fact("none"), fact("only", attributes={"k": None})).unionByName(table(fact("null") | {"objects": None, "attributes": None}, fact("gap") | {"objects": [None, slot("y")]}))
+    got, want = triples.apart(triples.grouped(f)), triples.statements(f)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 10
+
+
 def test_no_grouping_where_triples_are_read(table):
     """Facts are put together after one exchange; a grouping below it would sort a row for each triple."""
     plan = triples.reconstruct(triples.reify(table(fact("f"))))._jdf.queryExecution().executedPlan().toString()
