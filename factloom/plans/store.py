@@ -28,6 +28,7 @@ from factloom.functions import values as V
 from factloom.functions.staging import cut
 from factloom.operators import access, estimates, gluing, topology, triples, validate
 from factloom.plans import language, partitions, planner, sparql
+from factloom.sources import msgpack
 
 MARK = "fact_id string, seq long"
 #: Columns of which row groups carry Bloom filters: a fact or a subject is looked up without reading the others.
@@ -368,7 +369,9 @@ class FactStore:
     # exchange
 
     def export(self, path: str, form: str = "json") -> None:
-        if form in ("json", "msgpack"):
+        if form == "msgpack":
+            msgpack.pack(self.facts()).write.mode("overwrite").parquet(path, compression="zstd")  # a row a fact: Spark writes no files of bytes alone
+        elif form == "json":
             # Names and nulls in each line make JSON ten times as large as Parquet, but for compression.
             self.facts().write.mode("overwrite").option("ignoreNullFields", "false").json(path, compression="gzip")
         elif form == "parquet":
@@ -377,6 +380,9 @@ class FactStore:
             raise ValueError(f"unknown format {form!r}")
 
     def import_(self, path: str, form: str = "json") -> None:
+        if form == "msgpack":
+            self.insert(msgpack.unpack(self.spark.read.schema("msgpack binary").parquet(path), V.FACT))
+            return
         reader = self.spark.read.schema(V.FACT)
         self.insert(reader.parquet(path) if form == "parquet" else reader.json(path))
 
